@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mixing
+from .multi_index import neighbours
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 
@@ -22,5 +24,13 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_quality_rules": op2_quality_rules, "op6_quality_classifier": op6_quality_classifier}
+def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours(table(spark, folder, "embeddings"))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_quality_rules": op2_quality_rules, "op5_multi_index": op5_multi_index, "op6_quality_classifier": op6_quality_classifier, "op8_mixing": op8_mixing}
 ORACLES: dict[str, str] = {}
