@@ -18,7 +18,7 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-LEDGER_SQL = """ledger AS (SELECT ts AS "at", event_type AS feature, user_id, k AS input_tokens, k % 7 AS output_tokens, k % 5 AS cache_read_tokens,
+LEDGER_SQL = """ledger AS (SELECT ts, event_type AS feature, user_id, k AS input_tokens, k % 7 AS output_tokens, k % 5 AS cache_read_tokens,
   CAST(round(value, 2) AS DECIMAL(14,6)) AS cost_usd, (k % 4 = 0) AS cached, CASE WHEN event_type = 'error' THEN 'error' WHEN k % 11 = 0 THEN 'blocked' ELSE 'ok' END AS outcome
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
 
@@ -30,7 +30,7 @@ def usage_series(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"usage_series": usage_series}
 ORACLES = {
-    "usage_series": f"""WITH {LEDGER_SQL} SELECT date_trunc('hour', at) AS bucket, feature AS key, count(*) AS calls, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
+    "usage_series": f"""WITH {LEDGER_SQL} SELECT date_trunc('hour', ts) AS bucket, feature AS key, count(*) AS calls, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens,
   CAST(sum(cost_usd) AS DOUBLE) AS cost_usd, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, count(*) FILTER (WHERE cached) AS cached_calls,
   count(*) FILTER (WHERE outcome = 'blocked') AS blocked_calls FROM ledger GROUP BY 1, 2""",
 }
