@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .mixing import mixing
 from .multi_index import neighbours
+from .pieces import decode, encode
+from .pii import personal_data
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 
@@ -32,5 +35,24 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_quality_rules": op2_quality_rules, "op5_multi_index": op5_multi_index, "op6_quality_classifier": op6_quality_classifier, "op8_mixing": op8_mixing}
+def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of the best segmentation, the scores of the four best, and whether decoding gives the text again."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    best = encode(docs, keep=["doc_id", "sha"]).select("doc_id", "sha", "ids", "score", F.transform("alternatives", lambda a: a["score"]).alias("next_scores"))
+    back = decode(best, keep=["doc_id", "sha", "ids", "score", "next_scores"])
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "next_scores", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_pieces": op3_pieces,
+    "op5_multi_index": op5_multi_index,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_mixing": op8_mixing,
+    "op10_pii": op10_pii,
+}
 ORACLES: dict[str, str] = {}
