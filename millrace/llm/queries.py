@@ -13,6 +13,7 @@ from .pieces import decode, encode
 from .pii import personal_data
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .secrets import secret_scan
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +32,10 @@ def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(table(spark, folder, "embeddings"))
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan(table(spark, folder, "documents"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing(table(spark, folder, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pieces": op3_pieces,
     "op5_multi_index": op5_multi_index,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op10_pii": op10_pii,
 }
