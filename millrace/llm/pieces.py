@@ -21,7 +21,9 @@ from .common import slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Solved chunks that a Python worker remembers, and chunks' N-best lists.
-REMEMBERED, LISTS = 400_000, 100_000
+REMEMBERED, LISTS = 150_000, 30_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 ALTERNATIVES = "array<struct<score: double, changes: array<struct<at: int, drop: int, ids: array<int>>>>>"
 
 
@@ -61,7 +63,7 @@ class Solver:
     """Solves chunks with one table; kept by a Python worker from task to task."""
 
     table: Table
-    known: dict[bytes, tuple[np.ndarray, float, float]] = field(default_factory=dict)
+    known: dict[bytes, tuple[bytes, float, float]] = field(default_factory=dict)
     lists: dict[bytes, list] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -137,8 +139,8 @@ class Solver:
         found.append((rest, wide[rest], np.full(len(rest), -1, dtype=np.int32)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def solve(self, chunks: list[bytes]) -> list[tuple[np.ndarray, float, float]]:
-        """Ids, score and loss of the second best segmentation (infinite if there is none) for each chunk."""
+    def solve(self, chunks: list[bytes]) -> list[tuple[bytes, float, float]]:
+        """Ids (32-bit numbers), score and loss of the second best segmentation (infinite if there is none) for each chunk."""
         sizes = np.array([len(c) for c in chunks])
         data = np.frombuffer(b"".join(chunks), dtype=np.uint8)
         first = np.concatenate([[0], np.cumsum(sizes)])
@@ -180,11 +182,11 @@ class Solver:
         if unknown.any():
             byte = np.repeat(start[path], n) + np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
             ids[unknown] = self.table.byte_ids[data[byte[unknown]]]
-        split = np.searchsorted(np.repeat(own[path], n), np.arange(len(chunks) + 1))
-        best = forward[last]
-        return [(ids[split[i] : split[i + 1]], float(best[i]), float(best[i] - second[i])) for i in range(len(chunks))]
+        split = 4 * np.searchsorted(np.repeat(own[path], n), np.arange(len(chunks) + 1))
+        best, raw = forward[last], ids.astype(np.int32).tobytes()
+        return [(raw[split[i] : split[i + 1]], float(best[i]), float(best[i] - second[i])) for i in range(len(chunks))]
 
-    def solved(self, chunks: list[bytes]) -> list[tuple[np.ndarray, float, float]]:
+    def solved(self, chunks: list[bytes]) -> list[tuple[bytes, float, float]]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
@@ -246,7 +248,7 @@ class Solver:
         heap, seen, out = [(0.0, (0,) * len(few))], {(0,) * len(few)}, []
         while heap and len(out) < n:
             cost, pick = heapq.heappop(heap)
-            out.append({"score": total - cost, "changes": [{"at": int(at[i]), "drop": len(solved[codes[i]][0]), "ids": list(own[p][1])} for i, own, p in zip(few, lists, pick, strict=True) if p]})
+            out.append({"score": total - cost, "changes": [{"at": int(at[i]), "drop": len(solved[codes[i]][0]) // 4, "ids": list(own[p][1])} for i, own, p in zip(few, lists, pick, strict=True) if p]})
             for k, own in enumerate(lists):
                 if pick[k] + 1 < len(own):
                     nxt = (*pick[:k], pick[k] + 1, *pick[k + 1 :])
@@ -261,8 +263,8 @@ class Solver:
         coded = chunks.dictionary_encode()
         codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         solved = self.solved(distinct)
-        lengths = np.array([len(s[0]) for s in solved], dtype=np.int64)
-        pool = np.concatenate([s[0] for s in solved]) if solved else np.zeros(0, dtype=np.int32)
+        lengths = np.array([len(s[0]) // 4 for s in solved], dtype=np.int64)
+        pool = np.frombuffer(b"".join(s[0] for s in solved), dtype=np.int32)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         own = lengths[codes]
         ends = np.concatenate([[0], np.cumsum(own)])
@@ -298,7 +300,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = solver(table)
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + list(s.encode(part.column(len(keep)), n)), names=[*keep, "ids", "score", "alternatives"])
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["ids array<int>", "score double", f"alternatives {ALTERNATIVES}"])

@@ -89,4 +89,4 @@ def test_batches_and_single_chunks_agree(solver):
     for c, (ids, score, loss) in zip(chunks, solver.solve(chunks), strict=True):
         best = solver.nbest(c, 2)
         assert score == pytest.approx(best[0][0]) and (np.isinf(loss) if len(best) < 2 else loss == pytest.approx(best[0][0] - best[1][0]))
-        assert tuple(ids) == best[0][1] or loss == 0
+        assert tuple(np.frombuffer(ids, dtype=np.int32)) == best[0][1] or loss == 0
