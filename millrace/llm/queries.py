@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .automata import substring_dedup
 from .mixing import mixing
 from .multi_index import neighbours
 from .pieces import decode, encode
 from .pii import personal_data
+from .prefix_free import suffix_dedup
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .secrets import secret_scan
@@ -28,6 +30,20 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def removed_units(removed: Column) -> Column:
+    return F.aggregate(removed, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+
+
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring_dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", removed_units(F.col("removed")).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", removed_units(F.col("removed")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(table(spark, folder, "embeddings"))
 
@@ -55,10 +71,23 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_pieces": op3_pieces,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_multi_index": op5_multi_index,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS at FROM w WHERE len(words) >= 13),
+  windows AS (SELECT doc_id, at, list_slice(words, at, at + 12) AS win FROM starts),
+  firsts AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win),
+  bad AS (SELECT doc_id, at FROM windows JOIN firsts USING (win) WHERE least < doc_id),
+  gone AS (SELECT DISTINCT doc_id, at + unnest(range(0, 13)) AS pos FROM bad),
+  lost AS (SELECT doc_id, list(pos) AS pos FROM gone GROUP BY doc_id),
+  kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(pos), 0) AS n_removed, CASE WHEN pos IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(pos, i)) END AS stay FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept""",
+}
