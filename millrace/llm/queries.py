@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automata import substring_dedup
+from .jaccard import similarity_classes
 from .mixing import mixing
 from .multi_index import neighbours
 from .pieces import decode, encode
@@ -22,6 +23,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return similarity_classes(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"))
 
@@ -69,6 +74,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_groups": op1_token_groups,
     "op2_quality_rules": op2_quality_rules,
     "op3_pieces": op3_pieces,
     "op4_substring_dedup": op4_substring_dedup,
@@ -80,13 +86,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {
+    "op1_token_groups": r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS token FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.token = y.token AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+  reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id""",
     "op4_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-  starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS at FROM w WHERE len(words) >= 13),
-  windows AS (SELECT doc_id, at, list_slice(words, at, at + 12) AS win FROM starts),
+  starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos0 FROM w WHERE len(words) >= 13),
+  windows AS (SELECT doc_id, pos0, list_slice(words, pos0, pos0 + 12) AS win FROM starts),
   firsts AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win),
-  bad AS (SELECT doc_id, at FROM windows JOIN firsts USING (win) WHERE least < doc_id),
-  gone AS (SELECT DISTINCT doc_id, at + unnest(range(0, 13)) AS pos FROM bad),
+  bad AS (SELECT doc_id, pos0 FROM windows JOIN firsts USING (win) WHERE least < doc_id),
+  gone AS (SELECT DISTINCT doc_id, pos0 + unnest(range(0, 13)) AS pos FROM bad),
   lost AS (SELECT doc_id, list(pos) AS pos FROM gone GROUP BY doc_id),
   kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(pos), 0) AS n_removed, CASE WHEN pos IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(pos, i)) END AS stay FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept""",
