@@ -1,4 +1,82 @@
-"""Stages that turn the documents table into training data, one after the other."""
+"""Stages that turn the documents table into training data, one after the other.
 
-STAGES = []
+Quality rules, one document of each group of similar ones, redaction of personal data, the mix of sources to target weights,
+and piece encoding. Each stage takes the documents that the one before has left and returns documents with the same columns;
+the last returns encoded documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.common import stored
+from millrace.llm.jaccard import NO_ID, linked
+from millrace.llm.mixing import mixed_documents
+from millrace.llm.pieces import checked_pieces
+from millrace.llm.pii import redact
+from millrace.llm.quality_rules import quality_rules
+
+#: Ids that are sent to every executor rather than joined by a shuffle of the texts: at most 8 MB of them.
+FEW = 1_000_000
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), keep=["doc"])
+    return judged.where("kept").select("doc.*")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of similar ones; equal rows with one id count once. Rows without an id stay."""
+    classes = stored(linked(docs), "linked")
+    gone = classes.where((F.col("key") != F.col("component_id")) & (F.col("key") != NO_ID)).select(F.col("key").alias("doc_id"))
+    twice = classes.where(F.col("key") != NO_ID).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("doc_id"))
+    left = docs.join(few(gone), "doc_id", "left_anti")
+    if twice.isEmpty():
+        return left
+    again = left.join(few(twice), "doc_id", "left_semi").dropDuplicates()
+    return left.join(few(twice), "doc_id", "left_anti").unionByName(again)
+
+
+def few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return counted(redact(docs), docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as much of them, as the mix takes them."""
+    return counted(mixed_documents(docs), docs)
+
+
+def counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of the best segmentation of each document, and the scores of the next best."""
+    return checked_pieces(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
+#: No SQL: compression ratios, boosted trees, permutations and N-best segmentations have none. See tests/llm/test_pipeline.py.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -118,3 +118,25 @@ def mixing(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     taken = taken.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), "n")
     out = place.join(taken, (place["size"] > 0) & (place["source_no"] == taken["s"]) & (place["offset"] == taken["o"]), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The mix as rows like those of docs: one for each pass over the source that takes words of a document.
+
+    A pass that takes all of a document gives its text as it is; one that takes a part gives the part's words joined by a
+    space. Documents that the mix leaves out have no row. Rows with one id get the takes of the first of them, by source and place.
+    """
+    taken = mixed(placed(docs, text), block).groupBy("source_no", "offset", "doc_id", "epoch").agg(F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("parts"))
+    takes = taken.groupBy("doc_id", "source_no", "offset").agg(F.collect_list(F.struct("epoch", "n", "parts")).alias("takes"))
+    place = placed_rows(docs, text, takes)
+    words = F.regexp_extract_all(F.col("__text"), F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("take.parts", lambda p: F.slice(F.col("words"), (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
+    rows = place.withColumn("take", F.explode("takes")).withColumn("words", F.when(F.col("take.n") < F.col("size"), words))
+    return rows.select(*(F.when(F.col("take.n") == F.col("size"), F.col("__text")).otherwise(cut).alias(c) if c == text else F.col("__doc")[c].alias(c) for c in docs.columns))
+
+
+def placed_rows(docs: DataFrame, text: str, takes: DataFrame) -> DataFrame:
+    """__doc, __text, size and takes of the rows of docs that the mix takes words of."""
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text).alias("__text"), F.col("doc_id").alias("__id"), word_count(docs[text]).alias("size"))
+    first = takes.groupBy("doc_id").agg(F.min_by("takes", F.struct("source_no", "offset")).alias("takes"))
+    return rows.join(first, rows["__id"].eqNullSafe(first["doc_id"])).select("__doc", "__text", "size", "takes")

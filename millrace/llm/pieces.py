@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import slices, utf8
 
@@ -334,6 +335,14 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", keep: list[
     return encoded.select(*keep, ids).mapInArrow(run, ddl)
 
 
+def checked_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, n_pieces, ids and score of the best segmentation, next_scores of the next best, and round_trip: whether decoding gives the text again."""
+    docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    best = encode(docs, model, keep=["doc_id", "sha"]).select("doc_id", "sha", "ids", "score", F.transform("alternatives", lambda a: a["score"]).alias("next_scores"))
+    back = decode(best, model, keep=["doc_id", "sha", "ids", "score", "next_scores"])
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "next_scores", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
+
+
 def groups(key: np.ndarray) -> list[np.ndarray]:
     """Places of equal keys, by rising key."""
     if not len(key):

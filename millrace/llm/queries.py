@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .automata import substring_dedup
 from .jaccard import similarity_classes
 from .mixing import mixing
 from .multi_index import neighbours
-from .pieces import decode, encode
+from .pieces import checked_pieces
 from .pii import personal_data
 from .prefix_free import suffix_dedup
 from .quality_classifier import quality_classifier
@@ -61,6 +63,36 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing(table(spark, folder, "documents"))
 
 
+def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return checked_pieces(table(spark, folder, "documents"))
+
+
+def removed_units(removed: Column) -> Column:
+    return F.aggregate(removed, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+
+
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring_dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", removed_units(F.col("removed")).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", removed_units(F.col("removed")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours(table(spark, folder, "embeddings"))
+
+
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan(table(spark, folder, "documents"))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing(table(spark, folder, "documents"))
+
+
 def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of the best segmentation, the scores of the four best, and whether decoding gives the text again."""
     docs = table(spark, folder, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
@@ -84,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op1_token_groups": r"""
