@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import usage
+from . import text, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (usage,):
+for _module in (usage, text):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
