@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text, usage
+from . import graph, issues, reports, text, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (usage, text):
+for _module in (usage, text, reports, issues, graph):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
