@@ -2,10 +2,10 @@
 
 Sets of shingles link when 100 * intersection >= 80 * union. Linked sets share one of their smallest tokens (a prefix of a fifth
 of each set, in the order of the tokens' hashes), so only prefixes are exchanged. Similar documents are partitioned into groups:
-first stars, where every set of a token is held against one of them, then the stars' components, in blocks. The matrix of
-tokens and blocks bounds how much a set of another group can share with a block; blocks that pass are opened: their members'
-token union bounds the overlap again, and sets that pass that are compared with each member. Pairs inside a group need
-no look, as they are connected already, so no group's pairs are spelled out.
+families, where every set of a token is held against one of them, cut into blocks. The matrix of tokens and blocks bounds how
+much a set can share with a block; blocks that pass are opened: their members' token union bounds the overlap again, and a set
+that passes that meets all members at once in the block's own matrix. Sets that are connected already need no look, and a set
+asks a block, not its members, so no group's pairs are spelled out.
 """
 
 from __future__ import annotations
@@ -24,7 +24,11 @@ GRAM = 5
 #: Sets in a block of a group at most, about; queries that one task holds against a block.
 BLOCK, SALT = 256, 1024
 #: Blocks that may hold a token for it to name candidates by itself; a commoner token counts as shared by all that have it.
-COMMON = 200
+COMMON = 64
+#: Largest matrix of a block's members and tokens; beyond it members are compared one by one.
+MATRIX_BYTES = 32 << 20
+#: Rows (48 bytes each) that are sent to every executor to pick texts; beyond it the texts are shuffled to them.
+FEW = 300_000
 NO_ID = (1 << 63) - 1
 SLICE = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -97,43 +101,81 @@ def least_prefix(n: Column, m: Column) -> Column:
 
 
 def opened(own: DataFrame, reps: DataFrame, members: DataFrame, asks: DataFrame) -> DataFrame:
-    """Links (a, b) between the sets of asks (block, set_id) and of members (block, set_id) of the same block.
+    """Links (a, b) between sets of asks and of members (both: block, set_id, label) of the same block, one for each other label.
 
-    Texts travel to the block and are cut into shingles there. A block's queries are split over salted copies of the block.
+    Texts travel to the block and are cut into shingles there; a block's queries are split over salted copies of the block.
+    The block's matrix of members and tokens gives a query's overlap with the token union, and, if that passes, with all members.
     """
     parts = asks.groupBy("block").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
-    held = members.join(parts, "block").select("block", "set_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("asks"))
-    asked = asks.join(parts, "block").select("block", "set_id", F.pmod(F.xxhash64("set_id"), "parts").cast("int").alias("salt"), F.lit(1).alias("asks"))
-    sent = stored(held.unionByName(asked).distinct().join(reps, "set_id").select("key", "block", "salt", "asks", "set_id"), "sent")
-    texts = own.join(sent, "key").select("block", "salt", "asks", "set_id", "__text")
+    held = members.join(parts, "block").select("block", "set_id", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("asks"))
+    asked = asks.join(parts, "block").select("block", "set_id", "label", F.pmod(F.xxhash64("set_id"), "parts").cast("int").alias("salt"), F.lit(1).alias("asks"))
+    sent = stored(held.unionByName(asked).distinct().join(reps, "set_id").select("key", "block", "salt", "asks", "set_id", "label"), "sent")
+    texts = own.join(F.broadcast(sent) if sent.count() <= FEW else sent, "key").select("block", "salt", "asks", "set_id", "label", "__text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block = None, []
-        union = np.zeros(0, dtype=np.uint64)
+        at, block = None, Block()
         for batch in batches:
             for p in slices(batch, "__text", SLICE):
-                tokens, bounds = shingles(p.column(4))
-                links = []
-                for i, (b, salt, ask, own_id) in enumerate(zip(*(p.column(c).to_pylist() for c in range(4)), strict=True)):
+                tokens, bounds = shingles(p.column(5))
+                links: list[tuple[int, int]] = []
+                for i, (b, salt, ask, own_id, label) in enumerate(zip(*(p.column(c).to_pylist() for c in range(5)), strict=True)):
                     mine = tokens[bounds[i] : bounds[i + 1]]
                     if set_id(mine) != own_id:  # another text with the same id
                         continue
                     if (b, salt) != at:
-                        at, block, union = (b, salt), [], None
-                    if not ask:
-                        block.append((own_id, mine))
-                        union = None
-                        continue
-                    if union is None:
-                        union = np.unique(np.concatenate([m for _, m in block])) if block else np.zeros(0, dtype=np.uint64)
-                    if common(mine, union) < needed(len(mine)):
-                        continue
-                    links += [(own_id, other) for other, m in block if other != own_id and 9 * common(mine, m) >= 4 * (len(mine) + len(m))]
+                        at, block = (b, salt), Block()
+                    if ask:
+                        links += [(own_id, other) for other in block.linked(mine, label)]
+                    else:
+                        block.add(own_id, label, mine)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
     return texts.repartition("block", "salt").sortWithinPartitions("block", "salt", "asks").mapInArrow(compare, "a long, b long")
 
 
+class Block:
+    """Sets of a block, the union of their tokens and the matrix of both."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.labels: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.union: np.ndarray | None = None
+        self.matrix: np.ndarray | None = None
+
+    def add(self, own_id: int, label: int, tokens: np.ndarray) -> None:
+        self.ids.append(own_id)
+        self.labels.append(label)
+        self.sets.append(tokens)
+        self.union = None
+
+    def linked(self, tokens: np.ndarray, label: int) -> list[int]:
+        """One linked set of each other label."""
+        if not self.sets:
+            return []
+        if self.union is None:
+            self.union = np.unique(np.concatenate(self.sets))
+            self.sizes = np.array([len(s) for s in self.sets])
+            self.matrix = None
+            if len(self.sets) * len(self.union) <= MATRIX_BYTES:
+                self.matrix = np.zeros((len(self.union), len(self.sets)), dtype=np.uint8)
+                for i, s in enumerate(self.sets):
+                    self.matrix[np.searchsorted(self.union, s), i] = 1
+        place = np.searchsorted(self.union, tokens)
+        place = place[self.union[np.minimum(place, len(self.union) - 1)] == tokens]
+        if len(place) < needed(len(tokens)):
+            return []
+        if self.matrix is None:
+            shared = np.array([common(tokens, s) for s in self.sets])
+        else:
+            shared = self.matrix[place].sum(axis=0, dtype=np.int64)
+        found = {}
+        for i in np.flatnonzero(9 * shared >= 4 * (len(tokens) + self.sizes)):
+            if self.labels[i] != label:
+                found.setdefault(self.labels[i], self.ids[i])
+        return list(found.values())
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two rising sequences."""
     if not len(a) or not len(b):
@@ -142,59 +184,57 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def candidates(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """asks (block, set_id) and members (block, set_id): the blocks that may link with a set of another group.
+def candidates(shared: DataFrame, sets: DataFrame, labels: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asks and members (both: block, set_id, label): blocks that may hold a set that links with the asking one and has another label.
 
-    shared: token, set_id, n of prefix tokens that several sets have. sets: set_id, n, prefix. labels: node, label of the groups so far.
+    shared: token, set_id, n of prefix tokens that several sets have. sets: set_id, n, prefix. labels: set_id, label of the
+    components so far. families: set_id, family; a family's sets go to blocks together, linked or not.
     """
-    grouped = shared.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     by_token = Window.partitionBy("token")
+    grouped = shared.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     grouped = grouped.withColumn("low", F.min("label").over(by_token)).withColumn("high", F.max("label").over(by_token)).where("low <> high").drop("low", "high")
-    size = labels.groupBy("label").agg(F.count("*").alias("size"))
-    grouped = grouped.join(size, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    grouped = stored(grouped.withColumn("block", F.xxhash64("label", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / BLOCK)))), "grouped")
-    matrix = grouped.groupBy("token", "block", "label", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.withColumn("blocks", F.count("*").over(by_token))
-    common_tokens = matrix.where(F.col("blocks") > COMMON).select("token").distinct()
-    heavy = grouped.join(common_tokens, "token").select("token", "set_id", "n")
-    heavies = heavy.groupBy("set_id").agg(F.countDistinct("token").alias("heavy"))
-    # a set of the smaller group asks the larger group's block; what it shares beyond the counted tokens can only be common ones
-    rare = matrix.where(F.col("blocks") <= COMMON).select("token", "block", F.col("label").alias("other"), F.col("size").alias("others"), "least", "most")
-    met = grouped.select("token", "set_id", "n", "label", "size").join(rare, "token").where((F.struct("size", "label") < F.struct(F.col("others").alias("size"), F.col("other").alias("label"))) & (5 * F.col("most") >= 4 * F.col("n")) & (4 * F.col("least") <= 5 * F.col("n")))
-    met = met.groupBy("set_id", "n", "block").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
-    # the bound is smallest at the sizes furthest from n that a member may have; a block's sizes may reach beyond those that were met
+    size = families.groupBy("family").agg(F.count("*").alias("size"))
+    home = families.join(size, "family").select("set_id", F.xxhash64("family", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / BLOCK))).alias("home"))
+    grouped = stored(grouped.join(home, "set_id", "left").withColumn("block", F.coalesce("home", F.xxhash64("set_id"))).drop("home"), "grouped")
+    matrix = grouped.groupBy("token", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = stored(matrix.withColumn("blocks", F.count("*").over(by_token)), "matrix")
+    heavy = grouped.join(matrix.where(F.col("blocks") > COMMON).select("token").distinct(), "token")
+    heavy = stored(heavy, "heavy")
+    heavies = heavy.groupBy("set_id").agg(F.count("*").alias("heavy"))
+    # of two blocks the smaller one's sets ask; sets of one block ask their own
+    rare = matrix.where(F.col("blocks") <= COMMON).select("token", F.col("block").alias("other"), "low", "high", "least", "most")
     n = F.col("n")
-    low, high = four_fifths(n), F.floor(5 * n / 4)
-    bound = F.least(least_prefix(n, low), least_prefix(n, high))
-    exact = F.when((F.col("least") == F.col("most")), least_prefix(n, F.col("least")))
-    single = grouped.groupBy("block").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).select("block", (F.col("x") == F.col("y")).alias("single"))
-    met = met.join(single, "block").join(heavies, "set_id", "left").where(F.col("met") + F.coalesce("heavy", F.lit(0)) >= F.when(F.col("single"), F.coalesce(exact, bound)).otherwise(bound))
-    asks = met.select("block", "set_id")
+    met = grouped.join(rare, "token").where((F.col("block") <= F.col("other")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))) & (5 * F.col("most") >= 4 * n) & (4 * F.col("least") <= 5 * n))
+    met = met.groupBy("set_id", "n", "label", "other").agg(F.count("*").alias("met"))
+    # a block's sizes bound what must be met: it is least at the ends of the sizes that can link; common tokens may all be shared as well
+    sizes = grouped.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("block", "other")
+    ends = F.greatest(F.col("least"), four_fifths(n)), F.least(F.col("most"), F.floor(5 * n / 4))
+    met = met.join(sizes, "other").join(heavies, "set_id", "left").where(F.col("met") + F.coalesce("heavy", F.lit(0)) >= F.least(least_prefix(n, ends[0]), least_prefix(n, ends[1])))
+    asks = met.select(F.col("other").alias("block"), "set_id", "label")
     # sets that share common tokens only: see only_common
-    pairs = only_common(heavy, heavies, sets).withColumn("block", F.xxhash64("z", F.lit("own")))
-    members = asks.select("block").distinct().join(grouped.select("block", "set_id").distinct(), "block").unionByName(pairs.select("block", F.col("z").alias("set_id")).distinct())
-    return asks.unionByName(pairs.select("block", F.col("w").alias("set_id"))), members
+    asks = stored(asks.unionByName(only_common(heavy, heavies, sets)).distinct(), "asks")
+    return asks, asks.select("block").distinct().join(grouped.select("block", "set_id", "label").distinct(), "block")
 
 
 def only_common(heavy: DataFrame, heavies: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (z, w) of sets that may link though all prefix tokens they share are common ones.
+    """block, set_id and label of sets that may link with one of a block though all prefix tokens they share are common ones.
 
-    Let z's prefix end first (at cut). Its other prefix tokens are then missing from w, so h common ones must do:
-    share(n_z, n_w) <= needed(n_z) - 1 + h, hence n_w <= 0.8 n_z + 2.25 h; and w's other tokens up to z's cut are missing from
-    z: at most 1.25 h of them. Few sets have so few tokens below another's cut, but short ones. Sets are met by common token and
-    size class (powers of 1.25), after those of w without any such z in their class are left out.
+    Of such sets z and w let z's prefix end first (at cut). Its other prefix tokens are then missing from w, so its h common ones
+    must do: share(n_z, n_w) <= needed(n_z) - 1 + h, hence n_w <= 0.8 n_z + 2.25 h; and w's other tokens up to z's cut are missing
+    from z: at most 1.25 h of them. So w's prefix passes z's cut within its own common tokens and 1.25 h more (until). Sets meet by
+    common token, size class (powers of 1.25) and class of h (powers of 2); those of w that pass no cut there are left out first.
     """
-    classed = heavy.distinct().join(heavies, "set_id").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25))))
-    cuts = sets.join(heavies.select("set_id"), "set_id", "left_semi").where("prefix IS NOT NULL").select("set_id", "prefix").dropDuplicates(["set_id"])
-    ends = cuts.select("set_id", F.array_max("prefix").alias("cut"))
-    z = classed.join(ends, "set_id").select("token", F.col("set_id").alias("z"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), "cut", F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))).alias("class"))
-    least = z.groupBy("token", "class").agg(F.min("cut").alias("first"), F.max("h").alias("h"))
-    w = classed.join(least, ["token", "class"]).groupBy("set_id").agg(F.min("first").alias("first"), F.max("h").alias("h"), F.first("heavy").alias("heavy"))
-    few = w.join(cuts, "set_id").where(F.size(F.filter("prefix", lambda t: t <= F.col("first"))) - F.col("heavy") <= 1.25 * F.col("h")).select("set_id", "prefix")
-    w = classed.join(few, "set_id").select("token", "class", F.col("set_id").alias("w"), F.col("n").alias("n_w"), F.col("heavy").alias("own"), "prefix")
-    met = w.join(z, ["token", "class"]).where((F.col("z") != F.col("w")) & (share(F.col("n_z"), F.col("n_w")) <= four_fifths(F.col("n_z")) - 1 + F.col("h")) & (5 * F.col("n_w") >= 4 * F.col("n_z")) & (4 * F.col("n_w") <= 5 * F.col("n_z")))
-    met = met.where(F.size(F.filter("prefix", lambda t: t <= F.col("cut"))) - F.col("own") <= 1.25 * F.col("h"))
-    return met.select("z", "w").distinct()
+    known = sets.where("prefix IS NOT NULL").join(heavies, "set_id").select("set_id", "prefix", "heavy").dropDuplicates(["set_id"])
+    each = heavy.join(known, "set_id").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    z = each.select("token", F.col("block").alias("other"), F.col("label").alias("its"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), F.ceil(F.log2("heavy")).cast("int").alias("few"), F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))).alias("class"))
+    first = z.groupBy("token", "class", "few").agg(F.min("cut").alias("first"))
+    until = F.try_element_at("prefix", (F.col("heavy") + F.floor(1.25 * F.pow(F.lit(2.0), F.col("few"))) + 1).cast("int"))
+    w = each.join(first, ["token", "class"]).withColumn("until", until).where("until IS NULL OR until > first")
+    w = w.select("token", "class", "few", "set_id", "label", F.col("n").alias("n_w"), F.col("heavy").alias("own"), "until")
+    n_z, n_w = F.col("n_z"), F.col("n_w")
+    fits = (share(n_z, n_w) <= four_fifths(n_z) - 1 + F.col("h")) & (5 * n_w >= 4 * n_z) & (4 * n_w <= 5 * n_z) & (least_prefix(n_z, n_w) <= F.least("h", "own"))
+    met = w.join(z, ["token", "class", "few"]).where((F.col("until").isNull() | (F.col("cut") < F.col("until"))) & (F.col("label") != F.col("its")) & fits)
+    return met.select(F.col("other").alias("block"), "set_id", "label").distinct()
 
 
 def linked(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -207,12 +247,15 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
     by_token = Window.partitionBy("token")
     shared = tokens.withColumn("leader", F.min("set_id").over(by_token)).withColumn("last", F.max("set_id").over(by_token)).where("leader <> last")
     shared = stored(shared.select("token", "set_id", "n", "leader").distinct(), "shared")
-    # stars: a set asks the leaders of its tokens, where that leads somewhere often enough; links that this leaves out are found below
+    # stars: a set asks the leader that it meets most, where that is often enough; links that this leaves out are found below
     star = shared.where("set_id <> leader").groupBy("leader", "set_id", "n").agg(F.count("*").alias("met")).where(10 * F.col("met") >= F.col("n") - four_fifths(F.col("n")) + 1)
-    star = star.select(F.col("leader").alias("block"), "set_id")
-    links = stored(opened(own, reps, star.select("block", F.col("block").alias("set_id")).distinct(), star), "stars")
-    asks, members = candidates(shared.select("token", "set_id", "n"), sets, components(links))
-    links = links.unionByName(opened(own, reps, stored(members.distinct(), "members"), stored(asks.distinct(), "asks")))
+    star = stored(star.groupBy("set_id").agg(F.max_by("leader", F.struct("met", "leader")).alias("family")), "star")
+    asks = star.select(F.col("family").alias("block"), "set_id", F.col("set_id").alias("label"))
+    leaders = star.select(F.col("family").alias("block"), F.col("family").alias("set_id"), F.col("family").alias("label")).distinct()
+    links = stored(opened(own, reps, leaders, asks), "stars")
+    families = star.unionByName(leaders.select("set_id", F.col("set_id").alias("family")).join(star.select("set_id"), "set_id", "left_anti"))
+    asks, members = candidates(shared.select("token", "set_id", "n"), sets, components(links).withColumnRenamed("node", "set_id"), families)
+    links = links.unionByName(opened(own, reps, members, asks))
     classes = reps.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     ids = classes.groupBy("label").agg(F.min("key").alias("component_id")).join(classes, "label").select("set_id", "component_id")
     out = sets.select("key", "set_id", "n").join(ids, "set_id", "left")

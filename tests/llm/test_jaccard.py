@@ -76,6 +76,8 @@ def test_common_tokens_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COMMON", 2)
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "SALT", 4)
+    monkeypatch.setattr(jaccard, "FEW", 1)
+    monkeypatch.setattr(jaccard, "MATRIX_BYTES", 500)
     check(spark, corpus(3, 200))
 
 
