@@ -78,7 +78,7 @@ def triage(files: DataFrame, ignore: list[str]) -> DataFrame:
     for glob in ignore:
         ignored = ignored | F.col("path").rlike(path_pattern(glob))
     reason = (
-        F.when(F.col("path").rlike(DOC_PATHS), "documentation").when(ignored, "ignored").when(F.lower("path").rlike(r"\.(md|markdown|mdx|rst)$"), "markdown").when(F.col("binary"), "binary")
-        .when(F.col("status") == "deleted", "deleted").when((F.col("status") == "renamed") & (F.col("similarity") >= 90), "renamed").when(F.col("old_hash") == F.col("new_hash"), "same content")
+        F.when(F.col("path").rlike(DOC_PATHS), "documentation").when(ignored, "ignored").when(F.lower("path").rlike(r"\.(md|markdown|mdx|rst)$") & (F.col("status") != "deleted"), "markdown").when(F.col("binary"), "binary")
+        .when(F.col("status") == "deleted", "deleted").when((F.col("old_hash") == F.col("new_hash")) & (F.col("status") == "renamed"), F.when(F.col("similarity") >= 90, "renamed").otherwise("moved")).when(F.col("old_hash") == F.col("new_hash"), "same content")
     )
-    return files.select("path", F.when(reason.isin("deleted", "renamed") | reason.isNull(), "proceed").otherwise("abort").alias("verdict"), F.coalesce(reason, F.lit("changed")).alias("reason"))
+    return files.select("path", F.when(reason.isin("deleted", "moved") | reason.isNull(), "proceed").otherwise("abort").alias("verdict"), F.coalesce(reason, F.lit("changed")).alias("reason"))

@@ -164,8 +164,8 @@ FROM st FULL JOIN fr ON st.id = fr.id WHERE fr.id IS NOT NULL OR (live AND st.pa
     "folded_chunks": f"WITH {_ST}, {_FR}, n AS (SELECT id, path, hash, CAST(id % 1000 AS INT) AS seq FROM fr WHERE id % 10 <> 1 UNION ALL SELECT id, path, 'later', CAST((id + 1000000000) % 1000 AS INT) FROM fr WHERE id % 10 = 1) SELECT id, path, hash, seq FROM n UNION ALL SELECT id, path, hash, 0 FROM st WHERE id NOT IN (SELECT id FROM n)",
     "rekeyed_vectors": "WITH r AS (SELECT vec_id AS id, label FROM embeddings) SELECT id, label FROM r UNION ALL SELECT id * 3, label FROM r WHERE id % 10 = 0 AND id * 3 NOT IN (SELECT id FROM r)",
     "triaged_files": r"""WITH f AS (SELECT (['docs/', 'src/', 'vendor/x/', 'lib/', ''])[doc_id % 5 + 1] || source || (['.go', '.md', '.py', '.bin'])[doc_id % 4 + 1] AS path, (['modified', 'deleted', 'renamed'])[doc_id % 3 + 1] AS status, doc_id % 11 = 0 AS bin, doc_id % 2 = 0 AS same, doc_id % 100 AS similarity FROM documents),
-  r AS (SELECT CASE WHEN path LIKE 'docs/%' THEN 'documentation' WHEN path LIKE 'vendor/%' OR path LIKE '%.lock' THEN 'ignored' WHEN path LIKE '%.md' THEN 'markdown' WHEN bin THEN 'binary' WHEN status = 'deleted' THEN 'deleted' WHEN status = 'renamed' AND similarity >= 90 THEN 'renamed' WHEN same THEN 'same content' ELSE 'changed' END AS reason FROM f)
-SELECT CASE WHEN reason IN ('deleted', 'renamed', 'changed') THEN 'proceed' ELSE 'abort' END AS verdict, reason, count(*) AS files FROM r GROUP BY 1, 2""",
+  r AS (SELECT CASE WHEN path LIKE 'docs/%' THEN 'documentation' WHEN path LIKE 'vendor/%' OR path LIKE '%.lock' THEN 'ignored' WHEN path LIKE '%.md' AND status <> 'deleted' THEN 'markdown' WHEN bin THEN 'binary' WHEN status = 'deleted' THEN 'deleted' WHEN same AND status = 'renamed' THEN CASE WHEN similarity >= 90 THEN 'renamed' ELSE 'moved' END WHEN same THEN 'same content' ELSE 'changed' END AS reason FROM f)
+SELECT CASE WHEN reason IN ('deleted', 'moved', 'changed') THEN 'proceed' ELSE 'abort' END AS verdict, reason, count(*) AS files FROM r GROUP BY 1, 2""",
     "graph_changes": f"WITH {EDGES_SQL}, e AS (SELECT * FROM edge WHERE kind <> 'owns') SELECT src, dst, kind, 'added' AS change FROM e WHERE src LIKE '%1' AND src NOT LIKE '%2' UNION ALL SELECT src, dst, kind, 'removed' FROM e WHERE src LIKE '%2'",
     "content_keys": "SELECT n_regionkey, sha256(string_agg(n_nationkey || chr(31) || n_name, chr(10) ORDER BY n_nationkey || chr(31) || n_name)) AS content FROM nation GROUP BY 1",
     "repo_access": "SELECT o_custkey, o_orderpriority AS repo FROM orders WHERE o_orderstatus = 'F' UNION SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey",
