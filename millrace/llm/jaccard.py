@@ -101,7 +101,7 @@ def least_prefix(n: Column, m: Column) -> Column:
 
 
 def opened(own: DataFrame, reps: DataFrame, members: DataFrame, asks: DataFrame) -> DataFrame:
-    """Links (a, b) between sets of asks and of members (both: block, set_id, label) of the same block, one for each other label.
+    """Links (a, b) between sets of asks and of members (both: block, set_id, label) of the same block, as many as join their labels.
 
     Texts travel to the block and are cut into shingles there; a block's queries are split over salted copies of the block.
     The block's matrix of members and tokens gives a query's overlap with the token union, and, if that passes, with all members.
@@ -142,6 +142,7 @@ class Block:
         self.sets: list[np.ndarray] = []
         self.union: np.ndarray | None = None
         self.matrix: np.ndarray | None = None
+        self.joined: dict[int, int] = {}
 
     def add(self, own_id: int, label: int, tokens: np.ndarray) -> None:
         self.ids.append(own_id)
@@ -150,7 +151,7 @@ class Block:
         self.union = None
 
     def linked(self, tokens: np.ndarray, label: int) -> list[int]:
-        """One linked set of each other label."""
+        """Linked sets of other labels, as far as no earlier answer has joined the labels."""
         if not self.sets:
             return []
         if self.union is None:
@@ -169,11 +170,18 @@ class Block:
             shared = np.array([common(tokens, s) for s in self.sets])
         else:
             shared = self.matrix[place].sum(axis=0, dtype=np.int64)
-        found = {}
+        found = []
         for i in np.flatnonzero(9 * shared >= 4 * (len(tokens) + self.sizes)):
-            if self.labels[i] != label:
-                found.setdefault(self.labels[i], self.ids[i])
-        return list(found.values())
+            a, b = self.root(label), self.root(self.labels[i])
+            if a != b:
+                self.joined[max(a, b)] = min(a, b)
+                found.append(self.ids[i])
+        return found
+
+    def root(self, label: int) -> int:
+        while (above := self.joined.get(label, label)) != label:
+            label = above
+        return label
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -184,35 +192,43 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def candidates(shared: DataFrame, sets: DataFrame, labels: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(homed: DataFrame, sets: DataFrame, labels: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
     """asks and members (both: block, set_id, label): blocks that may hold a set that links with the asking one and has another label.
 
-    shared: token, set_id, n of prefix tokens that several sets have. sets: set_id, n, prefix. labels: set_id, label of the
-    components so far. families: set_id, family; a family's sets go to blocks together, linked or not.
+    homed: token, set_id, n, block of prefix tokens that several sets have. sets: set_id, n, prefix. labels: set_id, label of the
+    components so far. step: own (sets ask their own block), one (one set of each component with links asks other blocks) or all. The
+    first two only join components early, so that the last, which misses nothing, has little left to ask.
     """
     by_token = Window.partitionBy("token")
-    grouped = shared.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    grouped = grouped.withColumn("low", F.min("label").over(by_token)).withColumn("high", F.max("label").over(by_token)).where("low <> high").drop("low", "high")
-    size = families.groupBy("family").agg(F.count("*").alias("size"))
-    home = families.join(size, "family").select("set_id", F.xxhash64("family", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / BLOCK))).alias("home"))
-    grouped = stored(grouped.join(home, "set_id", "left").withColumn("block", F.coalesce("home", F.xxhash64("set_id"))).drop("home"), "grouped")
+    grouped = homed.join(labels, "set_id", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "set_id"))
     matrix = grouped.groupBy("token", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = stored(matrix.withColumn("blocks", F.count("*").over(by_token)), "matrix")
-    heavy = grouped.join(matrix.where(F.col("blocks") > COMMON).select("token").distinct(), "token")
-    heavy = stored(heavy, "heavy")
-    heavies = heavy.groupBy("set_id").agg(F.count("*").alias("heavy"))
+    matrix = matrix.withColumn("blocks", F.count("*").over(by_token)).withColumn("lowest", F.min("low").over(by_token)).withColumn("highest", F.max("high").over(by_token))
+    matrix = stored(matrix.where("lowest <> highest").drop("lowest", "highest"), "matrix")
     # of two blocks the smaller one's sets ask; sets of one block ask their own
     rare = matrix.where(F.col("blocks") <= COMMON).select("token", F.col("block").alias("other"), "low", "high", "least", "most")
     n = F.col("n")
-    met = grouped.join(rare, "token").where((F.col("block") <= F.col("other")) & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))) & (5 * F.col("most") >= 4 * n) & (4 * F.col("least") <= 5 * n))
+    if step == "own":
+        rare = rare.where("low <> high")
+    asking = grouped.where("linked AND set_id = label") if step == "one" else grouped
+    order = F.col("block") == F.col("other") if step == "own" else F.col("block") != F.col("other") if step == "one" else F.col("block") <= F.col("other")
+    met = asking.join(rare, "token").where(order & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))) & (5 * F.col("most") >= 4 * n) & (4 * F.col("least") <= 5 * n))
     met = met.groupBy("set_id", "n", "label", "other").agg(F.count("*").alias("met"))
-    # a block's sizes bound what must be met: it is least at the ends of the sizes that can link; common tokens may all be shared as well
-    sizes = grouped.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("block", "other")
+    # a block's sizes bound what must be met: it is least at the ends of the sizes that can link
+    sizes = homed.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("block", "other")
     ends = F.greatest(F.col("least"), four_fifths(n)), F.least(F.col("most"), F.floor(5 * n / 4))
-    met = met.join(sizes, "other").join(heavies, "set_id", "left").where(F.col("met") + F.coalesce("heavy", F.lit(0)) >= F.least(least_prefix(n, ends[0]), least_prefix(n, ends[1])))
-    asks = met.select(F.col("other").alias("block"), "set_id", "label")
-    # sets that share common tokens only: see only_common
-    asks = stored(asks.unionByName(only_common(heavy, heavies, sets)).distinct(), "asks")
+    met = met.join(sizes, "other").withColumn("bound", F.least(least_prefix(n, ends[0]), least_prefix(n, ends[1])))
+    if step != "all":
+        asks = met.where("met >= bound")
+    else:
+        heavy = stored(grouped.join(matrix.where(F.col("blocks") > COMMON).select("token").distinct(), "token"), "heavy")
+        heavies = heavy.groupBy("set_id").agg(F.count("*").alias("heavy"), F.collect_list("token").alias("own"))
+        theirs = heavy.groupBy(F.col("block").alias("other")).agg(F.collect_set("token").alias("theirs"))
+        met = met.join(heavies, "set_id", "left").where(F.col("met") + F.coalesce("heavy", F.lit(0)) >= F.col("bound")).join(theirs, "other", "left")
+        asks = met.where(F.col("met") + F.coalesce(F.size(F.array_intersect("own", "theirs")), F.lit(0)) >= F.col("bound"))
+    asks = asks.select(F.col("other").alias("block"), "set_id", "label")
+    if step == "all":
+        asks = asks.unionByName(only_common(heavy, heavies.select("set_id", "heavy"), sets))
+    asks = stored(asks.distinct(), "asks")
     return asks, asks.select("block").distinct().join(grouped.select("block", "set_id", "label").distinct(), "block")
 
 
@@ -226,7 +242,7 @@ def only_common(heavy: DataFrame, heavies: DataFrame, sets: DataFrame) -> DataFr
     """
     known = sets.where("prefix IS NOT NULL").join(heavies, "set_id").select("set_id", "prefix", "heavy").dropDuplicates(["set_id"])
     each = heavy.join(known, "set_id").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    z = each.select("token", F.col("block").alias("other"), F.col("label").alias("its"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), F.ceil(F.log2("heavy")).cast("int").alias("few"), F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))).alias("class"))
+    z = each.select("token", F.col("set_id").alias("z"), F.col("block").alias("other"), F.col("label").alias("its"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), F.ceil(F.log2("heavy")).cast("int").alias("few"), F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))).alias("class"))
     first = z.groupBy("token", "class", "few").agg(F.min("cut").alias("first"))
     until = F.try_element_at("prefix", (F.col("heavy") + F.floor(1.25 * F.pow(F.lit(2.0), F.col("few"))) + 1).cast("int"))
     w = each.join(first, ["token", "class"]).withColumn("until", until).where("until IS NULL OR until > first")
@@ -234,6 +250,7 @@ def only_common(heavy: DataFrame, heavies: DataFrame, sets: DataFrame) -> DataFr
     n_z, n_w = F.col("n_z"), F.col("n_w")
     fits = (share(n_z, n_w) <= four_fifths(n_z) - 1 + F.col("h")) & (5 * n_w >= 4 * n_z) & (4 * n_w <= 5 * n_z) & (least_prefix(n_z, n_w) <= F.least("h", "own"))
     met = w.join(z, ["token", "class", "few"]).where((F.col("until").isNull() | (F.col("cut") < F.col("until"))) & (F.col("label") != F.col("its")) & fits)
+    met = met.groupBy("set_id", "label", "z", "other", "n_w", "n_z").agg(F.count("*").alias("met")).where(F.col("met") >= least_prefix(n_z, n_w))
     return met.select(F.col("other").alias("block"), "set_id", "label").distinct()
 
 
@@ -254,8 +271,13 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
     leaders = star.select(F.col("family").alias("block"), F.col("family").alias("set_id"), F.col("family").alias("label")).distinct()
     links = stored(opened(own, reps, leaders, asks), "stars")
     families = star.unionByName(leaders.select("set_id", F.col("set_id").alias("family")).join(star.select("set_id"), "set_id", "left_anti"))
-    asks, members = candidates(shared.select("token", "set_id", "n"), sets, components(links).withColumnRenamed("node", "set_id"), families)
-    links = links.unionByName(opened(own, reps, members, asks))
+    size = families.groupBy("family").agg(F.count("*").alias("size"))
+    home = families.join(size, "family").select("set_id", F.xxhash64("family", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / BLOCK))).alias("home"))
+    homed = shared.join(home, "set_id", "left").select("token", "set_id", "n", F.coalesce("home", F.xxhash64("set_id")).alias("block"))
+    homed = stored(homed, "homed")
+    for step in ("own", "one", "all"):
+        asks, members = candidates(homed, sets, components(links).withColumnRenamed("node", "set_id"), step)
+        links = stored(links.unionByName(opened(own, reps, members, asks)), "links")
     classes = reps.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     ids = classes.groupBy("label").agg(F.min("key").alias("component_id")).join(classes, "label").select("set_id", "component_id")
     out = sets.select("key", "set_id", "n").join(ids, "set_id", "left")
