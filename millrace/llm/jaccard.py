@@ -22,11 +22,11 @@ from .components import components
 
 GRAM = 5
 #: Sets in a block of a group at most, about; queries that one task holds against a block.
-BLOCK, SALT = 256, 1024
+BLOCK, SALT = 2048, 1024
+#: Tokens in a block at most, about: what one task holds of it.
+BLOCK_TOKENS = 1 << 20
 #: Blocks that may hold a token for it to name candidates by itself; a commoner token counts as shared by all that have it.
 COMMON = 64
-#: Largest matrix of a block's members and tokens; beyond it members are compared one by one.
-MATRIX_BYTES = 32 << 20
 #: Rows (48 bytes each) that are sent to every executor to pick texts; beyond it the texts are shuffled to them.
 FEW = 300_000
 NO_ID = (1 << 63) - 1
@@ -141,7 +141,6 @@ class Block:
         self.labels: list[int] = []
         self.sets: list[np.ndarray] = []
         self.union: np.ndarray | None = None
-        self.matrix: np.ndarray | None = None
         self.joined: dict[int, int] = {}
 
     def add(self, own_id: int, label: int, tokens: np.ndarray) -> None:
@@ -150,26 +149,28 @@ class Block:
         self.sets.append(tokens)
         self.union = None
 
+    def index(self) -> None:
+        """The matrix by token: of each token of the union, the members that hold it."""
+        self.sizes = np.array([len(s) for s in self.sets])
+        tokens = np.concatenate(self.sets)
+        order = np.argsort(tokens, kind="stable")
+        self.holders = np.repeat(np.arange(len(self.sets), dtype=np.int32), self.sizes)[order]
+        self.union, self.first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(self.first, len(tokens))
+
     def linked(self, tokens: np.ndarray, label: int) -> list[int]:
         """Linked sets of other labels, as far as no earlier answer has joined the labels."""
         if not self.sets:
             return []
         if self.union is None:
-            self.union = np.unique(np.concatenate(self.sets))
-            self.sizes = np.array([len(s) for s in self.sets])
-            self.matrix = None
-            if len(self.sets) * len(self.union) <= MATRIX_BYTES:
-                self.matrix = np.zeros((len(self.union), len(self.sets)), dtype=np.uint8)
-                for i, s in enumerate(self.sets):
-                    self.matrix[np.searchsorted(self.union, s), i] = 1
+            self.index()
         place = np.searchsorted(self.union, tokens)
         place = place[self.union[np.minimum(place, len(self.union) - 1)] == tokens]
         if len(place) < needed(len(tokens)):
             return []
-        if self.matrix is None:
-            shared = np.array([common(tokens, s) for s in self.sets])
-        else:
-            shared = self.matrix[place].sum(axis=0, dtype=np.int64)
+        start, n = self.first[place], self.first[place + 1] - self.first[place]
+        held = self.holders[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        shared = np.bincount(held, minlength=len(self.sets))
         found = []
         for i in np.flatnonzero(9 * shared >= 4 * (len(tokens) + self.sizes)):
             a, b = self.root(label), self.root(self.labels[i])
@@ -184,14 +185,6 @@ class Block:
         return label
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two rising sequences."""
-    if not len(a) or not len(b):
-        return 0
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
-
-
 def candidates(homed: DataFrame, sets: DataFrame, labels: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
     """asks and members (both: block, set_id, label): blocks that may hold a set that links with the asking one and has another label.
 
@@ -200,10 +193,10 @@ def candidates(homed: DataFrame, sets: DataFrame, labels: DataFrame, step: str)
     first two only join components early, so that the last, which misses nothing, has little left to ask.
     """
     by_token = Window.partitionBy("token")
-    grouped = homed.join(labels, "set_id", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "set_id"))
+    grouped = homed.join(labels, "set_id", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "set_id")).repartition("token")
     matrix = grouped.groupBy("token", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = matrix.withColumn("blocks", F.count("*").over(by_token)).withColumn("lowest", F.min("low").over(by_token)).withColumn("highest", F.max("high").over(by_token))
-    matrix = stored(matrix.where("lowest <> highest").drop("lowest", "highest"), "matrix")
+    matrix = matrix.where("lowest <> highest").drop("lowest", "highest")
     # of two blocks the smaller one's sets ask; sets of one block ask their own
     rare = matrix.where(F.col("blocks") <= COMMON).select("token", F.col("block").alias("other"), "low", "high", "least", "most")
     n = F.col("n")
@@ -232,19 +225,29 @@ def candidates(homed: DataFrame, sets: DataFrame, labels: DataFrame, step: str)
     return asks, asks.select("block").distinct().join(grouped.select("block", "set_id", "label").distinct(), "block")
 
 
+def stepped(h: Column) -> Column:
+    """Classes of counts: each of its own up to 32, then sixteen for each doubling."""
+    return F.when(h <= 32, h).otherwise(32 + F.ceil(16 * F.log2(h / 32))).cast("int")
+
+
+def up_to(step: Column) -> Column:
+    """The largest count of a class."""
+    return F.when(step <= 32, step.cast("double")).otherwise(32 * F.pow(F.lit(2.0), (step - 32) / 16))
+
+
 def only_common(heavy: DataFrame, heavies: DataFrame, sets: DataFrame) -> DataFrame:
     """block, set_id and label of sets that may link with one of a block though all prefix tokens they share are common ones.
 
     Of such sets z and w let z's prefix end first (at cut). Its other prefix tokens are then missing from w, so its h common ones
     must do: share(n_z, n_w) <= needed(n_z) - 1 + h, hence n_w <= 0.8 n_z + 2.25 h; and w's other tokens up to z's cut are missing
     from z: at most 1.25 h of them. So w's prefix passes z's cut within its own common tokens and 1.25 h more (until). Sets meet by
-    common token, size class (powers of 1.25) and class of h (powers of 2); those of w that pass no cut there are left out first.
+    common token, size class (powers of 1.25) and class of h (see stepped); those of w that pass no cut there are left out first.
     """
     known = sets.where("prefix IS NOT NULL").join(heavies, "set_id").select("set_id", "prefix", "heavy").dropDuplicates(["set_id"])
     each = heavy.join(known, "set_id").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    z = each.select("token", F.col("set_id").alias("z"), F.col("block").alias("other"), F.col("label").alias("its"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), F.ceil(F.log2("heavy")).cast("int").alias("few"), F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))).alias("class"))
+    z = each.select("token", F.col("set_id").alias("z"), F.col("block").alias("other"), F.col("label").alias("its"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), stepped(F.col("heavy")).alias("few"), F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))).alias("class"))
     first = z.groupBy("token", "class", "few").agg(F.min("cut").alias("first"))
-    until = F.try_element_at("prefix", (F.col("heavy") + F.floor(1.25 * F.pow(F.lit(2.0), F.col("few"))) + 1).cast("int"))
+    until = F.try_element_at("prefix", (F.col("heavy") + F.floor(1.25 * up_to(F.col("few"))) + 1).cast("int"))
     w = each.join(first, ["token", "class"]).withColumn("until", until).where("until IS NULL OR until > first")
     w = w.select("token", "class", "few", "set_id", "label", F.col("n").alias("n_w"), F.col("heavy").alias("own"), "until")
     n_z, n_w = F.col("n_z"), F.col("n_w")
@@ -266,13 +269,15 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
     shared = stored(shared.select("token", "set_id", "n", "leader").distinct(), "shared")
     # stars: a set asks the leader that it meets most, where that is often enough; links that this leaves out are found below
     star = shared.where("set_id <> leader").groupBy("leader", "set_id", "n").agg(F.count("*").alias("met")).where(10 * F.col("met") >= F.col("n") - four_fifths(F.col("n")) + 1)
-    star = stored(star.groupBy("set_id").agg(F.max_by("leader", F.struct("met", "leader")).alias("family")), "star")
+    star = stored(star.groupBy("set_id").agg(F.max_by("leader", F.struct("met", "leader")).alias("family"), F.max("n").alias("n")), "star")
     asks = star.select(F.col("family").alias("block"), "set_id", F.col("set_id").alias("label"))
     leaders = star.select(F.col("family").alias("block"), F.col("family").alias("set_id"), F.col("family").alias("label")).distinct()
     links = stored(opened(own, reps, leaders, asks), "stars")
-    families = star.unionByName(leaders.select("set_id", F.col("set_id").alias("family")).join(star.select("set_id"), "set_id", "left_anti"))
-    size = families.groupBy("family").agg(F.count("*").alias("size"))
-    home = families.join(size, "family").select("set_id", F.xxhash64("family", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / BLOCK))).alias("home"))
+    # sets with a leader in common, directly or by other sets, are a family, linked or not
+    families = components(star.select(F.col("set_id").alias("a"), F.col("family").alias("b"))).select(F.col("node").alias("set_id"), F.col("label").alias("family"))
+    families = families.join(star.select("set_id", "n"), "set_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    size = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"))
+    home = families.join(size, "family").select("set_id", F.xxhash64("family", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("home"))
     homed = shared.join(home, "set_id", "left").select("token", "set_id", "n", F.coalesce("home", F.xxhash64("set_id")).alias("block"))
     homed = stored(homed, "homed")
     for step in ("own", "one", "all"):

@@ -77,7 +77,7 @@ def test_common_tokens_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "SALT", 4)
     monkeypatch.setattr(jaccard, "FEW", 1)
-    monkeypatch.setattr(jaccard, "MATRIX_BYTES", 500)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 200)
     check(spark, corpus(3, 200))
 
 
