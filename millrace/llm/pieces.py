@@ -40,6 +40,16 @@ class Table:
 
     def __post_init__(self) -> None:
         self.key = hashlib.sha256(repr((self.pieces, self.scores.tolist())).encode()).hexdigest()
+        self.sizes = np.array([len(p) for p in self.pieces])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.pool = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The pieces of all rows' ids (rows' n+1 offsets), joined, and the rows' n+1 offsets in that."""
+        n = self.sizes[ids] if len(ids) else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = self.pool[np.repeat(self.first[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes() if len(ids) else b""
+        return raw, ends[offsets]
 
 
 def load(path: str = MODEL) -> Table:
@@ -236,26 +246,26 @@ class Solver:
         self.lists[chunk] = out
         return out
 
-    def alternatives(self, codes: np.ndarray, distinct: list[bytes], solved: list, at: np.ndarray, n: int) -> list[dict]:
-        """The second to n-th best segmentations of a text, as changes to its best one; codes: its chunks, at: their first pieces.
+    def alternatives(self, codes: np.ndarray, distinct: list[bytes], loss: np.ndarray, total: float, own: np.ndarray, at: np.ndarray, n: int) -> list[dict]:
+        """The second to n-th best segmentations of a text, as changes to its best one.
+
+        codes: its chunks; loss: of their second best; total: its best score; own and at: how many pieces chunks have, and from where.
 
         Only chunks with the n-1 smallest losses can differ from the best in them.
         """
-        loss = np.array([solved[c][2] for c in codes])
         few = np.argsort(loss, kind="stable")[: n - 1] if len(loss) <= 4 * n else (near := np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2]))[np.argsort(loss[near], kind="stable")][: n - 1]
         few = [int(i) for i in few if np.isfinite(loss[i])]
-        total = float(sum(solved[c][1] for c in codes))
         lists = [self.nbest(distinct[codes[i]], n) for i in few]
         heap, seen, out = [(0.0, (0,) * len(few))], {(0,) * len(few)}, []
         while heap and len(out) < n:
             cost, pick = heapq.heappop(heap)
-            out.append({"score": total - cost, "changes": [{"at": int(at[i]), "drop": len(solved[codes[i]][0]) // 4, "ids": list(own[p][1])} for i, own, p in zip(few, lists, pick, strict=True) if p]})
-            for k, own in enumerate(lists):
-                if pick[k] + 1 < len(own):
+            out.append({"score": total - cost, "changes": [{"at": int(at[i]), "drop": int(own[i]), "ids": list(ways[p][1])} for i, ways, p in zip(few, lists, pick, strict=True) if p]})
+            for k, ways in enumerate(lists):
+                if pick[k] + 1 < len(ways):
                     nxt = (*pick[:k], pick[k] + 1, *pick[k + 1 :])
                     if nxt not in seen:
                         seen.add(nxt)
-                        heapq.heappush(heap, (cost + own[pick[k]][0] - own[pick[k] + 1][0], nxt))
+                        heapq.heappush(heap, (cost + ways[pick[k]][0] - ways[pick[k] + 1][0], nxt))
         return out[1:]
 
     def encode(self, column: pa.Array, n: int) -> tuple[pa.Array, pa.Array, pa.Array]:
@@ -270,10 +280,12 @@ class Solver:
         own = lengths[codes]
         ends = np.concatenate([[0], np.cumsum(own)])
         ids = pool[np.repeat(offsets[codes] - ends[:-1], own) + np.arange(ends[-1])]
-        totals = np.concatenate([[0.0], np.cumsum(np.array([s[1] for s in solved])[codes] if solved else [])])
-        others = [self.alternatives(codes[a:b], distinct, solved, ends[a:b] - ends[a], n) if n > 1 and b > a else [] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        best, losses = (np.array([s[k] for s in solved], dtype=np.float64) for k in (1, 2))
+        totals = np.diff(np.concatenate([[0.0], np.cumsum(best[codes])])[bounds])
+        loss = losses[codes] if len(codes) else losses
+        others = [self.alternatives(codes[a:b], distinct, loss[a:b], total, own[a:b], ends[a:b] - ends[a], n) if n > 1 and b > a else [] for a, b, total in zip(bounds[:-1].tolist(), bounds[1:].tolist(), totals.tolist(), strict=True)]
         kind = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
-        return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(np.diff(totals[bounds])), pa.array(others, type=kind)
+        return pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(totals), pa.array(others, type=kind)
 
 
 _SOLVERS: dict[str, Solver] = {}
@@ -286,14 +298,15 @@ def solver(table: Table) -> Solver:
     return _SOLVERS[table.key]
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[str] | None = None, n: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[str] | None = None, n: int = 4, check: bool = False) -> DataFrame:
     """The columns of docs named in keep, then ids (the best segmentation), score, and alternatives: the second to n-th best,
     each with its score and the changes that turn the best one into it (drop pieces at a place, put in ids).
 
     A text gets a leading space, as the model's own encoder adds one. Characters without a piece become their UTF-8 bytes,
     and so does the model's space mark where a text holds that character itself, so decoding is exact. Null and empty texts
     have no pieces, score 0 and no alternatives. Repeated rows are encoded alike; ties go to shorter last pieces. Extra columns have no
-    influence. model: a file that the driver reads; executors get its pieces from the driver.
+    influence. model: a file that the driver reads; executors get its pieces from the driver. check: adds round_trip, whether the ids
+    decode to the text again, which is known at once where they are made.
     """
     keep = ["doc_id"] if keep is None else keep
     table = load(model)
@@ -302,9 +315,13 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", keep: list[s
         s = solver(table)
         for batch in batches:
             for part in slices(batch, "__text", SLICE):
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + list(s.encode(part.column(len(keep)), n)), names=[*keep, "ids", "score", "alternatives"])
+                text_column = part.column(len(keep))
+                made = list(s.encode(text_column, n))
+                if check:
+                    made.append(round_trips(table, made[0], text_column))
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + made, names=[*keep, "ids", "score", "alternatives", *["round_trip"][: len(made) - 3]])
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["ids array<int>", "score double", f"alternatives {ALTERNATIVES}"])
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["ids array<int>", "score double", f"alternatives {ALTERNATIVES}"] + ["round_trip boolean"] * check)
     return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, ddl)
 
 
@@ -315,19 +332,13 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", keep: list[
     table = load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(p) for p in table.pieces])
-        pool, first = np.frombuffer(b"".join(table.pieces), dtype=np.uint8), np.concatenate([[0], np.cumsum(sizes)])
         for batch in batches:
             col = batch.column(len(keep))
             for at in range(0, batch.num_rows, 512):
                 part = col.slice(at, 512)
                 offsets = part.offsets.to_numpy()
-                flat = part.flatten().to_numpy(zero_copy_only=False)
-                offsets = offsets - offsets[0]
-                n = sizes[flat] if len(flat) else np.zeros(0, dtype=np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                raw = pool[np.repeat(first[flat] - ends[:-1], n) + np.arange(ends[-1])].tobytes() if len(flat) else b""
-                texts = [raw[ends[a] : ends[b]].decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                raw, ends = table.joined(part.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
+                texts = [raw[a:b].decode(errors="replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 texts = [t[1:] if t[:1] == " " else t for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, 512) for i in range(len(keep))] + [pa.array([t if ok else None for t, ok in zip(texts, part.is_valid().to_pylist(), strict=True)], pa.string())], names=[*keep, name])
 
@@ -337,10 +348,16 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", keep: list[
 
 def checked_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids and score of the best segmentation, next_scores of the next best, and round_trip: whether decoding gives the text again."""
-    docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    best = encode(docs, model, keep=["doc_id", "sha"]).select("doc_id", "sha", "ids", "score", F.transform("alternatives", lambda a: a["score"]).alias("next_scores"))
-    back = decode(best, model, keep=["doc_id", "sha", "ids", "score", "next_scores"])
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "next_scores", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
+    out = encode(docs.select("doc_id", "text"), model, check=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", F.transform("alternatives", lambda a: a["score"]).alias("next_scores"), "round_trip")
+
+
+def round_trips(table: Table, ids: pa.ListArray, column: pa.Array) -> pa.Array:
+    """Whether each row's ids decode to its text."""
+    raw, ends = table.joined(ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy() - ids.offsets[0].as_py())
+    data, offsets = utf8(column)
+    text = data.tobytes()
+    return pa.array([raw[a + (b > a) : b] == text[c:d] and (b == a or raw[a] == 0x20) for a, b, c, d in zip(ends[:-1].tolist(), ends[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.bool_())
 
 
 def groups(key: np.ndarray) -> list[np.ndarray]:

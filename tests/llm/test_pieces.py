@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.pieces import Solver, decode, encode, load
+from millrace.llm.pieces import Solver, checked_pieces, decode, encode, load
 
 SCHEMA = "doc_id long, text string, ids string, score int, decoded string"
 
@@ -65,6 +65,7 @@ def test_round_trip(spark):
     rows += [(600, "x" * 20000, "", 1, ""), (601, "a b " * 30000, "", 1, ""), (602, "", "", 1, ""), (603, None, None, None, None), (604, " lead", "", 0, ""), (604, " lead", "", 0, "")]
     df = spark.createDataFrame(rows, SCHEMA)
     back = decode(encode(df, keep=["doc_id", "text"]), keep=["doc_id", "text"])
+    assert checked_pieces(df).where("round_trip").count() == len(rows)
     assert back.count() == len(rows)
     assert back.where(~F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded"))).count() == 0
 
