@@ -100,6 +100,15 @@ def least_prefix(n: Column, m: Column) -> Column:
     return share(n, m) - F.greatest(four_fifths(n), four_fifths(m)) + 1
 
 
+def within(n: Column) -> tuple[Column, Column, Column]:
+    """Of sizes from least to most the first and last that a set of n can link with, and the least_prefix of all between.
+
+    Before rounding, least_prefix is least at an end; rounding up twice can put a size between the ends one lower.
+    """
+    first, last = F.greatest(F.col("least"), four_fifths(n)), F.least(F.col("most"), F.floor(5 * n / 4))
+    return first, last, F.least(least_prefix(n, first), least_prefix(n, last)) - F.when(first == last, 0).otherwise(1)
+
+
 def opened(own: DataFrame, reps: DataFrame, members: DataFrame, asks: DataFrame) -> DataFrame:
     """Links (a, b) between sets of asks and of members (both: block, set_id, label) of the same block, as many as join their labels.
 
@@ -208,8 +217,7 @@ def candidates(homed: DataFrame, sets: DataFrame, labels: DataFrame, step: str)
     met = met.groupBy("set_id", "n", "label", "other").agg(F.count("*").alias("met"))
     # a block's sizes bound what must be met: it is least at the ends of the sizes that can link
     sizes = homed.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("block", "other")
-    ends = F.greatest(F.col("least"), four_fifths(n)), F.least(F.col("most"), F.floor(5 * n / 4))
-    met = met.join(sizes, "other").withColumn("bound", F.least(least_prefix(n, ends[0]), least_prefix(n, ends[1])))
+    met = met.join(sizes, "other").withColumn("bound", within(n)[2])
     if step != "all":
         asks = met.where("met >= bound")
     else:
@@ -245,16 +253,21 @@ def only_common(heavy: DataFrame, heavies: DataFrame, sets: DataFrame) -> DataFr
     """
     known = sets.where("prefix IS NOT NULL").join(heavies, "set_id").select("set_id", "prefix", "heavy").dropDuplicates(["set_id"])
     each = heavy.join(known, "set_id").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    z = each.select("token", F.col("set_id").alias("z"), F.col("block").alias("other"), F.col("label").alias("its"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), stepped(F.col("heavy")).alias("few"), F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))).alias("class"))
+    z = each.select("token", F.col("block").alias("other"), F.col("label").alias("its"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), stepped(F.col("heavy")).alias("few"), "class")
+    # the sets of a block in one class are one row, with what the loosest of them allows
+    z = z.groupBy("token", "other", "class", "few").agg(F.min("its").alias("low"), F.max("its").alias("high"), F.min("n_z").alias("least"), F.max("n_z").alias("most"), F.max("h").alias("h"), F.min("cut").alias("cut"))
+    z = z.withColumn("class", F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))))
     first = z.groupBy("token", "class", "few").agg(F.min("cut").alias("first"))
     until = F.try_element_at("prefix", (F.col("heavy") + F.floor(1.25 * up_to(F.col("few"))) + 1).cast("int"))
     w = each.join(first, ["token", "class"]).withColumn("until", until).where("until IS NULL OR until > first")
     w = w.select("token", "class", "few", "set_id", "label", F.col("n").alias("n_w"), F.col("heavy").alias("own"), "until")
-    n_z, n_w = F.col("n_z"), F.col("n_w")
-    fits = (share(n_z, n_w) <= four_fifths(n_z) - 1 + F.col("h")) & (5 * n_w >= 4 * n_z) & (4 * n_w <= 5 * n_z) & (least_prefix(n_z, n_w) <= F.least("h", "own"))
-    met = w.join(z, ["token", "class", "few"]).where((F.col("until").isNull() | (F.col("cut") < F.col("until"))) & (F.col("label") != F.col("its")) & fits)
-    met = met.groupBy("set_id", "label", "z", "other", "n_w", "n_z").agg(F.count("*").alias("met")).where(F.col("met") >= least_prefix(n_z, n_w))
-    return met.select(F.col("other").alias("block"), "set_id", "label").distinct()
+    n_w = F.col("n_w")
+    first, last, bound = within(n_w)
+    fits = (share(last, n_w) <= four_fifths(last) + F.col("h")) & (first <= last) & (bound <= F.least("h", "own"))
+    met = w.join(z, ["token", "class", "few"]).where((F.col("until").isNull() | (F.col("cut") < F.col("until"))) & ((F.col("label") != F.col("low")) | (F.col("label") != F.col("high"))) & fits)
+    # a block may hold several classes of sizes and counts; all of them together must be met as often as the loosest asks
+    met = met.groupBy("set_id", "label", "other").agg(F.countDistinct("token").alias("met"), F.min(bound).alias("bound")).where("met >= bound")
+    return met.select(F.col("other").alias("block"), "set_id", "label")
 
 
 def linked(docs: DataFrame, text: str = "text") -> DataFrame:
