@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stored
-from millrace.llm.jaccard import NO_ID, linked
+from millrace.llm.jaccard import NO_ID, linked, with_set_id
 from millrace.llm.mixing import mixed_documents
 from millrace.llm.pieces import checked_pieces
 from millrace.llm.pii import redact
@@ -30,15 +30,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones; equal rows with one id count once. Rows without an id stay."""
+    """One document of each group of similar ones: of the smallest id, or without one if no row of the group has an id.
+
+    Where several rows have that id, or none has one, the one with the least set of shingles stays, and of rows with that set
+    the least. Rows without words are alike to none: they stay, equal ones with one id once.
+    """
     classes = stored(linked(docs), "linked")
-    gone = classes.where((F.col("key") != F.col("component_id")) & (F.col("key") != NO_ID)).select(F.col("key").alias("doc_id"))
+    stays = (F.col("key") == F.col("component_id")) & F.coalesce(F.col("set_id") == F.col("chosen"), F.lit(True))
+    gone = classes.where(~stays & (F.col("key") != NO_ID)).select(F.col("key").alias("doc_id"))
     twice = classes.where(F.col("key") != NO_ID).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("doc_id"))
-    left = docs.join(few(gone), "doc_id", "left_anti")
-    if twice.isEmpty():
+    known = docs.where(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) != NO_ID)
+    left = known.join(few(gone.unionByName(twice)), "doc_id", "left_anti")
+    nameless = docs.where(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == NO_ID)
+    if classes.where(F.col("key") == NO_ID).isEmpty() and twice.isEmpty():
         return left
-    again = left.join(few(twice), "doc_id", "left_semi").dropDuplicates()
-    return left.join(few(twice), "doc_id", "left_anti").unionByName(again)
+    # an id does not tell these rows apart: their sets do
+    again = known.join(few(twice), "doc_id", "left_semi").select(*docs.columns).unionByName(nameless)
+    again = with_set_id(again.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("text").alias("__text")))
+    kept = classes.where(stays & F.col("set_id").isNotNull()).select("key", "set_id").distinct().join(few(twice.select(F.col("doc_id").alias("key")).unionByName(spark.range(1).select(F.lit(NO_ID).alias("key")))), "key", "left_semi")
+    one = again.join(few(kept), ["key", "set_id"], "left_semi").groupBy("key", "set_id").agg(F.min("doc").alias("doc")).select("doc.*")
+    wordless = again.where("set_id IS NULL")
+    named = wordless.where(F.col("key") != NO_ID).select("doc.*").dropDuplicates()
+    return left.select(*docs.columns).unionByName(one).unionByName(named).unionByName(wordless.where(F.col("key") == NO_ID).select("doc.*"))
 
 
 def few(ids: DataFrame) -> DataFrame:

@@ -86,6 +86,19 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("key", "__text").mapInArrow(run, "key long, set_id long, n int, prefix array<long>")
 
 
+def with_set_id(docs: DataFrame) -> DataFrame:
+    """docs (with __text) and the set_id of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in slices(batch, "__text", SLICE):
+                tokens, bounds = shingles(p.column(p.schema.get_field_index("__text")))
+                ids = [set_id(tokens[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(ids, pa.int64())], names=[*p.schema.names, "set_id"])
+
+    return docs.mapInArrow(run, docs.withColumn("set_id", F.lit(None).cast("long")).schema)
+
+
 def share(n: Column, m: Column) -> Column:
     """What sets of n and m must share to link: 4 (n + m) / 9, rounded up."""
     return F.floor((4 * (n + m) + 8) / 9)
@@ -271,7 +284,10 @@ def only_common(heavy: DataFrame, heavies: DataFrame, sets: DataFrame) -> DataFr
 
 
 def linked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key (doc_id, NO_ID for null), set_id, n and component_id for each row of docs: see similarity_classes()."""
+    """key (doc_id, NO_ID for null), set_id, n, component_id and chosen for each row of docs: see similarity_classes().
+
+    chosen: the least set_id that component_id has in the component, null for no words.
+    """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("__text"))
     sets = stored(described(own), "sets")
     some = sets.where("set_id IS NOT NULL")
@@ -297,9 +313,9 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
         asks, members = candidates(homed, sets, components(links).withColumnRenamed("node", "set_id"), step)
         links = stored(links.unionByName(opened(own, reps, members, asks)), "links")
     classes = reps.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    ids = classes.groupBy("label").agg(F.min("key").alias("component_id")).join(classes, "label").select("set_id", "component_id")
+    ids = classes.groupBy("label").agg(F.min(F.struct("key", "set_id")).alias("least")).join(classes.select("label", "set_id"), "label").select("set_id", F.col("least.key").alias("component_id"), F.col("least.set_id").alias("chosen"))
     out = sets.select("key", "set_id", "n").join(ids, "set_id", "left")
-    return out.select("key", "set_id", "n", F.coalesce("component_id", "key").alias("component_id"))
+    return out.select("key", "set_id", "n", F.coalesce("component_id", "key").alias("component_id"), "chosen")
 
 
 def similarity_classes(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -64,33 +64,42 @@ def targets(sized: DataFrame) -> DataFrame:
     return per.withColumn("level", level).withColumn("target", F.least((CAP * F.col("source_size")).cast("double"), F.col("level") * F.col("weight")))
 
 
-def placed(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of hashes of all columns of a row and of which are null: equal rows only have the same."""
+    parts = [*docs.columns, *(F.isnull(c) for c in docs.columns)]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(SEED), *parts).alias("b"))
+
+
+def placed(docs: DataFrame, text: str = "text", source: str = "source", row: Column | None = None) -> DataFrame:
     """doc_id, size, offset (words of the source before it) and the source's figures for each row of docs, written to the shared folder.
 
-    The order in a source is by a bucket of the id, then the id, then the size; offsets are summed by bucket first, so that no
-    task holds a source. Rows alike in all of these are interchangeable.
+    The order in a source is by a bucket of the id, then the id, then the size, then row (see row_key) where it is given; rows
+    without an id then have buckets by row. Offsets are summed by bucket first, so that no task holds a source. Rows alike in
+    all of these are interchangeable.
     """
-    sized = stored(docs.select("doc_id", docs[source].cast("string").alias("source"), word_count(docs[text]).alias("size")), "sizes")
+    key = [] if row is None else ["row"]
+    sized = stored(docs.select("doc_id", docs[source].cast("string").alias("source"), word_count(docs[text]).alias("size"), *(row.alias(c) for c in key)), "sizes")
     buckets = max(1, sized.count() // BUCKET_DOCS)
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    named = F.xxhash64("doc_id") if row is None else F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id"))
+    sized = sized.withColumn("bucket", F.pmod(named, F.lit(buckets)))
     per = targets(sized)
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(by_bucket), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     out = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = out.join(sums, out["source"].eqNullSafe(sums["s"]) & (out["bucket"] == sums["b"])).drop("s", "b")
     per = per.withColumnRenamed("source", "s")
-    return stored(out.join(per, out["source"].eqNullSafe(per["s"])).select("doc_id", "source", "size", (F.col("base") + F.col("within")).alias("offset"), "source_no", "source_size", "total", "target"), "placed")
+    return stored(out.join(per, out["source"].eqNullSafe(per["s"])).select("doc_id", "source", "size", (F.col("base") + F.col("within")).alias("offset"), "source_no", "source_size", "total", "target", *key), "placed")
 
 
 def mixed(place: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """The mix of documents with their places (see placed), a row for each piece of a document in an output slot.
 
     shard, source_no, epoch (pass over the source), slot (place in that pass), block, doc_id, offset, first_word and n_words of
-    the piece within the document. A source's pieces hold as many words as its rounded target: whole passes take every block
+    the piece within the document, and row where place has it. A source's pieces hold as many words as its rounded target: whole passes take every block
     once; the last takes blocks in permuted order, the last one cut. The short block at a source's end comes last in a pass.
     """
-    b = F.lit(block)
+    b, key = F.lit(block), [c for c in place.columns if c == "row"]
     wanted = F.floor(F.col("target") + 0.5).cast("long")
     place = place.where("size > 0").withColumn("passes", F.floor(wanted / F.col("source_size")).cast("long")).withColumn("rest", wanted - F.col("passes") * F.col("source_size")).withColumn("full", F.floor(F.col("source_size") / b).cast("long"))
     pieces = place.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / b).cast("long"), F.floor((F.col("offset") + F.col("size") - 1) / b).cast("long"))))
@@ -102,9 +111,9 @@ def mixed(place: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS
     index = F.when(F.col("slot") < F.col("full"), permuted(F.col("slot"), F.col("full"), F.lit(seed), F.col("source_no"), F.col("epoch"))).otherwise(F.col("full"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("total") / (b * shard_blocks))).cast("long")
     slots = slots.select("source_no", "epoch", "slot", index.alias("block"), "cut", F.pmod(F.xxhash64(F.lit(seed + 1), "source_no", "epoch", "slot"), shards).alias("shard"))
-    out = slots.join(pieces.select("source_no", "block", "doc_id", "offset", "first", "last"), ["source_no", "block"])
+    out = slots.join(pieces.select("source_no", "block", "doc_id", "offset", "first", "last", *key), ["source_no", "block"])
     out = out.withColumn("n_words", F.least(F.col("last"), F.col("block") * b + F.col("cut")) - F.col("first")).where("n_words > 0")
-    return out.select("shard", "source_no", "epoch", "slot", "block", "doc_id", "offset", (F.col("first") - F.col("offset")).alias("first_word"), "n_words")
+    return out.select("shard", "source_no", "epoch", "slot", "block", "doc_id", "offset", (F.col("first") - F.col("offset")).alias("first_word"), "n_words", *key)
 
 
 def mixing(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -124,10 +133,10 @@ def mixed_documents(docs: DataFrame, text: str = "text", block: int = BLOCK) ->
     """The mix as rows like those of docs: one for each pass over the source that takes words of a document.
 
     A pass that takes all of a document gives its text as it is; one that takes a part gives the part's words joined by a
-    space. Documents that the mix leaves out have no row. Rows with one id get the takes of the first of them, by source and place.
+    space. Documents that the mix leaves out have no row. Rows without an id, or with the id of another row, have takes of their own.
     """
-    taken = mixed(placed(docs, text), block).groupBy("source_no", "offset", "doc_id", "epoch").agg(F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("parts"))
-    takes = taken.groupBy("doc_id", "source_no", "offset").agg(F.collect_list(F.struct("epoch", "n", "parts")).alias("takes"))
+    taken = mixed(placed(docs, text, row=row_key(docs)), block).groupBy("source_no", "offset", "row", "epoch").agg(F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("parts"))
+    takes = taken.groupBy("source_no", "offset", "row").agg(F.collect_list(F.struct("epoch", "n", "parts")).alias("takes"))
     place = placed_rows(docs, text, takes)
     words = F.regexp_extract_all(F.col("__text"), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("take.parts", lambda p: F.slice(F.col("words"), (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
@@ -136,7 +145,9 @@ def mixed_documents(docs: DataFrame, text: str = "text", block: int = BLOCK) ->
 
 
 def placed_rows(docs: DataFrame, text: str, takes: DataFrame) -> DataFrame:
-    """__doc, __text, size and takes of the rows of docs that the mix takes words of."""
-    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text).alias("__text"), F.col("doc_id").alias("__id"), word_count(docs[text]).alias("size"))
-    first = takes.groupBy("doc_id").agg(F.min_by("takes", F.struct("source_no", "offset")).alias("takes"))
-    return rows.join(first, rows["__id"].eqNullSafe(first["doc_id"])).select("__doc", "__text", "size", "takes")
+    """__doc, __text, size and takes of the rows of docs that the mix takes words of. Equal rows share out the takes of their places."""
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text).alias("__text"), row_key(docs).alias("__row"), word_count(docs[text]).alias("size"))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0))))
+    places = takes.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("source_no", "offset", "takes"))).alias("places"))
+    own = rows.join(places, rows["__row"] == places["row"]).withColumn("place", F.get("places", F.col("__n") - 1))
+    return own.where("place IS NOT NULL").select("__doc", "__text", "size", F.col("place.takes").alias("takes"))
