@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import system as S
@@ -11,15 +11,25 @@ from millrace.plans.rules import rule_events
 from millrace.session import table
 
 
-def wiring(spark: SparkSession, folder: str):
-    """Customers as repositories that call each other's hosts and run each other's images."""
-    c = table(spark, folder, "customer").where("c_custkey <= 400")
+def wired(c: DataFrame, size: Column):
+    """Customers as repositories that call each other's hosts and run each other's images; size: the range of the ids they point at."""
     repos = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("acme/svc"), F.col("c_custkey").cast("string")).alias("name"), F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("pay"), F.col("c_custkey").cast("string"))).alias("service"))
-    t = lambda d: (F.col("c_custkey") * 7 % 400 + d).cast("string")
+    t = lambda d: (F.col("c_custkey") * 7 % size + d).cast("string")
     wires = c.select(F.col("c_custkey").alias("repo"), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("host", F.concat(F.lit("h"), F.col("c_custkey").cast("string"), F.lit(".acme.io"))), ("calls", F.concat(F.lit("h"), t(1), F.lit(".acme.io"))), ("calls", F.concat(F.lit("svc"), t(2), F.lit(".prod.svc"))), ("calls", F.concat(F.lit("svc"), t(3), F.lit(".com"))), ("image_use", F.concat(F.lit("ghcr.io/acme/svc"), t(4))), ("ci_ref", F.concat(F.lit("acme/svc"), t(5))))))).alias("w")).select("repo", "w.*")
     return S.wiring_links(repos, wires)
 
 
+def wiring(spark: SparkSession, folder: str):
+    """The links among the first 400 customers; wiring_whole has all."""
+    return wired(table(spark, folder, "customer").where("c_custkey <= 400"), F.lit(400))
+
+
+def wiring_whole(spark: SparkSession, folder: str):
+    """The links among all customers, who point at ids up to their number."""
+    c = table(spark, folder, "customer")
+    return wired(c.crossJoin(F.broadcast(c.agg(F.count("*").alias("customers")))), F.col("customers"))
+
+
 def packages(spark, folder):
     repos = table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Acme/"), F.col("n_name")).alias("full_name"))
     deps = table(spark, folder, "customer").select(F.col("c_nationkey").alias("repo"), F.concat(F.element_at(F.array(*map(F.lit, ["@acme/", "github.com/acme/", "x/acme/", "acmex/"])), (F.col("c_custkey") % 4 + 1).cast("int")), F.concat(F.lit("nation_"), (F.col("c_custkey") % 25).cast("string")), F.when(F.col("c_custkey") % 3 == 0, "/v2").otherwise("")).alias("name"))
@@ -100,10 +110,13 @@ def path_chunks(spark, folder):
     return d.groupBy("lang", "source").agg(F.count("*").cast("int").alias("chunks")).where(F.col("source").ilike("%1%"))
 
 
-QUERIES = {f.__name__: f for f in (wiring, packages, endpoint_groups, extracted_facts, module_calls, modules, navigation, decode_freshness, rule_dry_run, issues_with_terms, composite_lookup, distinct_per_repo, cited_scopes, path_chunks)}
+QUERIES = {f.__name__: f for f in (wiring, wiring_whole, packages, endpoint_groups, extracted_facts, module_calls, modules, navigation, decode_freshness, rule_dry_run, issues_with_terms, composite_lookup, distinct_per_repo, cited_scopes, path_chunks)}
 ORACLES = {
     "wiring": """WITH c AS (SELECT c_custkey AS k, c_custkey * 7 % 400 AS t FROM customer WHERE c_custkey <= 400), l AS (
   SELECT k, t + 1 AS o, 'api' AS kind, 'h' || (t + 1) || '.acme.io' AS via FROM c UNION ALL SELECT k, t + 2, 'api', 'svc' || (t + 2) || '.prod.svc' FROM c UNION ALL SELECT k, t + 4, 'image', 'ghcr.io/acme/svc' || (t + 4) FROM c UNION ALL SELECT k, t + 5, 'pipeline', 'acme/svc' || (t + 5) FROM c)
+SELECT k AS source, o AS target, kind, via FROM l WHERE k <> o AND o IN (SELECT k FROM c)""",
+    "wiring_whole": """WITH c AS (SELECT c_custkey AS k, c_custkey * 7 % (SELECT count(*) FROM customer) AS t FROM customer), l AS (
+  SELECT k, t + 1 AS o, 'api' AS kind, 'h' || (t + 1) || '.acme.io' AS via FROM c UNION ALL SELECT k, t + 2, 'api', 'svc' || (t + 2) || '.prod.svc' FROM c UNION ALL SELECT k, t + 4, 'image', 'ghcr.io/acme/svc' || (t + 4) FROM c UNION ALL SELECT k, t + 5, 'pipeline', 'acme/svc' || (t + 5) FROM c)
 SELECT k AS source, o AS target, kind, via FROM l WHERE k <> o AND o IN (SELECT k FROM c)""",
     "packages": """SELECT DISTINCT c_nationkey AS repo, n_nationkey AS id, (['@acme/', 'github.com/acme/', 'x/acme/', 'acmex/'])[c_custkey % 4 + 1] || 'nation_' || (c_custkey % 25) || CASE WHEN c_custkey % 3 = 0 THEN '/v2' ELSE '' END AS name FROM customer JOIN nation ON n_nationkey = c_custkey % 25
 WHERE c_nationkey <> n_nationkey AND c_custkey % 4 <> 3 AND (c_custkey % 4 <> 0 OR c_custkey % 3 <> 0)""",
