@@ -85,3 +85,37 @@ def through_shared(edges: DataFrame, owners: DataFrame, out: str, into: str) ->
     at = lambda kind, name: edges.where(F.col("kind") == kind).join(owners.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("node"), F.col("owner").alias(name))
     pairs = at(out, "a").join(at(into, "b"), "node").where("a <> b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("links"), F.min("node").alias("first"))
+
+
+def topic_links(edges: DataFrame, owners: DataFrame, out: str = "publishes", into: str = "subscribes") -> DataFrame:
+    """source, target, kind (event), via, links and first of different owners with an out and an into edge at the same node.
+
+    links counts pairs of edges, first is the least src of the out edges. Each node's edges are counted by owner before owners
+    meet, so a busy node costs its owners' pairs, which are the result, and not its edges'.
+    """
+    named = edges.join(owners.select(F.col("id").alias("src"), "owner"), "src")
+    at = lambda kind, name: named.where(F.col("kind") == kind).groupBy(F.col("dst").alias("via"), F.col("owner").alias(name)).agg(F.count("*").alias(f"{name}_n"), F.min("src").alias(f"{name}_first"))
+    pairs = at(out, "source").join(at(into, "target"), "via").where("source <> target")
+    return pairs.select("source", "target", F.lit("event").alias("kind"), "via", (F.col("source_n") * F.col("target_n")).alias("links"), F.col("source_first").alias("first"))
+
+
+#: Kinds of edges that are no link between the owners of their ends.
+INNER = ("contains", "owns", "publishes", "subscribes", "documented_in", "runbook_for", "owned_by")
+
+
+def edge_links(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """source, target, kind (api, call, library, other), via, links and first of edges between entities of different owners, the far one live."""
+    far = entities.where("deleted_at IS NULL AND owner IS NOT NULL").select(F.col("id").alias("dst"), F.col("owner").alias("target"), F.col("kind").alias("far_kind"), F.col("name").alias("via"))
+    near = entities.where("owner IS NOT NULL").select(F.col("id").alias("src"), F.col("owner").alias("source"))
+    kind = F.when(F.col("far_kind") == "endpoint", "api").when(F.col("kind") == "calls", "call").when(F.col("kind") == "depends_on", "library").otherwise("other")
+    met = edges.where(~F.col("kind").isin(*INNER)).join(near, "src").join(far, "dst").where("source <> target")
+    return met.groupBy("source", "target", kind.alias("kind"), "via").agg(F.count("*").alias("links"), F.min("src").alias("first"))
+
+
+def system_links(*parts: DataFrame) -> DataFrame:
+    """Links of several sources by source, target, kind and via: links summed, the least first. Parts without links and first count rows."""
+    each = [d if "links" in d.columns else d.select("source", "target", "kind", "via", F.lit(1).cast("long").alias("links"), F.lit(None).cast("string").alias("first")) for d in parts]
+    out = each[0]
+    for d in each[1:]:
+        out = out.unionByName(d)
+    return out.groupBy("source", "target", "kind", "via").agg(F.sum("links").alias("links"), F.min("first").alias("first"))

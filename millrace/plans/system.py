@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import graph as G
 from millrace.operators import system as S
+from millrace.plans.graph import EDGES_SQL, ENTITIES_SQL, edges, entities, key
 from millrace.plans.issues import EVENTS_SQL
 from millrace.plans.rules import rule_events
 from millrace.session import table
@@ -36,6 +38,15 @@ def packages(spark, folder):
     return S.package_links(deps, repos.withColumn("full_name", F.concat(F.lit("acme/nation_"), F.col("id").cast("string"))))
 
 
+def system_links_whole(spark, folder):
+    """Links between all owners from all four sources: shared topics, edges, packages and wiring."""
+    e, ent = edges(spark, folder), entities(spark, folder)
+    events = G.topic_links(e, ent.where("owner IS NOT NULL"))
+    library = packages(spark, folder).select(key("n", "repo").alias("source"), key("n", "id").alias("target"), F.lit("library").alias("kind"), F.col("name").alias("via"))
+    config = wiring_whole(spark, folder).select(key("c", "source").alias("source"), key("c", "target").alias("target"), "kind", "via")
+    return G.system_links(events, G.edge_links(e, ent), library, config)
+
+
 def endpoint_groups(spark, folder):
     o = table(spark, folder, "orders")
     name = F.concat(F.element_at(F.array(*map(F.lit, ["GET /api/v1/", "POST /v2/", "GET /api/", "/", "PUT /api/v1/{id}/"])), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lower(F.substring("o_orderpriority", 3, 20)), F.lit("/"), (F.col("o_orderkey") % 7).cast("string"))
@@ -110,7 +121,7 @@ def path_chunks(spark, folder):
     return d.groupBy("lang", "source").agg(F.count("*").cast("int").alias("chunks")).where(F.col("source").ilike("%1%"))
 
 
-QUERIES = {f.__name__: f for f in (wiring, wiring_whole, packages, endpoint_groups, extracted_facts, module_calls, modules, navigation, decode_freshness, rule_dry_run, issues_with_terms, composite_lookup, distinct_per_repo, cited_scopes, path_chunks)}
+QUERIES = {f.__name__: f for f in (wiring, wiring_whole, packages, system_links_whole, endpoint_groups, extracted_facts, module_calls, modules, navigation, decode_freshness, rule_dry_run, issues_with_terms, composite_lookup, distinct_per_repo, cited_scopes, path_chunks)}
 ORACLES = {
     "wiring": """WITH c AS (SELECT c_custkey AS k, c_custkey * 7 % 400 AS t FROM customer WHERE c_custkey <= 400), l AS (
   SELECT k, t + 1 AS o, 'api' AS kind, 'h' || (t + 1) || '.acme.io' AS via FROM c UNION ALL SELECT k, t + 2, 'api', 'svc' || (t + 2) || '.prod.svc' FROM c UNION ALL SELECT k, t + 4, 'image', 'ghcr.io/acme/svc' || (t + 4) FROM c UNION ALL SELECT k, t + 5, 'pipeline', 'acme/svc' || (t + 5) FROM c)
@@ -131,3 +142,8 @@ SELECT repo, CASE WHEN r THEN '/' WHEN strpos(p, '/') > 0 THEN '/' || split_part
     "cited_scopes": "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS scopes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "path_chunks": "SELECT lang, source, CAST(count(*) AS INT) AS chunks FROM documents WHERE source ILIKE '%1%' GROUP BY 1, 2",
 }
+# edges but owns, publishes and subscribes, which are not links by themselves, do not occur in these tables
+ORACLES["system_links_whole"] = f"""WITH {ENTITIES_SQL}, {EDGES_SQL}, w AS (SELECT id, owner FROM ent WHERE owner IS NOT NULL), u AS (
+  SELECT p.owner AS source, q.owner AS target, 'event' AS kind, x.dst AS via, x.src AS first FROM edge x JOIN w p ON p.id = x.src JOIN edge y ON y.dst = x.dst JOIN w q ON q.id = y.src WHERE x.kind = 'publishes' AND y.kind = 'subscribes' AND p.owner <> q.owner
+  UNION ALL SELECT 'n:' || repo, 'n:' || id, 'library', name, NULL FROM ({ORACLES["packages"]}) UNION ALL SELECT 'c:' || source, 'c:' || target, kind, via, NULL FROM ({ORACLES["wiring_whole"]}))
+SELECT source, target, kind, via, count(*) AS links, min(first) AS first FROM u GROUP BY 1, 2, 3, 4"""
