@@ -67,40 +67,6 @@ def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return checked_pieces(table(spark, folder, "documents"))
 
 
-def removed_units(removed: Column) -> Column:
-    return F.aggregate(removed, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-
-
-def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = substring_dedup(table(spark, folder, "documents"))
-    return out.select("doc_id", "n_words", removed_units(F.col("removed")).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = suffix_dedup(table(spark, folder, "documents"))
-    return out.select("doc_id", "n_bytes", removed_units(F.col("removed")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def op5_multi_index(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours(table(spark, folder, "embeddings"))
-
-
-def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secret_scan(table(spark, folder, "documents"))
-
-
-def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing(table(spark, folder, "documents"))
-
-
-def op3_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids of the best segmentation, the scores of the four best, and whether decoding gives the text again."""
-    docs = table(spark, folder, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    best = encode(docs, keep=["doc_id", "sha"]).select("doc_id", "sha", "ids", "score", F.transform("alternatives", lambda a: a["score"]).alias("next_scores"))
-    back = decode(best, keep=["doc_id", "sha", "ids", "score", "next_scores"])
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "score", "next_scores", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
-
-
 def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, "documents"))
 
