@@ -1,11 +1,12 @@
 """Similarity join of documents by their word shingles with a token-group matrix.
 
-Sets of shingles link when 100 * intersection >= 80 * union. Linked sets share one of their smallest tokens (a prefix of a fifth
-of each set, in the order of the tokens' hashes), so only prefixes are exchanged. Similar documents are partitioned into groups:
-families, where every set of a token is held against one of them, cut into blocks. The matrix of tokens and blocks bounds how
+Sets of shingles link when 100 * intersection >= 80 * union. Linked sets share one of their first tokens (a prefix of a fifth
+of each set, in one order of all tokens), so only prefixes are exchanged. The order puts tokens that are frequent in the corpus
+last: passages that many documents hold leave the prefixes of all sets but those that hold little else. Similar documents
+are partitioned into groups: families, sets that meet one leader, cut into blocks. The matrix of tokens and blocks bounds how
 much a set can share with a block; blocks that pass are opened: their members' token union bounds the overlap again, and a set
-that passes that meets all members at once in the block's own matrix. Sets that are connected already need no look, and a set
-asks a block, not its members, so no group's pairs are spelled out.
+that passes that meets all members at once in the block's own matrix. A set asks a block, not its members, and a block
+answers with numbers of links and with as many links as join what is linked, so no group's pairs are spelled out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ BLOCK, SALT = 2048, 1024
 BLOCK_TOKENS = 1 << 20
 #: Blocks that may hold a token for it to name candidates by itself; a commoner token counts as shared by all that have it.
 COMMON = 64
+#: A token is frequent if it makes up this share of all tokens, counted where a run of WINDOW tokens holds it twice: at most
+#: 2 ** 21 tokens are, whatever the corpus, so that their hashes (16 MB) can be sent to every executor. Any choice gives the same links.
+FREQUENT, LEAST, WINDOW = 2.0**-21, 32, 1 << 22
 #: Rows (48 bytes each) that are sent to every executor to pick texts; beyond it the texts are shuffled to them.
 FEW = 300_000
 NO_ID = (1 << 63) - 1
@@ -35,10 +39,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = utf8(column)
+    return _LOWER[data], offsets
+
+
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text in rising order, one text after the other, and the texts' n+1 bounds."""
-    data, offsets = utf8(column)
-    w = Words(_LOWER[data], offsets)
+    w = Words(*lowered(column))
     codes, distinct = w.coded()
     values = hashes(distinct)[codes]
     keep = np.flatnonzero(complete(w.bounds, len(values), GRAM))
@@ -55,7 +63,7 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(tokens):
         new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (rows[1:] != rows[:-1])])
         tokens, rows = tokens[new], rows[new]
-    return tokens, np.searchsorted(rows, np.arange(len(offsets)))
+    return tokens, np.searchsorted(rows, np.arange(len(column) + 1))
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -69,18 +77,61 @@ def needed(n):
     return (4 * n + 4) // 5
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """key, set_id (null for no words), n, and prefix: the n - needed(n) + 1 smallest tokens, for the first of equal sets in a slice."""
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Rising hashes of the tokens that are frequent in docs (with __text); a token's repeats within one text count too."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n > 1
+            return pa.RecordBatch.from_arrays([pa.array([*[None], *tokens[often].view(np.int64).tolist()], pa.int64()), pa.array(np.append(n.sum(), n[often]), pa.int64())], names=["token", "n"])
+
+        for batch in batches:
+            for p in slices(batch, "__text", SLICE):
+                w = Words(*lowered(p.column(0)))
+                codes, distinct = w.coded()
+                values = hashes(distinct)[codes]
+                held.append(windows(values, GRAM)[complete(w.bounds, len(values), GRAM)])
+                size += len(held[-1])
+                if size > WINDOW:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    counts = stored(docs.select("__text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    total = counts.where("token IS NULL").agg(F.sum("n")).first()[0] or 0
+    often = counts.where(F.col("token").isNotNull() & (F.col("n") >= max(LEAST, FREQUENT * total))).select("token").toArrow()
+    return np.sort(often.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def ordered(tokens: np.ndarray, bounds: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Each set's tokens as signed numbers in the order of the prefixes: frequent ones last, by hash otherwise."""
+    last = np.zeros(len(tokens), dtype=bool)
+    if len(often):
+        last = often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] == tokens
+    numbers = (tokens >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
+    if last.any():
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        numbers = numbers[np.argsort(2 * row + last, kind="stable")]
+    return numbers.view(np.int64) ^ np.int64(-(1 << 63))
+
+
+def described(docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """key, set_id (null for no words), n, and prefix: the n - needed(n) + 1 first tokens, for the first of equal sets in a slice."""
+    sent = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in slices(batch, "__text", SLICE):
                 tokens, bounds = shingles(p.column(1))
-                signed = tokens.view(np.int64) ^ np.int64(-(1 << 63))  # the same order as the unsigned numbers
+                numbers = ordered(tokens, bounds, sent.value)
                 n = np.diff(bounds)
                 ids = [set_id(tokens[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 seen: set = set()
-                prefix = [None if i is None or i in seen or seen.add(i) else signed[a : a + m - needed(m) + 1] for i, a, m in zip(ids, bounds.tolist(), n.tolist(), strict=False)]
+                prefix = [None if i is None or i in seen or seen.add(i) else numbers[a : a + m - needed(m) + 1] for i, a, m in zip(ids, bounds.tolist(), n.tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=["key", "set_id", "n", "prefix"])
 
     return docs.select("key", "__text").mapInArrow(run, "key long, set_id long, n int, prefix array<long>")
@@ -123,56 +174,71 @@ def within(n: Column) -> tuple[Column, Column, Column]:
 
 
 def opened(own: DataFrame, reps: DataFrame, members: DataFrame, asks: DataFrame) -> DataFrame:
-    """Links (a, b) between sets of asks and of members (both: block, set_id, label) of the same block, as many as join their labels.
+    """What the sets of asks find among the members of the same block: rows (a, null, links) and rows (a, b, 0).
 
-    Texts travel to the block and are cut into shingles there; a block's queries are split over salted copies of the block.
-    The block's matrix of members and tokens gives a query's overlap with the token union, and, if that passes, with all members.
+    The former add up to the number of documents that set a links with, equal sets aside; the latter are links, as many of a
+    block as join what it links. members: block, set_id. asks: block, set_id and home, the block that the set is a member of. Texts
+    travel to the block and are cut into shingles there; a block's queries are split over salted copies of the block. The
+    block's matrix of members and tokens gives a query's overlap with the token union, and, if that passes, with all members.
     """
     parts = asks.groupBy("block").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
-    held = members.join(parts, "block").select("block", "set_id", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("asks"))
-    asked = asks.join(parts, "block").select("block", "set_id", "label", F.pmod(F.xxhash64("set_id"), "parts").cast("int").alias("salt"), F.lit(1).alias("asks"))
-    sent = stored(held.unionByName(asked).distinct().join(reps, "set_id").select("key", "block", "salt", "asks", "set_id", "label"), "sent")
-    texts = own.join(F.broadcast(sent) if sent.count() <= FEW else sent, "key").select("block", "salt", "asks", "set_id", "label", "__text")
+    turns = asks.groupBy("set_id").agg(F.collect_set("block").alias("turns"))
+    held = members.join(parts, "block").join(turns, "set_id", "left").select("block", "set_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("home"), "turns")
+    asked = asks.join(parts, "block").select("block", "set_id", F.pmod(F.xxhash64("set_id"), "parts").cast("int").alias("salt"), "home", F.lit(None).cast("array<long>").alias("turns"))
+    sent = stored(held.unionByName(asked).join(reps.select("set_id", "key", "copies"), "set_id"), "sent")
+    texts = own.join(F.broadcast(sent) if sent.count() <= FEW else sent, "key").select("block", "salt", "home", "set_id", "copies", "turns", "__text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, block = None, Block()
+        at, last, block, rows = None, None, Block(0), []
         for batch in batches:
             for p in slices(batch, "__text", SLICE):
-                tokens, bounds = shingles(p.column(5))
-                links: list[tuple[int, int]] = []
-                for i, (b, salt, ask, own_id, label) in enumerate(zip(*(p.column(c).to_pylist() for c in range(5)), strict=True)):
+                tokens, bounds = shingles(p.column(6))
+                for i, (b, salt, home, own_id, copies, turns) in enumerate(zip(*(p.column(c).to_pylist() for c in range(6)), strict=True)):
                     mine = tokens[bounds[i] : bounds[i + 1]]
-                    if set_id(mine) != own_id:  # another text with the same id
+                    if set_id(mine) != own_id or (b, salt, home, own_id) == last:  # another text with the same id, or the same text
                         continue
+                    last = (b, salt, home, own_id)
                     if (b, salt) != at:
-                        at, block = (b, salt), Block()
-                    if ask:
-                        links += [(own_id, other) for other in block.linked(mine, label)]
+                        rows += block.given()
+                        at, block = (b, salt), Block(b)
+                    if home is None:
+                        block.add(own_id, mine, copies, turns)
                     else:
-                        block.add(own_id, label, mine)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+                        rows += block.asked(own_id, mine, copies, home)
+                yield told(rows)
+                rows = []
+        yield told(block.given())
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["a", "b", "links"])
 
-    return texts.repartition("block", "salt").sortWithinPartitions("block", "salt", "asks").mapInArrow(compare, "a long, b long")
+    return texts.repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("home").asc_nulls_first(), "set_id").mapInArrow(compare, "a long, b long, links long")
 
 
 class Block:
     """Sets of a block, the union of their tokens and the matrix of both."""
 
-    def __init__(self) -> None:
+    def __init__(self, number: int) -> None:
+        self.number = number
         self.ids: list[int] = []
-        self.labels: list[int] = []
+        self.copies: list[int] = []
+        self.turns: list[set[int]] = []
         self.sets: list[np.ndarray] = []
         self.union: np.ndarray | None = None
         self.joined: dict[int, int] = {}
 
-    def add(self, own_id: int, label: int, tokens: np.ndarray) -> None:
+    def add(self, own_id: int, tokens: np.ndarray, copies: int, turns: list[int] | None) -> None:
+        """Takes in a member, before the first question. turns: the blocks that it asks."""
         self.ids.append(own_id)
-        self.labels.append(label)
+        self.copies.append(copies)
+        self.turns.append(set(turns or ()))
         self.sets.append(tokens)
-        self.union = None
 
     def index(self) -> None:
         """The matrix by token: of each token of the union, the members that hold it."""
+        self.own = np.array(self.ids)
+        self.times = np.array(self.copies)
+        self.given_links = np.zeros(len(self.sets), dtype=np.int64)
         self.sizes = np.array([len(s) for s in self.sets])
         tokens = np.concatenate(self.sets)
         order = np.argsort(tokens, kind="stable")
@@ -180,8 +246,11 @@ class Block:
         self.union, self.first = np.unique(tokens[order], return_index=True)
         self.first = np.append(self.first, len(tokens))
 
-    def linked(self, tokens: np.ndarray, label: int) -> list[int]:
-        """Linked sets of other labels, as far as no earlier answer has joined the labels."""
+    def asked(self, own_id: int, tokens: np.ndarray, copies: int, home: int) -> list[tuple]:
+        """Rows for a query from block home: its number of links, and links that join it with what it is not joined with yet.
+
+        Two linked sets may both ask: within one block each then counts for itself; of two blocks the smaller one's set counts for both.
+        """
         if not self.sets:
             return []
         if self.union is None:
@@ -193,57 +262,53 @@ class Block:
         start, n = self.first[place], self.first[place + 1] - self.first[place]
         held = self.holders[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
         shared = np.bincount(held, minlength=len(self.sets))
-        found = []
-        for i in np.flatnonzero(9 * shared >= 4 * (len(tokens) + self.sizes)):
-            a, b = self.root(label), self.root(self.labels[i])
+        found = np.flatnonzero((9 * shared >= 4 * (len(tokens) + self.sizes)) & (self.own != own_id))
+        if not len(found):
+            return []
+        silent = found if home < self.number else found[[home not in self.turns[i] for i in found]]
+        self.given_links[silent] += copies
+        counted = found if home == self.number else silent
+        rows: list[tuple] = [(own_id, None, int(self.times[counted].sum()))]
+        for other in self.own[found].tolist():
+            a, b = self.root(own_id), self.root(other)
             if a != b:
                 self.joined[max(a, b)] = min(a, b)
-                found.append(self.ids[i])
-        return found
+                rows.append((own_id, other, 0))
+        return rows
+
+    def given(self) -> list[tuple]:
+        """Rows for the links that members have with queries of other blocks."""
+        return [] if self.union is None else [(self.ids[i], None, int(self.given_links[i])) for i in np.flatnonzero(self.given_links)]
 
-    def root(self, label: int) -> int:
-        while (above := self.joined.get(label, label)) != label:
-            label = above
-        return label
+    def root(self, node: int) -> int:
+        while (above := self.joined.get(node, node)) != node:
+            node = above
+        return node
 
 
-def candidates(homed: DataFrame, sets: DataFrame, labels: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
-    """asks and members (both: block, set_id, label): blocks that may hold a set that links with the asking one and has another label.
+def candidates(homed: DataFrame, sets: DataFrame) -> DataFrame:
+    """block, set_id and home (its own block) of all blocks that may hold a set that links with set_id; of two linked sets one asks at least.
 
-    homed: token, set_id, n, block of prefix tokens that several sets have. sets: set_id, n, prefix. labels: set_id, label of the
-    components so far. step: own (sets ask their own block), one (one set of each component with links asks other blocks) or all. The
-    first two only join components early, so that the last, which misses nothing, has little left to ask.
+    homed: token, set_id, n, block of prefix tokens that several sets have. sets: set_id, n, prefix.
     """
-    by_token = Window.partitionBy("token")
-    grouped = homed.join(labels, "set_id", "left").withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", "set_id")).repartition("token")
-    matrix = grouped.groupBy("token", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.withColumn("blocks", F.count("*").over(by_token)).withColumn("lowest", F.min("low").over(by_token)).withColumn("highest", F.max("high").over(by_token))
-    matrix = matrix.where("lowest <> highest").drop("lowest", "highest")
+    matrix = homed.groupBy("token", "block").agg(F.count("*").alias("held"), F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = stored(matrix.withColumn("blocks", F.count("*").over(Window.partitionBy("token"))), "matrix")
     # of two blocks the smaller one's sets ask; sets of one block ask their own
-    rare = matrix.where(F.col("blocks") <= COMMON).select("token", F.col("block").alias("other"), "low", "high", "least", "most")
+    rare = matrix.where((F.col("blocks") <= COMMON) & ((F.col("blocks") > 1) | (F.col("held") > 1))).select("token", F.col("block").alias("other"), "held", "least", "most")
     n = F.col("n")
-    if step == "own":
-        rare = rare.where("low <> high")
-    asking = grouped.where("linked AND set_id = label") if step == "one" else grouped
-    order = F.col("block") == F.col("other") if step == "own" else F.col("block") != F.col("other") if step == "one" else F.col("block") <= F.col("other")
-    met = asking.join(rare, "token").where(order & ((F.col("low") != F.col("label")) | (F.col("high") != F.col("label"))) & (5 * F.col("most") >= 4 * n) & (4 * F.col("least") <= 5 * n))
-    met = met.groupBy("set_id", "n", "label", "other").agg(F.count("*").alias("met"))
+    order = (F.col("block") < F.col("other")) | ((F.col("block") == F.col("other")) & (F.col("held") > 1))
+    met = homed.join(rare, "token").where(order & (5 * F.col("most") >= 4 * n) & (4 * F.col("least") <= 5 * n))
+    met = met.groupBy("set_id", "n", "block", "other").agg(F.count("*").alias("met"))
     # a block's sizes bound what must be met: it is least at the ends of the sizes that can link
     sizes = homed.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnRenamed("block", "other")
     met = met.join(sizes, "other").withColumn("bound", within(n)[2])
-    if step != "all":
-        asks = met.where("met >= bound")
-    else:
-        heavy = stored(grouped.join(matrix.where(F.col("blocks") > COMMON).select("token").distinct(), "token"), "heavy")
-        heavies = heavy.groupBy("set_id").agg(F.count("*").alias("heavy"), F.collect_list("token").alias("own"))
-        theirs = heavy.groupBy(F.col("block").alias("other")).agg(F.collect_set("token").alias("theirs"))
-        met = met.join(heavies, "set_id", "left").where(F.col("met") + F.coalesce("heavy", F.lit(0)) >= F.col("bound")).join(theirs, "other", "left")
-        asks = met.where(F.col("met") + F.coalesce(F.size(F.array_intersect("own", "theirs")), F.lit(0)) >= F.col("bound"))
-    asks = asks.select(F.col("other").alias("block"), "set_id", "label")
-    if step == "all":
-        asks = asks.unionByName(only_common(heavy, heavies.select("set_id", "heavy"), sets))
-    asks = stored(asks.distinct(), "asks")
-    return asks, asks.select("block").distinct().join(grouped.select("block", "set_id", "label").distinct(), "block")
+    heavy = stored(homed.join(matrix.where(F.col("blocks") > COMMON).select("token").distinct(), "token"), "heavy")
+    heavies = heavy.groupBy("set_id").agg(F.count("*").alias("heavy"), F.collect_list("token").alias("own"))
+    theirs = heavy.groupBy(F.col("block").alias("other")).agg(F.collect_set("token").alias("theirs"))
+    met = met.join(heavies, "set_id", "left").where(F.col("met") + F.coalesce("heavy", F.lit(0)) >= F.col("bound")).join(theirs, "other", "left")
+    asks = met.where(F.col("met") + F.coalesce(F.size(F.array_intersect("own", "theirs")), F.lit(0)) >= F.col("bound")).select("block", "other", "set_id")
+    asks = asks.unionByName(only_common(heavy, heavies.select("set_id", "heavy"), sets)).distinct()
+    return stored(asks.select(F.col("other").alias("block"), "set_id", F.col("block").alias("home")), "asks")
 
 
 def stepped(h: Column) -> Column:
@@ -257,7 +322,7 @@ def up_to(step: Column) -> Column:
 
 
 def only_common(heavy: DataFrame, heavies: DataFrame, sets: DataFrame) -> DataFrame:
-    """block, set_id and label of sets that may link with one of a block though all prefix tokens they share are common ones.
+    """block, other and set_id of sets (of block) that may link with one of other though all prefix tokens they share are common ones.
 
     Of such sets z and w let z's prefix end first (at cut). Its other prefix tokens are then missing from w, so its h common ones
     must do: share(n_z, n_w) <= needed(n_z) - 1 + h, hence n_w <= 0.8 n_z + 2.25 h; and w's other tokens up to z's cut are missing
@@ -266,64 +331,74 @@ def only_common(heavy: DataFrame, heavies: DataFrame, sets: DataFrame) -> DataFr
     """
     known = sets.where("prefix IS NOT NULL").join(heavies, "set_id").select("set_id", "prefix", "heavy").dropDuplicates(["set_id"])
     each = heavy.join(known, "set_id").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    z = each.select("token", F.col("block").alias("other"), F.col("label").alias("its"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), stepped(F.col("heavy")).alias("few"), "class")
+    z = each.select("token", "set_id", F.col("block").alias("other"), F.col("n").alias("n_z"), F.col("heavy").alias("h"), F.array_max("prefix").alias("cut"), stepped(F.col("heavy")).alias("few"), "class")
     # the sets of a block in one class are one row, with what the loosest of them allows
-    z = z.groupBy("token", "other", "class", "few").agg(F.min("its").alias("low"), F.max("its").alias("high"), F.min("n_z").alias("least"), F.max("n_z").alias("most"), F.max("h").alias("h"), F.min("cut").alias("cut"))
+    z = z.groupBy("token", "other", "class", "few").agg(F.min("n_z").alias("least"), F.max("n_z").alias("most"), F.max("h").alias("h"), F.min("cut").alias("cut"), F.min("set_id").alias("low"), F.max("set_id").alias("high"))
     z = z.withColumn("class", F.explode(F.array(*(F.col("class") + d for d in range(-2, 3)))))
     first = z.groupBy("token", "class", "few").agg(F.min("cut").alias("first"))
     until = F.try_element_at("prefix", (F.col("heavy") + F.floor(1.25 * up_to(F.col("few"))) + 1).cast("int"))
     w = each.join(first, ["token", "class"]).withColumn("until", until).where("until IS NULL OR until > first")
-    w = w.select("token", "class", "few", "set_id", "label", F.col("n").alias("n_w"), F.col("heavy").alias("own"), "until")
+    w = w.select("token", "class", "few", "set_id", "block", F.col("n").alias("n_w"), F.col("heavy").alias("own"), "until")
     n_w = F.col("n_w")
     first, last, bound = within(n_w)
     fits = (share(last, n_w) <= four_fifths(last) + F.col("h")) & (first <= last) & (bound <= F.least("h", "own"))
-    met = w.join(z, ["token", "class", "few"]).where((F.col("until").isNull() | (F.col("cut") < F.col("until"))) & ((F.col("label") != F.col("low")) | (F.col("label") != F.col("high"))) & fits)
+    met = w.join(z, ["token", "class", "few"]).where((F.col("until").isNull() | (F.col("cut") < F.col("until"))) & ((F.col("set_id") != F.col("low")) | (F.col("set_id") != F.col("high"))) & fits)
     # a block may hold several classes of sizes and counts; all of them together must be met as often as the loosest asks
-    met = met.groupBy("set_id", "label", "other").agg(F.countDistinct("token").alias("met"), F.min(bound).alias("bound")).where("met >= bound")
-    return met.select(F.col("other").alias("block"), "set_id", "label")
+    met = met.groupBy("set_id", "block", "other").agg(F.countDistinct("token").alias("met"), F.min(bound).alias("bound")).where("met >= bound")
+    return met.select("block", "other", "set_id")
 
 
 def linked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """key (doc_id, NO_ID for null), set_id, n, component_id and chosen for each row of docs: see similarity_classes().
+    """key (doc_id, NO_ID for null), set_id, n, component_id, chosen and n_links for each row of docs: see similarity_classes().
 
     chosen: the least set_id that component_id has in the component, null for no words.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("__text"))
-    sets = stored(described(own), "sets")
+    sets = stored(described(own, frequent(own)), "sets")
     some = sets.where("set_id IS NOT NULL")
-    reps = stored(some.groupBy("set_id").agg(F.min("key").alias("key")), "reps")
-    tokens = some.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "set_id", "n").repartition("token")
-    by_token = Window.partitionBy("token")
-    shared = tokens.withColumn("leader", F.min("set_id").over(by_token)).withColumn("last", F.max("set_id").over(by_token)).where("leader <> last")
-    shared = stored(shared.select("token", "set_id", "n", "leader").distinct(), "shared")
-    # stars: a set asks the leader that it meets most, where that is often enough; links that this leaves out are found below
+    reps = stored(some.groupBy("set_id").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "reps")
+    shared = stored(several(some.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "set_id", "n")), "shared")
+    # a set's family is that of the leader that it meets most, where that is often enough; links that this leaves out are found below
     star = shared.where("set_id <> leader").groupBy("leader", "set_id", "n").agg(F.count("*").alias("met")).where(10 * F.col("met") >= F.col("n") - four_fifths(F.col("n")) + 1)
     star = stored(star.groupBy("set_id").agg(F.max_by("leader", F.struct("met", "leader")).alias("family"), F.max("n").alias("n")), "star")
-    asks = star.select(F.col("family").alias("block"), "set_id", F.col("set_id").alias("label"))
-    leaders = star.select(F.col("family").alias("block"), F.col("family").alias("set_id"), F.col("family").alias("label")).distinct()
-    links = stored(opened(own, reps, leaders, asks), "stars")
-    # sets with a leader in common, directly or by other sets, are a family, linked or not
-    families = components(star.select(F.col("set_id").alias("a"), F.col("family").alias("b"))).select(F.col("node").alias("set_id"), F.col("label").alias("family"))
-    families = families.join(star.select("set_id", "n"), "set_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    leaders = star.select(F.col("family").alias("set_id")).distinct()
+    families = star.join(leaders, "set_id", "left_anti").unionByName(leaders.select("set_id", F.col("set_id").alias("family"), F.lit(0).alias("n")))
     size = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"))
     home = families.join(size, "family").select("set_id", F.xxhash64("family", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("home"))
     homed = shared.join(home, "set_id", "left").select("token", "set_id", "n", F.coalesce("home", F.xxhash64("set_id")).alias("block"))
     homed = stored(homed, "homed")
-    for step in ("own", "one", "all"):
-        asks, members = candidates(homed, sets, components(links).withColumnRenamed("node", "set_id"), step)
-        links = stored(links.unionByName(opened(own, reps, members, asks)), "links")
-    classes = reps.join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    ids = classes.groupBy("label").agg(F.min(F.struct("key", "set_id")).alias("least")).join(classes.select("label", "set_id"), "label").select("set_id", F.col("least.key").alias("component_id"), F.col("least.set_id").alias("chosen"))
+    asks = candidates(homed, sets)
+    members = asks.select("block").distinct().join(homed.select("block", "set_id").distinct(), "block")
+    found = stored(opened(own, reps, members, asks), "found")
+    links = found.groupBy(F.col("a").alias("set_id")).agg(F.sum("links").alias("links"))
+    classes = reps.join(components(found.where("b IS NOT NULL")).withColumnRenamed("node", "set_id"), "set_id", "left").join(links, "set_id", "left")
+    classes = classes.select("set_id", "key", F.coalesce("label", "set_id").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    ids = classes.groupBy("label").agg(F.min(F.struct("key", "set_id")).alias("least")).join(classes.select("label", "set_id", "n_links"), "label")
+    ids = ids.select("set_id", F.col("least.key").alias("component_id"), F.col("least.set_id").alias("chosen"), "n_links")
     out = sets.select("key", "set_id", "n").join(ids, "set_id", "left")
-    return out.select("key", "set_id", "n", F.coalesce("component_id", "key").alias("component_id"), "chosen")
+    return out.select("key", "set_id", "n", F.coalesce("component_id", "key").alias("component_id"), "chosen", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def several(tokens: DataFrame) -> DataFrame:
+    """token, set_id, n and leader (the least set_id of the token) of tokens that several sets have in their prefixes, once each.
+
+    Frequent tokens, which any share of all sets may have, are counted before their rows meet; no other token has more
+    than a bounded share of the rows.
+    """
+    by_token = Window.partitionBy("token")
+    rare = tokens.where("token < 0").repartition("token")
+    rare = rare.withColumn("leader", F.min("set_id").over(by_token)).withColumn("last", F.max("set_id").over(by_token)).where("leader <> last").drop("last").distinct()
+    often = tokens.where("token >= 0")
+    ends = often.groupBy("token").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader <> last").drop("last")
+    return rare.unionByName(often.distinct().join(ends, "token"))
 
 
 def similarity_classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) for each row of docs.
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) and n_links (rows linked with) for each row of docs.
 
     Null texts and texts without words have no shingles and link with nothing; texts of fewer than five words have one. Rows
     with equal shingles link, whatever their ids. A null doc_id comes after all others: it is the component_id only where
     all ids are null. Other columns of docs have no influence; an empty table gives no rows.
     """
     known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return linked(docs, text).select(known("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known("component_id").alias("component_id"))
+    return linked(docs, text).select(known("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), known("component_id").alias("component_id"), "n_links")

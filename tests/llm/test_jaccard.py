@@ -22,24 +22,26 @@ def brute(rows):
             i = root[i]
         return i
 
-    where = {}
+    where, links = {}, [0] * len(rows)
     for i, s in enumerate(sets):
         for t in s:
             where.setdefault(t, []).append(i)
     for i, s in enumerate(sets):
         for j in {j for t in s for j in where[t] if j > i}:
-            if find(i) != find(j) and 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+            if 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
                 root[find(j)] = find(i)
+                links[i] += 1
+                links[j] += 1
     least = {}
     big = 1 << 62
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), big), big if d is None else d)
-    return sorted((str(d), len(sets[i]), str(None if least[find(i)] == big else least[find(i)])) for i, (d, _) in enumerate(rows))
+    return sorted((str(d), len(sets[i]), str(None if least[find(i)] == big else least[find(i)]), links[i]) for i, (d, _) in enumerate(rows))
 
 
 def check(spark, rows):
     df = spark.createDataFrame([(d, t, 1, "x", 2) for d, t in rows], SCHEMA).repartition(3)
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similarity_classes(df).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.n_links) for r in jaccard.similarity_classes(df).collect())
     assert got == brute(rows)
 
 
@@ -71,12 +73,14 @@ def test_against_brute_force(spark, seed):
     check(spark, corpus(seed))
 
 
-def test_common_tokens_and_small_blocks(spark, monkeypatch):
-    """The same links where nearly every token counts as common, blocks are small and queries are salted."""
+@pytest.mark.parametrize("least", [2, 5, 1 << 30])
+def test_common_tokens_and_small_blocks(spark, monkeypatch, least):
+    """The same links where nearly every token counts as common, blocks are small, queries are salted, and many, some or no tokens are frequent."""
     monkeypatch.setattr(jaccard, "COMMON", 2)
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "SALT", 4)
     monkeypatch.setattr(jaccard, "FEW", 1)
+    monkeypatch.setattr(jaccard, "LEAST", least)
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 200)
     check(spark, corpus(3, 200))
 
