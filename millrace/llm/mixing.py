@@ -1,9 +1,9 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-The words of each source, document after document, are packed into blocks of BLOCK words. Every output slot of a source draws
-its output shard, so the shards' counts of that source are multinomial while the source's total is kept. A slot's number is
-mapped by a pseudorandom permutation of the source's blocks, another one for each pass over the source, and the slots are
-joined with the blocks by that index.
+The words of each source, document after document, are packed into blocks of BLOCK words. Output shards hold SHARD_BLOCKS slots
+each. Each shard draws its sources' counts: a multinomial draw given that all shards together keep the sources' totals, made
+by one pseudorandom permutation of all slots that is cut into shards. A slot's number within its source is mapped by another
+permutation, of the source's blocks, a new one for each pass over the source, and slots are joined with blocks by that index.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BLOCK = 1024
-SHARD_BLOCKS = 4096
+BLOCK = 512
+#: Slots of an output shard: 16384 words, a training batch rather than a file; a file takes any number of shards.
+SHARD_BLOCKS = 32
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = 20
@@ -45,9 +46,12 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x.cast("long"), lambda y, i: F.when((i == 1) | (y >= n), once(y)).otherwise(y)))
 
 
-def targets(sized: DataFrame) -> DataFrame:
+def targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per source of sized (source, size): its place by code point (null last), docs, source_size, weight and target.
 
+    passes over all its blocks and a rest in words make the target, rounded; they take slots, before which all sources before it
+    have base slots, and all sources together all_slots.
+
     Weights repeat by place. A target is the source's share by weight of all words, at most CAP times the source's own; what is
     cut is shared out again by weight. That ends at the level where all uncut targets are level * weight: sources are cut in
     order of cap / weight, so the level is found from sums over that order.
@@ -61,7 +65,11 @@ def targets(sized: DataFrame) -> DataFrame:
     per = per.withColumn("total", F.sum("source_size").over(everything)).withColumn("level", (F.col("total") - cut) / (F.sum("weight").over(everything) - gone))
     # the level rises while sources are cut and falls afterwards
     level = F.max("level").over(everything)
-    return per.withColumn("level", level).withColumn("target", F.least((CAP * F.col("source_size")).cast("double"), F.col("level") * F.col("weight")))
+    per = per.withColumn("level", level).withColumn("target", F.least((CAP * F.col("source_size")).cast("double"), F.col("level") * F.col("weight")))
+    wanted = F.floor(F.col("target") + 0.5).cast("long")
+    per = per.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0).cast("long")).withColumn("rest", wanted - F.col("passes") * F.col("source_size"))
+    per = per.withColumn("slots", F.col("passes") * F.ceil(F.col("source_size") / block) + F.ceil(F.col("rest") / block))
+    return per.withColumn("base", F.coalesce(F.sum("slots").over(Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all_slots", F.sum("slots").over(everything))
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -70,7 +78,7 @@ def row_key(docs: DataFrame) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(SEED), *parts).alias("b"))
 
 
-def placed(docs: DataFrame, text: str = "text", source: str = "source", row: Column | None = None) -> DataFrame:
+def placed(docs: DataFrame, text: str = "text", source: str = "source", row: Column | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, size, offset (words of the source before it) and the source's figures for each row of docs, written to the shared folder.
 
     The order in a source is by a bucket of the id, then the id, then the size, then row (see row_key) where it is given; rows
@@ -82,51 +90,52 @@ def placed(docs: DataFrame, text: str = "text", source: str = "source", row: Col
     buckets = max(1, sized.count() // BUCKET_DOCS)
     named = F.xxhash64("doc_id") if row is None else F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id"))
     sized = sized.withColumn("bucket", F.pmod(named, F.lit(buckets)))
-    per = targets(sized)
+    per = targets(sized, block)
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(by_bucket), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
+    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")).withColumn("begin", F.coalesce(F.sum("n").over(by_bucket), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "begin")
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     out = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = out.join(sums, out["source"].eqNullSafe(sums["s"]) & (out["bucket"] == sums["b"])).drop("s", "b")
     per = per.withColumnRenamed("source", "s")
-    return stored(out.join(per, out["source"].eqNullSafe(per["s"])).select("doc_id", "source", "size", (F.col("base") + F.col("within")).alias("offset"), "source_no", "source_size", "total", "target", *key), "placed")
+    return stored(out.join(per, out["source"].eqNullSafe(per["s"])).select("doc_id", "source", "size", (F.col("begin") + F.col("within")).alias("offset"), "source_no", "source_size", "target", "passes", "rest", "base", "all_slots", *key), "placed")
 
 
 def mixed(place: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
     """The mix of documents with their places (see placed), a row for each piece of a document in an output slot.
 
-    shard, source_no, epoch (pass over the source), slot (place in that pass), block, doc_id, offset, first_word and n_words of
+    shard, place (of the slot among all), source_no, epoch (pass over the source), slot (place in that pass), block, doc_id, offset, first_word and n_words of
     the piece within the document, and row where place has it. A source's pieces hold as many words as its rounded target: whole passes take every block
     once; the last takes blocks in permuted order, the last one cut. The short block at a source's end comes last in a pass.
     """
     b, key = F.lit(block), [c for c in place.columns if c == "row"]
-    wanted = F.floor(F.col("target") + 0.5).cast("long")
-    place = place.where("size > 0").withColumn("passes", F.floor(wanted / F.col("source_size")).cast("long")).withColumn("rest", wanted - F.col("passes") * F.col("source_size")).withColumn("full", F.floor(F.col("source_size") / b).cast("long"))
+    place = place.where("size > 0").withColumn("full", F.floor(F.col("source_size") / b).cast("long"))
     pieces = place.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / b).cast("long"), F.floor((F.col("offset") + F.col("size") - 1) / b).cast("long"))))
     pieces = pieces.withColumn("first", F.greatest("offset", F.col("block") * b)).withColumn("last", F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * b))
     # each block stands once among the pieces that begin it, and with it the slot of the same number
-    slots = pieces.where(F.col("first") == F.col("block") * b).select("source_no", "total", "passes", "rest", "full", F.col("block").alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("epoch"))
+    slots = pieces.where(F.col("first") == F.col("block") * b).select("source_no", "source_size", "passes", "rest", "full", "base", "all_slots", F.col("block").alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("epoch"))
     begun = F.col("slot") * b
     slots = slots.withColumn("cut", F.when(F.col("epoch") < F.col("passes"), b.cast("long")).otherwise(F.least(b.cast("long"), F.col("rest") - begun))).where("cut > 0")
     index = F.when(F.col("slot") < F.col("full"), permuted(F.col("slot"), F.col("full"), F.lit(seed), F.col("source_no"), F.col("epoch"))).otherwise(F.col("full"))
-    shards = F.greatest(F.lit(1), F.ceil(F.col("total") / (b * shard_blocks))).cast("long")
-    slots = slots.select("source_no", "epoch", "slot", index.alias("block"), "cut", F.pmod(F.xxhash64(F.lit(seed + 1), "source_no", "epoch", "slot"), shards).alias("shard"))
+    number = F.col("base") + F.col("epoch") * F.ceil(F.col("source_size") / b) + F.col("slot")
+    place_in_mix = permuted(number.cast("long"), F.col("all_slots"), F.lit(seed + 1))
+    slots = slots.select("source_no", "epoch", "slot", index.alias("block"), "cut", place_in_mix.alias("place"))
+    slots = slots.withColumn("shard", F.floor(F.col("place") / shard_blocks).cast("long"))
     out = slots.join(pieces.select("source_no", "block", "doc_id", "offset", "first", "last", *key), ["source_no", "block"])
     out = out.withColumn("n_words", F.least(F.col("last"), F.col("block") * b + F.col("cut")) - F.col("first")).where("n_words > 0")
-    return out.select("shard", "source_no", "epoch", "slot", "block", "doc_id", "offset", (F.col("first") - F.col("offset")).alias("first_word"), "n_words", *key)
+    return out.select("shard", "place", "source_no", "epoch", "slot", "block", "doc_id", "offset", (F.col("first") - F.col("offset")).alias("first_word"), "n_words", *key)
 
 
 def mixing(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) for each row of docs.
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) and shards (how many output shards hold some) for each row of docs.
 
     Null texts have size 0; a null source is a source of its own. Repeated rows have places of their own. An empty table gives
     no rows. Columns of docs but doc_id, text and source have no influence.
     """
-    place = placed(docs)
-    taken = mixed(place, block).groupBy("source_no", "offset").agg(F.sum("n_words").alias("n"))
-    taken = taken.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), "n")
+    place = placed(docs, block=block)
+    taken = mixed(place, block).groupBy("source_no", "offset").agg(F.sum("n_words").alias("n"), F.size(F.collect_set("shard")).cast("long").alias("in_shards"))
+    taken = taken.select(F.col("source_no").alias("s"), F.col("offset").alias("o"), "n", "in_shards")
     out = place.join(taken, (place["size"] > 0) & (place["source_no"] == taken["s"]) & (place["offset"] == taken["o"]), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0).cast("long")).alias("taken"), F.coalesce("in_shards", F.lit(0).cast("long")).alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -135,7 +144,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", block: int = BLOCK) ->
     A pass that takes all of a document gives its text as it is; one that takes a part gives the part's words joined by a
     space. Documents that the mix leaves out have no row. Rows without an id, or with the id of another row, have takes of their own.
     """
-    taken = mixed(placed(docs, text, row=row_key(docs)), block).groupBy("source_no", "offset", "row", "epoch").agg(F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("parts"))
+    taken = mixed(placed(docs, text, row=row_key(docs), block=block), block).groupBy("source_no", "offset", "row", "epoch").agg(F.sum("n_words").alias("n"), F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("parts"))
     takes = taken.groupBy("source_no", "offset", "row").agg(F.collect_list(F.struct("epoch", "n", "parts")).alias("takes"))
     place = placed_rows(docs, text, takes)
     words = F.regexp_extract_all(F.col("__text"), F.lit(WORD), F.lit(0))

@@ -60,11 +60,26 @@ def test_repeated_rows(spark):
 
 def test_slots_take_each_block_once_a_pass(spark):
     df = spark.createDataFrame([(i, "a b c", "s" if i else "t", "", 0) for i in range(200)], SCHEMA)
-    out = mixed(placed(df), block=8, shard_blocks=10)
+    out = mixed(placed(df, block=8), block=8, shard_blocks=10)
     assert out.groupBy("source_no", "epoch", "block").agg(F.countDistinct("slot").alias("n")).where("n > 1").count() == 0
     assert out.select("shard").distinct().count() > 3
 
 
+def test_shards_draw_their_sources(spark):
+    """Every shard is full but the last, and its counts of a source spread as a multinomial draw given the totals does."""
+    rows = [(i, "w " * 40, ("a", "b", "b", "c", "c", "c")[i % 6], "", 0) for i in range(3000)]
+    slots = mixed(placed(spark.createDataFrame(rows, SCHEMA), block=20), block=20, shard_blocks=50).select("shard", "place", "source_no").distinct().collect()
+    n = len(slots)
+    assert sorted(r.place for r in slots) == list(range(n)) and all(r.shard == r.place // 50 for r in slots)
+    shards = n // 50
+    for source in range(3):
+        p = sum(r.source_no == source for r in slots) / n
+        counts = [sum(r.source_no == source and r.shard == k for r in slots) for k in range(shards)]
+        mean = sum(counts) / shards
+        spread = sum((c - mean) ** 2 for c in counts) / shards
+        assert 0.6 < spread / (50 * p * (1 - p) * (n - 50) / (n - 1)) < 1.5
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert mixing(df).count() == 0
