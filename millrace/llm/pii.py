@@ -1,9 +1,10 @@
 """Personal data by candidate gradient boosting, with DataFrame functions only.
 
 Base patterns find e-mail addresses, IPv4 addresses, card and phone numbers. Wider generators propose overlapping candidate
-spans. Boosted trees score a candidate's format and context; they are trained on which candidates the base patterns confirm,
-counted over the whole table by cells of binned features, so that what reaches the driver is bounded by the number of cells.
-A threshold for each kind, calibrated on those counts, selects the candidates that are added to the base spans.
+spans. Boosted trees score a candidate's format and context. They are trained on labelled candidates: a bounded table of texts
+that may be handed in; by default examples made here of known ways to write such data, those that the base patterns confirm
+among them, and of known lookalikes. A threshold for each kind, calibrated on examples that the trees have not seen, selects the
+candidates that are added to the base spans.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 import functools
 import math
 import operator
+import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Base patterns in the order of the kinds. Quantified groups are possessive: the same matches, without deep recursion.
@@ -22,23 +24,25 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 BASE = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
-#: Generators: addresses written with words or spaces, any run of digits and separators, plain digits, dotted numbers.
+#: Generators: addresses written with signs or words, any run of digits and separators, plain digits, dotted numbers.
 GENERATORS = {
-    "address": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
-    "number": r"(?<![0-9])[+(]?[0-9][0-9().\x20-]{5,}[0-9]",
+    "address": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++)",
+    "number": r"(?<![0-9])[+(]?[0-9][0-9().\x20/-]{5,}[0-9]",
     "digits": r"[0-9]{7,}+",
-    "dotted": r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3}(?![0-9.])",
+    "dotted": r"(?<![0-9.])[0-9]++(?:(?:\.|\[\.\]|\(\.\))[0-9]++){3}(?![0-9.])",
 }
+TRIGGERS = {"address": r"@|\(at\)|\[at\]|\x20dot\x20", "number": r"[0-9]{3}|[0-9][.\x20/-][0-9]", "digits": "[0-9]{7}", "dotted": r"[0-9][\]\[().]{1,3}[0-9]"}
 #: Characters before and after a candidate that the context features see.
 CONTEXT = 24
-HINTS = {"email": "mail|kontakt|contact|correo|courriel", "ip": r"\bip\b|addr|host|server", "card": "card|visa|karte|carte|tarjeta", "phone": "tel|phone|call|fax|mobil"}
-ROUNDS, RATE, LAMBDA = 40, 0.3, 1.0
-#: Part of the selected candidates of a kind that the base patterns must confirm.
+HINTS = {"email": "mail|kontakt|contact|correo|courriel|write to|reach", "ip": r"\bip\b|addr|host|server|login|client", "card": "card|visa|karte|carte|tarjeta|paid|credit", "phone": "tel|phone|call|fax|mobil|ring|contact"}
+OTHER = "order|invoice|version|release|isbn|serial|total|price|page|date|ref|section|chapter|sku|uuid|commit|token|sum|usd|eur|since|from|item"
+ROUNDS, RATE, LAMBDA = 60, 0.3, 1.0
+#: Part of the selected candidates of a kind that must be personal data, in examples that were not trained on.
 PRECISION = 0.98
-#: Features and how many values each can take: at most their product of cells reaches the driver.
-FEATURES = {"kind": 4, "generator": 4, "digits": 8, "groups": 5, "spaces": 3, "dots": 4, "marks": 4, "label": 3, "left": 4, "right": 4, "hint": 2}
-#: Cells that are fitted on, the most frequent first; the trees see every candidate of these.
-CELLS = 20_000
+#: Features and how many values each can take.
+FEATURES = {"kind": 4, "generator": 4, "digits": 8, "groups": 5, "spaces": 3, "dots": 4, "marks": 4, "lead": 4, "label": 3, "left": 4, "right": 4, "hint": 2, "other": 2, "checked": 2, "year": 2}
+#: Labelled texts at most that the trees are grown on, and as many that the thresholds are calibrated on.
+ROWS = 8000
 
 
 def spans(text: Column, pattern: str, trigger: Column) -> Column:
@@ -95,18 +99,22 @@ def bins(x: Column, *edges: int) -> Column:
 def kind_of(value: Column) -> Column:
     """The kind that a candidate's form suggests, as its number."""
     n = F.length(digits(value))
-    return F.when(value.rlike(r"@|\(at\)|\[at\]"), 0).when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), 1).when(value.startswith("+"), 3).when(n >= 13, 2).otherwise(3)
+    return F.when(value.rlike(r"@|\(at\)|\[at\]|\x20at\x20"), 0).when(value.rlike(r"^[0-9]+([\[(]?\.[\])]?[0-9]+){3}$") & (n <= 12), 1).when(value.startswith("+"), 3).when(n >= 13, 2).otherwise(3)
 
 
 def features(value: Column, generator: int, before: Column, after: Column) -> Column:
-    """Binned format and context of a candidate; what the base patterns check by arithmetic (checksums, ranges) is left out."""
-    n, kind, near = F.length(digits(value)), kind_of(value), F.lower(F.concat(before, F.lit(" "), after))
+    """Binned format and context of a candidate."""
+    bare = digits(value)
+    n, kind, near = F.length(bare), kind_of(value), F.lower(F.concat(before, F.lit(" "), after))
     last, first = F.right(before, F.lit(1)), F.left(after, F.lit(1))
-    edge = lambda c: F.when(c == "", 0).when(c.rlike(r"[\x20\n\t,;:]"), 1).when(c.rlike(r"[A-Za-z0-9]"), 2).otherwise(3)
+    edge = lambda c: F.when(c == "", 0).when(c.rlike(r"[\x20\n\t,;:]"), 1).when(c.rlike(r"[A-Za-z0-9_]"), 2).otherwise(3)
     hint = F.coalesce(F.element_at(F.array(*(near.rlike(HINTS[k]) for k in KINDS)), kind + 1), F.lit(False))
+    octets = F.forall(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)), lambda p: p.cast("double") <= 255)
+    marks = F.when(kind == 0, F.when(value.contains("@"), F.when(value.contains(" "), 1).otherwise(0)).when(value.rlike(r"[(\[]"), 2).otherwise(3)).when(value.rlike(r"[()\[]"), 1).when(value.contains("/"), 2).when(value.contains("-"), 3).otherwise(0)
     made = {
-        "kind": kind, "generator": F.lit(generator), "digits": bins(n, 1, 7, 10, 12, 14, 16, 17), "groups": F.least(F.size(F.split(value, "[^0-9]+")), F.lit(4)), "spaces": F.least(count_of(value, " "), F.lit(2)), "dots": F.least(count_of(value, "."), F.lit(3)),
-        "marks": F.when(value.contains("+"), 1).otherwise(0) + F.when(value.contains("("), 2).otherwise(0), "label": bins(F.length(F.regexp_extract(value, r"([A-Za-z]+)$", 1)), 1, 2), "left": edge(last), "right": edge(first), "hint": hint.cast("int"),
+        "kind": kind, "generator": F.lit(generator), "digits": bins(n, 1, 7, 10, 12, 14, 16, 17), "groups": F.least(F.size(F.split(value, "[^0-9]+")), F.lit(4)), "spaces": F.least(count_of(value, " "), F.lit(2)), "dots": F.least(count_of(value, "."), F.lit(3)), "marks": marks,
+        "lead": F.when(value.startswith("+"), 1).when(value.startswith("("), 2).when(value.startswith("0"), 3).otherwise(0), "label": bins(F.length(F.regexp_extract(value, r"([A-Za-z]+)$", 1)), 1, 2), "left": edge(last), "right": edge(first), "hint": hint.cast("int"), "other": near.rlike(OTHER).cast("int"),
+        "checked": F.when(kind == 1, octets).when(kind == 2, n.between(14, 19) & F.call_function("luhn_check", bare)).when(kind == 3, n.between(9, 15)).otherwise(True).cast("int"), "year": value.rlike(r"(^|[^0-9])(19|20)[0-9]{2}([^0-9]|$)").cast("int"),
     }
     return F.struct(*(made[k].cast("int").alias(k) for k in FEATURES))
 
@@ -123,8 +131,7 @@ def candidates(text: Column) -> Column:
     """array<struct<start, stop, f>>: all generators' spans with their features; they may overlap."""
     parts = []
     for no, (name, pattern) in enumerate(GENERATORS.items()):
-        found = spans(text, pattern, text.rlike(r"@|\(at\)|\[at\]") if name == "address" else text.rlike("[0-9]{3}|[0-9][.\x20][0-9]"))
-        parts.append(described(text, found, no))
+        parts.append(described(text, spans(text, pattern, text.rlike(TRIGGERS[name])), no))
     return F.concat(*parts)
 
 
@@ -195,15 +202,62 @@ def calibrated(cells: list[tuple[dict, int, int]], model: tuple[float, list[Tree
     return out
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[tuple[float, list[Tree]], list[float]]:
-    """Trees and thresholds from all candidates of docs."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    some = docs.where(t.rlike(r"[0-9]{3}|[0-9][.\x20][0-9]|@|\(at\)|\[at\]")).select(t.alias("t")).select(base_spans(F.col("t")).alias("base"), candidates(F.col("t")).alias("found"))
-    each = some.select("base", F.explode("found").alias("c")).select("c.f", F.exists("base", lambda b: (b["start"] == F.col("c.start")) & (b["stop"] == F.col("c.stop")) & (b["kind"] == F.col("c.f.kind"))).alias("good"))
-    cells = each.groupBy("f").agg(F.count("*").alias("n"), F.count_if("good").alias("good")).orderBy(F.col("n").desc(), "f").limit(CELLS).collect()
-    rows = [(r.f.asDict(), r.n, r.good) for r in cells]
-    model = boost(rows)
-    return model, calibrated(rows, model)
+def examples(rng: random.Random) -> list[tuple[str, int, int, int, int]]:
+    """Texts with one candidate each: text, its kind, start and stop in it, and whether it is personal data (1) or a lookalike (0)."""
+    run = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("bcdfghlmnprstvw") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
+    year, user, host, top = str(rng.randrange(1950, 2030)), rng.choice([word(), word() + "." + word(), word() + run(2)]), word() + rng.choice(["", run(1), "-" + word()]), rng.choice(["com", "org", "net", "de", "fr", "es", "io"])
+    byte = lambda: str(rng.randrange(256))
+    card = run(15)
+    card += str(-sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(card))) % 10)
+    four, wrong = [card[i : i + 4] for i in range(0, 16, 4)], card[:-1] + str((int(card[-1]) + rng.randrange(1, 10)) % 10)
+    area, local = "0" + run(rng.randrange(2, 5)), run(rng.randrange(6, 8))
+    date, clock = f"{year}-{run(1)}{run(1)}-{run(2)}", f"{rng.randrange(24):02}.{rng.randrange(60):02}.{rng.randrange(60):02}"
+    about = {0: ["mail me: ", "contact ", "Kontakt: ", "write to ", "reach us, "], 1: ["host ", "server ", "login from client ", "ip ", "addr="], 2: ["card ", "Visa ", "Karte: ", "paid with ", "credit card no "], 3: ["tel. ", "phone: ", "call ", "Fax ", "mobile "]}
+    things = ["order ", "invoice ", "version ", "release ", "ISBN ", "serial ", "total ", "price ", "page ", "ref ", "section ", "sku ", "item ", "sum of ", "date "]
+    good = [
+        (0, f"{user}@{host}.{top}"), (0, f"{user} (at) {host} (dot) {top}"), (0, f"{user} [at] {host} [dot] {top}"), (0, f"{user}(at){host}.{top}"), (0, f"{user} at {host} dot {top}"), (0, f"{user} @ {host}.{top}"), (0, f"{user}[at]{host}[dot]{top}"),
+        (1, ".".join((byte(), byte(), byte(), byte()))), (1, "[.]".join((byte(), byte(), byte(), byte()))), (1, "(.)".join((byte(), byte(), byte(), byte()))),
+        (2, card), (2, " ".join(four)), (2, "-".join(four)), (2, ".".join(four)), (2, "/".join(four)), (2, "  ".join(four)),
+        (3, f"+{run(2)} {run(3)} {run(7)}"), (3, f"({area}) {local}"), (3, f"{area}-{local}"), (3, f"{area} {local}"), (3, f"{area}/{local}"), (3, f"({run(3)}) {run(3)}-{run(4)}"), (3, f"{run(3)}-{run(3)}-{run(4)}"), (3, f"00{run(2)} {run(2)} {run(7)}"), (3, f"{run(3)}.{run(3)}.{run(4)}"),
+    ]
+    bad = [
+        (0, f"{word()} at {word()} dot {word()}"), (0, f"{run(1)} @ {run(1)}.{run(2)}"), (0, f"{word()} @ {run(1)}.{run(1)}"), (1, f"{run(1)}.{run(1)}.{run(2)}.{run(1)}"), (1, f"{rng.randrange(256, 999)}.{byte()}.{byte()}.{rng.randrange(256, 999)}"), (1, f"{run(2)}.{run(2)}.{year}.{run(1)}"),
+        (2, wrong), (2, run(18)), (2, f"{date.replace('-', '')}{run(6)}"), (2, f"978-{run(1)}-{run(2)}-{run(6)}-{run(1)}"), (2, run(20)), (2, f"{run(13)}"),
+        (3, date), (3, f"{date} {clock}"), (3, f"{year}-{rng.randrange(1950, 2030)}"), (3, f"{run(1)} {run(3)} {run(3)} {run(3)}"), (3, f"{run(2)} {run(3)} {run(3)}.{run(2)}"), (3, run(8)), (3, run(10)), (3, f"{run(2)}.{run(2)}.{year}"), (3, f"{run(2)}/{run(2)}/{year}"), (3, f"{run(3)}-{run(5)}"), (3, f"{run(5)} {run(5)}"),
+    ]
+    out = []
+    for label, kinds in ((1, good), (0, bad)):
+        for kind, value in kinds:
+            told = rng.random() < (0.75 if label else 0.1)
+            before = f"{word()} {word()} " + (rng.choice(about[kind]) if told else rng.choice(things) if not label and rng.random() < 0.6 else f"{word()} ")
+            out.append((f"{before}{value}{rng.choice([' ', ', ', '. ', chr(10), ''])}{word()}" if rng.random() < 0.95 else before + value, kind, len(before), len(before) + len(value), label))
+    # digits inside tokens of letters and digits
+    token = "".join(rng.choice("0123456789abcdef") for _ in range(12)) + run(9) + "".join(rng.choice("abcdef") for _ in range(9))
+    return [*out, (f"{word()} token = {token} {word()}", 3, 0, 0, 0)]
+
+
+def labelled(spark: SparkSession, rows: int = ROWS, seed: int = 11) -> DataFrame:
+    """text, kind, start, stop and label: rows examples, of all forms alike."""
+    rng, made = random.Random(seed), []
+    while len(made) < rows:
+        made += examples(rng)
+    return spark.createDataFrame(made[:rows], "text string, kind int, start int, stop int, label int")
+
+
+def cells(texts: DataFrame) -> list[tuple[dict, int, int]]:
+    """Features of all candidates of labelled texts, with their number and that of those that are personal data from end to end."""
+    each = texts.select("kind", "start", "stop", "label", F.explode(candidates(F.col("text"))).alias("c"))
+    good = (F.col("label") == 1) & (F.col("c.start") == F.col("start")) & (F.col("c.stop") == F.col("stop")) & (F.col("c.f.kind") == F.col("kind"))
+    # no more rows than candidates of at most ROWS short texts
+    return [(r.f.asDict(), r.n, r.good) for r in each.groupBy(F.col("c.f").alias("f")).agg(F.count("*").alias("n"), F.count_if(good).alias("good")).orderBy("f").collect()]
+
+
+def train(spark: SparkSession, texts: DataFrame | None = None, held: DataFrame | None = None) -> tuple[tuple[float, list[Tree]], list[float]]:
+    """Trees and thresholds. texts, held: labelled texts (see labelled) to grow on and to calibrate on, ROWS of each at most are used."""
+    texts, held = (labelled(spark, seed=seed) if t is None else t.orderBy(F.xxhash64("text", "start")).limit(ROWS) for t, seed in ((texts, 11), (held, 12)))
+    model = boost(cells(texts))
+    return model, calibrated(cells(held), model)
 
 
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: tuple | None = None) -> DataFrame:
@@ -211,10 +265,10 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, mod
 
     added holds candidates over their kind's threshold that meet no base span, the better scored of any two that overlap.
     Null texts count as empty and have no spans. Repeated rows are judged alike; other columns have no influence. An empty
-    table gives no rows. model: from train(); by default trained on docs.
+    table gives no rows. model: from train(); by default trained on examples.
     """
     keep = ["doc_id"] if keep is None else keep
-    trees, limits = model or train(docs, text)
+    trees, limits = model or train(docs.sparkSession)
     out = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     out = out.select(*keep, "__text", base_spans(F.col("__text")).alias("base"), candidates(F.col("__text")).alias("__found"))
     limit = F.array(*(F.lit(x if x < math.inf else 1e300) for x in limits))
@@ -234,7 +288,7 @@ def listed(found: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", model: tuple | None = None) -> DataFrame:
     """docs with every span of personal data in text replaced by its kind in angle brackets; overlapping spans become the first's kind. Null stays null."""
-    found = find(docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text).alias("__own")), "__own", ["__doc", "__own"], model or train(docs, text))
+    found = find(docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text).alias("__own")), "__own", ["__doc", "__own"], model)
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def step(s: Column, x: Column) -> Column:

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from millrace.llm.pii import find, personal_data, redact, train
+from millrace.llm.pii import cells, find, labelled, leaf, personal_data, redact, train
 
 SCHEMA = "doc_id long, text string, base string, added int, start int"
 PATTERNS = {
@@ -59,13 +59,38 @@ def test_table(spark, sf):
     assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in found) > 5
 
 
-def test_lookalikes_are_added_where_the_table_supports_them(spark):
-    rows = [(i, f"word 45395787636214{'86' if i % 100 else '85'} word", "", 0, 0) for i in range(1000)] + [(2000 + i, "version 4.0.1 of 12345678 things", "", 0, 0) for i in range(50)]
+#: Texts with one piece of personal data that no base pattern finds, and texts with lookalikes only, written by hand.
+WRITTEN = [
+    ("Please mail anna.schmidt (at) example (dot) org about it.", "email", "anna.schmidt (at) example (dot) org"), ("Kontakt: jo[at]firma[dot]de, gern auch abends", "email", "jo[at]firma[dot]de"), ("write to bob at widgets dot com today", "email", "bob at widgets dot com"), ("contact support(at)acme.io for help", "email", "support(at)acme.io"), ("mail: maria.lopez @ correo.es", "email", "maria.lopez @ correo.es"),
+    ("login from client 203[.]0[.]113[.]77 was refused", "ip", "203[.]0[.]113[.]77"), ("the server 10(.)20(.)30(.)40 did not answer", "ip", "10(.)20(.)30(.)40"), ("card 4539.5787.6362.1486 was declined", "card", "4539.5787.6362.1486"), ("paid with 4539/5787/6362/1486 last week", "card", "4539/5787/6362/1486"), ("Visa 4539  5787  6362  1486 expires soon", "card", "4539  5787  6362  1486"),
+    ("Tel. (030) 9018200, mornings only", "phone", "(030) 9018200"), ("call 555-867-5309 now", "phone", "555-867-5309"), ("phone: 0171 2345678", "phone", "0171 2345678"), ("Fax 089/1234567", "phone", "089/1234567"), ("mobile (415) 555-2671 or the desk", "phone", "(415) 555-2671"), ("call 0049 30 9018200 from abroad", "phone", "0049 30 9018200"),
+]
+PLAIN = [
+    "released in version 10.4.300.1 of the tool", "see section 4.1.2.333 for more", "on 2024-01-15 10.30.00 it began", "from 1990-2024 nothing changed", "a total of 1 000 000 000 people", "ISBN 978-3-16-148410-0 is out of print", "order 12345678 was shipped", "invoice 2024/000123 is due", "sum of 12 345 678.90 due", "look at them dot by dot", "3 @ 4.50 each", "commit 3f2504e04f8911d39a0c0305e82c3301 fixed it",
+    "serial 9876543210987654321 on the back", "the date 12.10.2024 was set", "pages 100-200 and 300-400", "ref 20240115103000123 in the log", "item 123-45678 is sold out", "we met at noon dot", "price 1.234.567 in all", "sku 1234567890 is new",
+]
+
+
+def test_added_spans(spark):
+    """Held-out texts by another hand: at least three quarters of what base patterns miss is added, and hardly a lookalike."""
+    rows = [(i, t, "", 0, 0) for i, t in enumerate([w[0] for w in WRITTEN] + PLAIN)]
     df = spark.createDataFrame(rows, SCHEMA)
     found = {r.doc_id: r for r in personal_data(df).collect()}
-    assert found[0].n_card == 0 and found[0].spans == "card:5:21"
-    assert all(found[2000 + i].spans == "" for i in range(50))
-    assert redact(df).where("doc_id = 0").first().text == "word <card> word"
+    want = {i: f"{kind}:{t.index(v)}:{t.index(v) + len(v)}" for i, (t, kind, v) in enumerate(WRITTEN)}
+    assert all(r.n_email + r.n_ip + r.n_card + r.n_phone == 0 for r in found.values())
+    right = [i for i in want if found[i].spans == want[i]]
+    wrong = [(rows[i][1], r.spans) for i, r in found.items() if r.spans not in ("", want.get(i))]
+    assert len(right) >= 12 and len(wrong) <= 1, ([rows[i][1] for i in want if i not in right], wrong)
+    out = redact(df).where("doc_id = 10").first().text
+    assert out == "Tel. <phone>, mornings only"
+
+
+def test_calibrated_precision(spark):
+    """Of examples that neither trees nor thresholds have seen, what passes a threshold is personal data in at least 96 of 100 cases."""
+    (offset, trees), limits = train(spark)
+    passed = [(n, good) for f, n, good in cells(labelled(spark, 3000, 77)) if offset + sum(leaf(t, f) for t in trees) >= limits[f["kind"]]]
+    n, good = sum(x[0] for x in passed), sum(x[1] for x in passed)
+    assert n > 300 and good >= 0.96 * n
 
 
 def test_empty_and_redact(spark):
@@ -78,7 +103,7 @@ def test_empty_and_redact(spark):
 
 def test_no_python_in_the_plan(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    plan = find(df, model=train(df))._jdf.queryExecution().executedPlan().toString()
+    plan = find(df, model=train(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
