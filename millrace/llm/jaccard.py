@@ -29,8 +29,8 @@ BLOCK_TOKENS = 1 << 20
 #: Blocks that may hold a token for it to name candidates by itself; a commoner token counts as shared by all that have it.
 COMMON = 64
 #: A token is frequent if it makes up this share of all tokens, counted where a run of WINDOW tokens holds it twice: at most
-#: 2 ** 21 tokens are, whatever the corpus, so that their hashes (16 MB) can be sent to every executor. Any choice gives the same links.
-FREQUENT, LEAST, WINDOW = 2.0**-21, 32, 1 << 22
+#: 2 ** 23 tokens are, whatever the corpus, so that their hashes (64 MB) can be sent to every executor. Any choice gives the same links.
+FREQUENT, LEAST, WINDOW = 2.0**-23, 8, 1 << 22
 #: Rows (48 bytes each) that are sent to every executor to pick texts; beyond it the texts are shuffled to them.
 FEW = 300_000
 NO_ID = (1 << 63) - 1
@@ -359,7 +359,7 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
     reps = stored(some.groupBy("set_id").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "reps")
     shared = stored(several(some.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "set_id", "n")), "shared")
     # a set's family is that of the leader that it meets most, where that is often enough; links that this leaves out are found below
-    star = shared.where("set_id <> leader").groupBy("leader", "set_id", "n").agg(F.count("*").alias("met")).where(10 * F.col("met") >= F.col("n") - four_fifths(F.col("n")) + 1)
+    star = shared.where("set_id <> leader").groupBy("leader", "set_id", "n").agg(F.count("*").alias("met")).where(5 * F.col("met") >= 2 * (F.col("n") - four_fifths(F.col("n")) + 1))
     star = stored(star.groupBy("set_id").agg(F.max_by("leader", F.struct("met", "leader")).alias("family"), F.max("n").alias("n")), "star")
     leaders = star.select(F.col("family").alias("set_id")).distinct()
     families = star.join(leaders, "set_id", "left_anti").unionByName(leaders.select("set_id", F.col("set_id").alias("family"), F.lit(0).alias("n")))
