@@ -23,9 +23,11 @@ from .common import stored
 #: Vectors at most that the codebooks are fitted on; every vector is indexed.
 FIT_ROWS = 20_000
 #: Vectors of the sample that are searched by brute force to see how far a walk must go, and the part of their neighbours to reach.
-TRIALS, REACH = 256, 0.97
+TRIALS, REACH = 256, 0.96
 #: Vectors in a cell on average.
-CELL = 256
+CELL = 128
+#: Queries in a block at most, about, and bytes of all blocks that are sent to every executor; larger query sets are shuffled.
+QUERIES, SENT = 512, 32 << 20
 #: Entries of a cell that are held against queries at once.
 PACK = 2048
 SALT = 64
@@ -158,44 +160,54 @@ def one_length(entries: DataFrame, queries: DataFrame, dims: int, k: int, share:
 
     cells = stored(entries.select("entry", "vector", "ids").mapInArrow(assign, "entry long, vector binary, ids array<long>, i int, j int"), "cells")
     # at most codes * codes rows, 65536: a table of fixed size, whatever the number of vectors
-    held = {(r.i, r.j): r["n"] for r in cells.groupBy("i", "j").agg(F.count("*").alias("n")).collect()}
+    sizes = cells.groupBy("i", "j").agg(F.count("*").alias("n"))
+    held = {(r.i, r.j): r["n"] for r in sizes.collect()}
+
+    # copies of a query ask once; queries that are near in the first half form a block, as they walk alike
+    asked = queries.groupBy("vector").agg(F.min("vec_id").alias("query"))
+    asked = stored(asked.select(F.col("query").alias("entry"), "vector", F.array("query").alias("ids")).mapInArrow(assign, "query long, vector binary, ids array<long>, i int, j int"), "asked")
+    parts = asked.groupBy("i").agg(F.ceil(F.count("*") / QUERIES).alias("parts"))
+    blocks = asked.join(parts, "i").groupBy("i", F.pmod(F.xxhash64("query"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("query", "vector")).alias("asks"))
+    blocks = stored(blocks.select(F.monotonically_increasing_id().alias("block"), "asks"), "blocks")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {cell: n for n, cell in enumerate(held)}
+        cell_i, cell_j = (np.array([c[x] for c in held], dtype=np.int32) for x in (0, 1))
         for b in batches:
-            ids, cols = b.column(0).to_pylist(), b.column(1).to_pylist()
-            v = unit(matrix(b.column(1), dims)) if b.num_rows else np.zeros((0, dims))
-            near, far = distances(v[:, :half], books[0]), distances(v[:, half:], books[1])
-            rows = [(q, w, i, j) for q, w, a, c in zip(ids, cols, near, far, strict=True) for i, j in walk(a, c, held, enough)]
-            for at in range(0, len(rows), 5000):
-                q, w, i, j = zip(*rows[at : at + 5000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(w, pa.binary()), pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=["query", "vector", "i", "j"])
-
-    asked = stored(queries.groupBy("vector").agg(F.min("vec_id").alias("query")).select("query", "vector"), "asked")  # copies of a query ask once
-    visits = asked.mapInArrow(visit, "query long, vector binary, i int, j int")
-    # entries of a cell in packs of about PACK, queries of a cell in packs as well; then pack meets pack
-    n = F.create_map(*[x for (i, j), c in held.items() if c > PACK for x in (F.lit(f"{i},{j}"), F.lit(-(-c // PACK)))]) if any(c > PACK for c in held.values()) else None
-    packs = F.lit(1) if n is None else F.coalesce(F.element_at(n, F.concat_ws(",", "i", "j")), F.lit(1))
-    stock = cells.withColumn("pack", F.pmod(F.xxhash64("entry"), packs)).groupBy("i", "j", "pack").agg(F.collect_list(F.struct("vector", "ids")).alias("stock"))
-    asks = visits.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(max(1, asked.count() // 512)))).groupBy("i", "j", "part").agg(F.collect_list(F.struct("query", "vector")).alias("asks"))
+            for block, asks in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                v = unit(matrix(asks.values.field(1), dims))
+                met = np.zeros((len(v), len(numbers)), dtype=bool)
+                for at, (near, far) in enumerate(zip(distances(v[:, :half], books[0]), distances(v[:, half:], books[1]), strict=True)):
+                    met[at, [numbers[c] for c in walk(near, far, held, enough)]] = True
+                seen = np.flatnonzero(met.any(0))
+                for some in np.split(seen, range(4096, len(seen), 4096)):
+                    who = [np.flatnonzero(met[:, c]).astype(np.int32) for c in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(cell_i[some]), pa.array(cell_j[some]), pa.array(who, pa.list_(pa.int32()))], names=["block", "i", "j", "who"])
+
+    visits = stored(blocks.mapInArrow(visit, "block long, i int, j int, who array<int>"), "visits")
+    # entries of a cell in packs of about PACK; each meets the blocks that visit the cell, whose vectors travel once
+    stock = cells.join(F.broadcast(sizes), ["i", "j"]).withColumn("pack", F.pmod(F.xxhash64("entry"), F.ceil(F.col("n") / PACK)))
+    stock = stock.groupBy("i", "j", "pack").agg(F.collect_list(F.struct("vector", "ids")).alias("stock"))
+    small = asked.count() * dims * 8 <= SENT
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(b.num_rows):
-                yield ranked(b.column(0)[at], b.column(1)[at], dims, k)
+                yield ranked(b.column(0)[at], b.column(1)[at].values.to_numpy(zero_copy_only=False), b.column(2)[at], dims, k)
 
-    found = stock.join(asks, ["i", "j"]).select("asks", "stock").mapInArrow(rank, "query long, vec_id long, score double")
+    found = stock.join(visits, ["i", "j"]).join(F.broadcast(blocks) if small else blocks, "block").select("asks", "who", "stock").mapInArrow(rank, "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "vec_id", "score")
     # every id with a query's vector gets that query's answers but itself
-    owners = queries.select("vec_id", "vector").distinct().join(asked, "vector").select(F.col("vec_id").alias("query_id"), "query")
+    owners = queries.select("vec_id", "vector").distinct().join(asked.select("vector", "query"), "vector").select(F.col("vec_id").alias("query_id"), "query")
     out = owners.join(found, "query").where(F.col("query_id") != F.col("vec_id"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def ranked(asks: pa.Scalar, stock: pa.Scalar, dims: int, k: int) -> pa.RecordBatch:
-    """The k+1 nearest ids of one pack of entries for each query of one pack."""
-    a, s = asks.values, stock.values
+def ranked(asks: pa.Scalar, who: np.ndarray, stock: pa.Scalar, dims: int, k: int) -> pa.RecordBatch:
+    """The k+1 nearest ids of one pack of entries for the queries of a block at the places in who."""
+    a, s = asks.values.take(pa.array(who)), stock.values
     query = a.field(0).to_numpy(zero_copy_only=False)
     q, v = matrix(a.field(1), dims), matrix(s.field(0), dims)
     lists = s.field(1)
