@@ -57,21 +57,20 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """first: first window of each segment (place of its first unit); count: windows; anchor, content (twice 64 bits): hashes; row: the row it lies in."""
+    """first: first window of each segment (place of its first unit); count: windows; anchor, content: 64-bit hashes; row: the row it lies in."""
 
     first: np.ndarray
     count: np.ndarray
     anchor: np.ndarray
     content: np.ndarray
-    content2: np.ndarray
     row: np.ndarray
 
 
-def segments(values: np.ndarray, values2: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> Segments:
-    """Segments of the rows with the given n+1 bounds in values; values2 gives the second content hash."""
+def segments(values: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> Segments:
+    """Segments of the rows with the given n+1 bounds in values."""
     none = np.zeros(0, dtype=np.int64)
     if len(values) < width:
-        return Segments(none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none)
+        return Segments(none, none, none.astype(np.uint64), none.astype(np.uint64), none)
     grams = windows(values, gram, seed=1) if gram <= 16 else None
     if grams is None:
         s = Sums(values, 0)
@@ -87,7 +86,7 @@ def segments(values: np.ndarray, values2: np.ndarray, bounds: np.ndarray, width:
     stop[:-1] &= ~(valid[1:] & (place[1:] == place[:-1]))
     last = np.flatnonzero(stop)
     end = last + width
-    content, content2 = Sums(values, 0)(first, end), Sums(values2, 1)(first, end)
+    content = Sums(values, 0)(first, end)
     # the anchor's place in the segment belongs to its content
     content = mix(content + (place[first] - first).astype(np.uint64))
-    return Segments(first, last - first + 1, grams[place[first]], content, content2, np.searchsorted(bounds, first, side="right") - 1)
+    return Segments(first, last - first + 1, grams[place[first]], content, np.searchsorted(bounds, first, side="right") - 1)

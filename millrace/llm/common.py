@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six bytes that separate words: space and \x09 to \x0D.
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -18,15 +18,23 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text handled at once inside a task; a longer text is handled on its own.
 SLICE_BYTES = 2 << 20
 
+#: Values that one task counts at once.
+RUN = 1 << 22
+
 _ODD = (np.random.default_rng(20240229).integers(1, 2**63, 4096, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+#: Folders of applications in local mode that set none.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which the driver and all executors see; set to a temporary one only where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below spark.checkpoint.dir, which the driver and all executors see; where it is unset, a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-", dir=os.environ.get("TMPDIR") or "/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -61,6 +69,50 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = end
 
 
+def frequent(docs: DataFrame, values: Callable[[pa.RecordBatch], list[np.ndarray]], kinds: int, share: float, least: int, limit: int = SLICE_BYTES) -> list[np.ndarray]:
+    """For each kind, in rising order, the values that make up share of all values of docs (with __text), least of them at least.
+
+    values gives 64-bit values of each kind for a slice of docs. They are counted in runs of RUN, a value where a run holds it
+    twice and for half of share at least: at most 2 / share values are found, whatever the size of docs, so that they may be sent to
+    every executor. What is found serves to lay rows out, never to decide a result.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+        size = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for kind, own in enumerate(held):
+                found, n = np.unique(np.concatenate(own), return_counts=True)
+                often = n >= max(2, share * n.sum() / 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(often.sum() + 1, kind), pa.int32()), pa.array([None, *found[often].view(np.int64).tolist()], pa.int64()), pa.array(np.append(n.sum(), n[often]), pa.int64())], names=["kind", "value", "n"])
+                own.clear()
+
+        for batch in batches:
+            for p in slices(batch, "__text", limit):
+                for own, found in zip(held, values(p), strict=True):
+                    own.append(found)
+                    size += len(found)
+                if size > RUN:
+                    yield from told()
+                    size = 0
+        if size:
+            yield from told()
+
+    counts = stored(docs.mapInArrow(count, "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")), "counts")
+    total = {r.kind: r["n"] for r in counts.where("value IS NULL").collect()}
+    out = []
+    for kind in range(kinds):
+        often = counts.where((F.col("kind") == kind) & F.col("value").isNotNull() & (F.col("n") >= max(least, share * total.get(kind, 0)))).select("value").toArrow()
+        out.append(np.sort(often.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+    return out
+
+
+def among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """Which values are in rising."""
+    return rising[np.minimum(np.searchsorted(rising, values), len(rising) - 1)] == values if len(rising) else np.zeros(len(values), dtype=bool)
+
+
 class Words:
     """The words of each text of a column.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, complete, hashes, mix, slices, stored, utf8, windows
+from .common import Words, among, complete, frequent, hashes, mix, slices, stored, utf8, windows
 from .components import components
 
 GRAM = 5
@@ -28,9 +28,9 @@ BLOCK, SALT = 2048, 1024
 BLOCK_TOKENS = 1 << 20
 #: Blocks that may hold a token for it to name candidates by itself; a commoner token counts as shared by all that have it.
 COMMON = 64
-#: A token is frequent if it makes up this share of all tokens, counted where a run of WINDOW tokens holds it twice: at most
-#: 2 ** 23 tokens are, whatever the corpus, so that their hashes (64 MB) can be sent to every executor. Any choice gives the same links.
-FREQUENT, LEAST, WINDOW = 2.0**-23, 8, 1 << 22
+#: A token is frequent if it makes up this share of all tokens (see common.frequent): hashes of at most 2 ** 24 tokens (128 MB, 0.4 MB
+#: measured on the check's larger input) are sent to every executor. Any choice gives the same links.
+FREQUENT, LEAST = 2.0**-23, 8
 #: Rows (48 bytes each) that are sent to every executor to pick texts; beyond it the texts are shuffled to them.
 FEW = 300_000
 NO_ID = (1 << 63) - 1
@@ -77,41 +77,17 @@ def needed(n):
     return (4 * n + 4) // 5
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Rising hashes of the tokens that are frequent in docs (with __text); a token's repeats within one text count too."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def told() -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > 1
-            return pa.RecordBatch.from_arrays([pa.array([*[None], *tokens[often].view(np.int64).tolist()], pa.int64()), pa.array(np.append(n.sum(), n[often]), pa.int64())], names=["token", "n"])
-
-        for batch in batches:
-            for p in slices(batch, "__text", SLICE):
-                w = Words(*lowered(p.column(0)))
-                codes, distinct = w.coded()
-                values = hashes(distinct)[codes]
-                held.append(windows(values, GRAM)[complete(w.bounds, len(values), GRAM)])
-                size += len(held[-1])
-                if size > WINDOW:
-                    yield told()
-                    held, size = [], 0
-        if held:
-            yield told()
-
-    counts = stored(docs.select("__text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
-    total = counts.where("token IS NULL").agg(F.sum("n")).first()[0] or 0
-    often = counts.where(F.col("token").isNotNull() & (F.col("n") >= max(LEAST, FREQUENT * total))).select("token").toArrow()
-    return np.sort(often.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+def tokens_of(part: pa.RecordBatch) -> list[np.ndarray]:
+    """Shingle hashes of a slice's texts; a token's repeats within one text stay."""
+    w = Words(*lowered(part.column(0)))
+    codes, distinct = w.coded()
+    values = hashes(distinct)[codes]
+    return [windows(values, GRAM)[complete(w.bounds, len(values), GRAM)]]
 
 
 def ordered(tokens: np.ndarray, bounds: np.ndarray, often: np.ndarray) -> np.ndarray:
     """Each set's tokens as signed numbers in the order of the prefixes: frequent ones last, by hash otherwise."""
-    last = np.zeros(len(tokens), dtype=bool)
-    if len(often):
-        last = often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] == tokens
+    last = among(tokens, often)
     numbers = (tokens >> np.uint64(1)) | (last.astype(np.uint64) << np.uint64(63))
     if last.any():
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -354,7 +330,7 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
     chosen: the least set_id that component_id has in the component, null for no words.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col(text).alias("__text"))
-    sets = stored(described(own, frequent(own)), "sets")
+    sets = stored(described(own, frequent(own.select("__text"), tokens_of, 1, FREQUENT, LEAST, SLICE)[0]), "sets")
     some = sets.where("set_id IS NOT NULL")
     reps = stored(some.groupBy("set_id").agg(F.min("key").alias("key"), F.count("*").alias("copies")), "reps")
     shared = stored(several(some.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "set_id", "n")), "shared")

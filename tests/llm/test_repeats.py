@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from millrace.llm import repeats
 from millrace.llm.automata import Automaton, substring_dedup
 from millrace.llm.prefix_free import corpus_order, suffix_dedup
 
@@ -81,6 +82,19 @@ def test_bytes_against_brute_force(spark):
     check_bytes(spark, corpus(6, ["é", "日本", "x"] + [f"w{i}" for i in range(40)], 80, 6), width=60)
 
 
+@pytest.mark.parametrize("least, shard", [(3, 4096), (12, 5), (1 << 30, 2)])
+def test_hot_anchors(spark, monkeypatch, least, shard):
+    """The same windows where many or some anchors and contents are hot, or none is but most have too many segments for a solver."""
+    for name, value in (("HOT", 0.0), ("LEAST", least), ("SHARD", shard)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(130)]
+    rows = corpus(9, [f"w{i}" for i in range(400)], 60, 8)
+    rows += [(1000 + i, " ".join([f"q{rng.randrange(5)}" for _ in range(rng.randrange(20))] + passage[rng.randrange(9) :] + [f"r{rng.randrange(5)}" for _ in range(rng.randrange(20))])) for i in range(80)]
+    check_words(spark, rows)
+    check_bytes(spark, rows)
+
+
 def test_whole_copies_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(200))
     check_words(spark, [(i, text) for i in range(300)])
