@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -195,9 +196,28 @@ SERVICE_TAGS = ("service", "service.name", "dd.service", "k8s.label.app", "kuber
 
 
 def glob_pattern(glob: str) -> str:
-    """A one-level glob (*, ?) as a regular expression."""
-    kept = {"*": "[^/]*", "?": "[^/]"}
-    return "^" + "".join(kept.get(c) or (c if c.isalnum() else "\\" + c) for c in glob) + "$"
+    """A one-level glob (*, ?, [a-z], [^a-z], \\ before a sign that stands for itself) as a regular expression; a malformed one matches nothing."""
+    out, i = "", 0
+    literal = lambda c: c if c.isalnum() else "\\" + c
+    while i < len(glob):
+        c = glob[i]
+        if c == "[":
+            m = re.match(r"\[(\^?)((?:\\.|[^\]\\])+)\]", glob[i:])
+            ranges = re.fullmatch(r"(?:(?:\\.|[^\\-])(?:-(?:\\.|[^\\-]))?)+", m[2]) if m else None
+            if not ranges:
+                return "(?!)"
+            out += "[" + m[1] + "".join("-" if x == "-" else literal(x[-1]) for x in re.findall(r"\\.|.", m[2])) + "]"
+            i += m.end()
+            continue
+        if c == "\\":
+            if i + 1 == len(glob):
+                return "(?!)"
+            i, c = i + 1, glob[i + 1]
+            out += literal(c)
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c) or literal(c)
+        i += 1
+    return f"^{out}$"
 
 
 def path_pattern(glob: str) -> str:
@@ -209,7 +229,7 @@ def path_pattern(glob: str) -> str:
         elif glob.startswith("**", i):
             out, i = out + ".*", i + 2
         else:
-            out, i = out + glob_pattern(glob[i])[1:-1], i + 1
+            out, i = out + ("[^/]*" if glob[i] == "*" else "[^/]" if glob[i] == "?" else glob[i] if glob[i].isalnum() else "\\" + glob[i]), i + 1
     return out + "$"
 
 
@@ -273,6 +293,7 @@ def same_identifiers(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(identifiers(a), names(b))) == 0) & (F.size(F.array_except(identifiers(b), names(a))) == 0)
 
 
+# What a question about a repository as a whole is about, and how it asks.
 SUBJECT = r"\b(repo|repos|repository|repositories|project|codebase|code base|service|services|app|application|system|platform|architecture)\b"
 ASK = r"\b(explain|overview|summar\w*|describe|introduce|how (does|do|is|are)\b.*\bwork|what (is|does|are)\b|architecture|structure|walk me through|get started|onboard\w*)"
 

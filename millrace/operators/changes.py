@@ -63,15 +63,28 @@ def content_key(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws("\x1f", *columns)))), 256).alias("content"))
 
 
+def replaced_sources(edges: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
+    """edges with all that some source files (source_path) gave replaced by what they give now. edges, fresh: src, kind, dst, source_path."""
+    return edges.join(sources.select("source_path").distinct(), "source_path", "left_anti").select(*fresh.columns).unionByName(fresh.distinct())
+
+
+def unreferenced(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Repository entities (id, repo_id) that no edge names any more: to be retired."""
+    named = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    return entities.where("repo_id IS NOT NULL").join(named, "id", "left_anti")
+
+
 #: Paths that never need documents: fixed values.
 DOC_PATHS = r"^(?:docs|documentation)/"
 
 
 def triage(files: DataFrame, ignore: list[str]) -> DataFrame:
-    """path, verdict and reason for each changed file. files: path, status, binary, old_hash, new_hash, similarity.
+    """path, verdict and reason for each changed file. files: path, status, binary, old_hash, new_hash, similarity, and old_text
+    and new_text where dependency manifests are to be compared: of these only a major version or a dependency that comes or goes proceeds.
 
     Equal content stands in for equal significant tokens.
     """
+    from millrace.sources.documents import dependencies, major_bumps
     from millrace.functions.text import path_pattern
 
     ignored = F.lit(False)
@@ -80,5 +93,9 @@ def triage(files: DataFrame, ignore: list[str]) -> DataFrame:
     reason = (
         F.when(F.col("path").rlike(DOC_PATHS), "documentation").when(ignored, "ignored").when(F.lower("path").rlike(r"\.(md|markdown|mdx|rst)$") & (F.col("status") != "deleted"), "markdown").when(F.col("binary"), "binary")
         .when(F.col("status") == "deleted", "deleted").when((F.col("old_hash") == F.col("new_hash")) & (F.col("status") == "renamed"), F.when(F.col("similarity") >= 90, "renamed").otherwise("moved")).when(F.col("old_hash") == F.col("new_hash"), "same content")
-    )
-    return files.select("path", F.when(reason.isin("deleted", "moved") | reason.isNull(), "proceed").otherwise("abort").alias("verdict"), F.coalesce(reason, F.lit("changed")).alias("reason"))
+    )
+    if {"old_text", "new_text"} <= set(files.columns):
+        old, new = (dependencies(F.col("path"), F.col(c)) for c in ("old_text", "new_text"))
+        read = old.isNotNull() & new.isNotNull() & (F.size(old) + F.size(new) > 0)
+        reason = F.coalesce(reason, F.when(read, F.when(F.size(major_bumps(old, new)) > 0, "major dependency").otherwise("minor dependency")))
+    return files.select("path", F.when(reason.isin("deleted", "moved", "major dependency") | reason.isNull(), "proceed").otherwise("abort").alias("verdict"), F.coalesce(reason, F.lit("changed")).alias("reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,25 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, kinds: list[st
     return seen
 
 
+def bounded_neighbourhood(edges: DataFrame, entities: DataFrame, start: DataFrame, depth: int, allowed: Column, most: int = 500, kinds: list[str] | None = None) -> DataFrame:
+    """start, node and distance as neighbourhood() has them, for readers who may see some entities only, most nodes of each start at most.
+
+    allowed: condition on entities (id, repo_id, ...); an edge counts if both ends are allowed. Nearer nodes come first, then ids.
+    A round keeps what the bound lets through, so a hub costs most rows of each start and not all its edges further on.
+    """
+    seen_by = entities.where(allowed).select("id")
+    if kinds:
+        edges = edges.where(F.col("kind").isin(*kinds))
+    open_ = edges.join(seen_by.withColumnRenamed("id", "src"), "src", "left_semi").join(seen_by.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    steps = both_ways(open_).select("node", "other").distinct()
+    seen = start.join(seen_by, "id", "left_semi").select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"))
+    order = Window.partitionBy("start").orderBy("distance", "node")
+    for d in range(1, depth + 1):
+        new = seen.where(F.col("distance") == d - 1).join(steps, "node").select("start", F.col("other").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        seen = seen.unionByName(new.withColumn("distance", F.lit(d))).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+    return seen
+
+
 def neighbours(edges: DataFrame, keys: DataFrame, kind: str, entities: DataFrame) -> DataFrame:
     """Distinct one-step neighbours of keys (id) among entities of a kind, without the keys."""
     near = both_ways(edges).join(keys.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("other").alias("id")).distinct()
@@ -62,13 +81,22 @@ def overview(entities: DataFrame, edges: DataFrame, kinds: list[str], n: int) ->
 
 
 def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """id, ancestor and depth (1: the parent) for every node of nodes (id, parent_id), by a recursive query."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("__tree_nodes")
-    return spark.sql(f"""WITH RECURSIVE up(id, ancestor, depth) AS (
-      SELECT id, parent_id, 1 FROM __tree_nodes WHERE parent_id IS NOT NULL
-      UNION ALL SELECT up.id, n.parent_id, up.depth + 1 FROM up JOIN __tree_nodes n ON n.id = up.ancestor WHERE n.parent_id IS NOT NULL AND up.depth < {most})
-      SELECT id, ancestor, depth FROM up""")
+    """id, ancestor and depth (1: the parent, most at most) for every node of nodes (id, parent_id).
+
+    Each round joins what is known with itself and so doubles the depths reached: log2(most) rounds of equi-joins, until no
+    node has an ancestor beyond. Rounds are kept by Spark, as each reads the one before three times.
+    """
+    known = nodes.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
+    reach = 1
+    while reach < most:
+        top = known.where(F.col("depth") == reach)
+        further = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"), F.col("depth").alias("more"))
+        new = top.join(further, "ancestor").select("id", F.col("above").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")).where(F.col("depth") <= most)
+        known = known.unionByName(new).persist()
+        reach *= 2
+        if known.where(F.col("depth") == reach).isEmpty():
+            break
+    return known
 
 
 def children(nodes: DataFrame) -> DataFrame:

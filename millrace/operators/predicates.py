@@ -6,7 +6,7 @@ import functools
 import operator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import SEVERITIES, severity_rank
@@ -58,6 +58,32 @@ def like_text(column: str, part: str | None) -> Column | None:
     return F.col(column).ilike(f"%{part}%") if part else None
 
 
+def same(column: str, value) -> Column:
+    """Equal, null only to null."""
+    return F.col(column).eqNullSafe(F.lit(value))
+
+
+def holds(column: str, value) -> Column | None:
+    """Arrays that have a value among their elements."""
+    return None if value is None else F.array_contains(F.col(column), value)
+
+
+def status_filter(column: str, statuses, hidden: tuple[str, ...] = ("suppressed",)) -> Column:
+    """The statuses asked for; if none are, all but the hidden ones."""
+    return F.col(column).isin(*statuses) if statuses else ~F.col(column).isin(*hidden)
+
+
+def patched(df: DataFrame, changes: dict) -> DataFrame:
+    """df with columns set to the given values; None leaves a column as it is."""
+    return df.withColumns({c: F.coalesce(F.lit(v).cast(df.schema[c].dataType), F.col(c)) for c, v in changes.items()})
+
+
+def with_truncation(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """The first size rows, and truncated: whether there were more. One row more is fetched to tell."""
+    first = df.orderBy(*order).limit(size + 1)
+    return first.withColumn("__n", F.count("*").over(Window.partitionBy())).orderBy(*order).limit(size).withColumn("truncated", F.col("__n") > size).drop("__n")
+
+
 def at_path(column: str, path: str) -> Column:
     """A path that is, or ends with, the given one."""
     return (F.col(column) == path) | F.col(column).endswith("/" + path)

@@ -126,7 +126,9 @@ def packed(ranked: DataFrame, budget: int = BUDGET, per_file: int = PER_FILE) ->
     A chunk that does not fit is skipped, a later one may fit; skipped chunks don't count towards their file's most. That
     depends on what was taken before, so each query is one fold over its candidates (FUSED and their neighbours, a short list).
     """
+    # what can never fit is left out before lists are made
     item = F.struct("rank", "id", "file", (estimate_tokens(F.col("content")) + ITEM_TOKENS).alias("cost"))
+    ranked = ranked.where((estimate_tokens(F.col("content")) + ITEM_TOKENS) <= budget)
     lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,file:string>>").alias("out"))
 

@@ -66,6 +66,7 @@ def suggestions(issues: DataFrame, taken: DataFrame) -> DataFrame:
     return free.groupBy("service", "environment").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.sum("occurrences").alias("total")).select("service", "environment", F.col("rows.id").alias("issue_ids"), F.col("rows.fingerprint").alias("fingerprints"), "total")
 
 
+# What counts as an exception, an error code, a quoted message and a cloud resource.
 EXCEPTION = r"\b(?:[a-z_]\w*\.)*[A-Z][A-Za-z0-9_]*(?:Exception|Error|Fault|Panic|Timeout)\b"
 CODE = r"\b(?:[A-Z]{2,10}[-_][0-9]{2,6}|E[0-9]{3,6}|HTTP[ /]?[45][0-9][0-9]|(?:status|code)[ =:]+[45][0-9][0-9])\b"
 QUOTED = "[\"'`“]([^\"'`”\n]{8,200})[\"'`”]"
@@ -100,6 +101,20 @@ def mentions(texts: DataFrame, entities: DataFrame, shortest: int = 4) -> DataFr
     return each.join(entities.select("entity", F.lower("name").alias("name")), "name").groupBy("id", "entity").agg(F.min("first").alias("first"))
 
 
+#: Methods that make a pair of tokens an endpoint: fixed values.
+METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
+
+
+def route_mentions(texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """id, entity and first (the token where it stands first) of endpoints, named METHOD /route, in texts (id, text). entities: entity, name."""
+    tokens = F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}_/.-]+"), F.lit(0)), lambda w: w.isNotNull())
+    each = texts.select("id", tokens.alias("w")).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.struct(F.upper(F.trim(F.get("w", i), F.lit("./"))).alias("method"), F.rtrim(F.get("w", i + 1), F.lit(".")).alias("route")))).alias("place", "p"))
+    named = each.where(F.col("p.method").isin(*METHODS) & F.col("p.route").startswith("/")).groupBy("id", F.concat_ws(" ", "p.method", "p.route").alias("name")).agg(F.min("place").alias("first"))
+    cut = F.split(F.trim("name"), " ", 2)
+    known = entities.select("entity", F.concat_ws(" ", F.upper(F.get(cut, F.lit(0))), F.get(cut, F.lit(1))).alias("name")).where(F.get(F.split("name", " ", 2), F.lit(1)).rlike("^/."))
+    return named.join(known, "name").groupBy("id", "entity").agg(F.min("first").alias("first"))
+
+
 #: Code lines up to which a commented chunk uses its comment, characters that comment needs, and code lines up to which the fast model is used: fixed values.
 ROUTES = {"thorough": (-1, 0, -1), "balanced": (3, 20, 25), "economy": (60, 60, 80)}
 

@@ -38,7 +38,7 @@ def entity_edges(spark, folder):
 
 
 def starts(spark, folder):
-    return table(spark, folder, "customer").where("c_custkey % 100 = 0").select(key("c", "c_custkey").alias("id"))
+    return table(spark, folder, "customer").where("c_custkey % 50 = 0").select(key("c", "c_custkey").alias("id"))
 
 
 def neighbourhoods(spark, folder):
@@ -61,12 +61,6 @@ def overview_edges(spark, folder):
     return G.overview(entities(spark, folder), edges(spark, folder), ["repo", "topic"], 200)[1]
 
 
-def system_links(spark, folder):
-    owners = entities(spark, folder).where("owner IS NOT NULL").select("id", "owner")
-    few = owners.where(F.col("owner").isin("c:100", "c:200", "c:300", "c:400", "c:500"))
-    return G.through_shared(edges(spark, folder), few, "publishes", "subscribes")
-
-
 def tree(spark, folder):
     r = table(spark, folder, "region").select(key("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))
     n = table(spark, folder, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent_id"))
@@ -142,19 +136,18 @@ def repo_access(spark, folder):
     return direct.union(group).distinct()
 
 
-QUERIES = {f.__name__: f for f in (entity_edges, neighbourhoods, symbol_neighbours, orphan_entities, overview_nodes, overview_edges, system_links, tree_ancestors, tree_children, manifest, missing_ids, missing_pairs, folded_chunks, rekeyed_vectors, triaged_files, graph_changes, content_keys, repo_access)}
+QUERIES = {f.__name__: f for f in (entity_edges, neighbourhoods, symbol_neighbours, orphan_entities, overview_nodes, overview_edges, tree_ancestors, tree_children, manifest, missing_ids, missing_pairs, folded_chunks, rekeyed_vectors, triaged_files, graph_changes, content_keys, repo_access)}
 _TOP = """top AS (SELECT id, coalesce(d, 0) AS degree FROM ent LEFT JOIN (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) ON node = id WHERE kind IN ('repo', 'topic') ORDER BY degree DESC, id LIMIT 200)"""
 _ST = "st AS (SELECT doc_id AS id, source AS path, CASE WHEN doc_id % 9 = 0 THEN 'generated_doc' ELSE 'code' END AS source, CAST(n_chars AS VARCHAR) AS hash, doc_id % 7 <> 0 AS live FROM documents WHERE doc_id % 5 <> 0)"
 _FR = "fr AS (SELECT doc_id AS id, source AS path, CASE WHEN doc_id % 9 = 0 THEN 'imported_doc' ELSE 'code' END AS source, CASE WHEN doc_id % 6 = 0 THEN 'new' ELSE CAST(n_chars AS VARCHAR) END AS hash FROM documents WHERE doc_id % 4 <> 0)"
 ORACLES = {
     "entity_edges": f"WITH {ENTITIES_SQL}, {EDGES_SQL} SELECT s.kind AS src_kind, edge.kind AS kind, d.kind AS dst_kind, s.name AS src_name, count(*) AS edges FROM edge JOIN ent s ON s.id = src AND s.deleted_at IS NULL JOIN ent d ON d.id = dst AND d.deleted_at IS NULL GROUP BY 1, 2, 3, 4",
-    "neighbourhoods": f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src AS node, dst AS other FROM edge UNION SELECT dst, src FROM edge), z AS (SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 100 = 0),
+    "neighbourhoods": f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src AS node, dst AS other FROM edge UNION SELECT dst, src FROM edge), z AS (SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0),
   walk AS (SELECT id AS start, id AS node, 0 AS distance FROM z UNION SELECT start, other, distance + 1 FROM walk JOIN both_ways USING (node) WHERE distance < 2) SELECT start, node, min(distance) AS distance FROM walk GROUP BY 1, 2""",
-    "symbol_neighbours": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, z AS (SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 100 = 0) SELECT DISTINCT n.id FROM z JOIN edge ON src = z.id OR dst = z.id JOIN ent n ON n.id = CASE WHEN src = z.id THEN dst ELSE src END WHERE n.kind = 'symbol' AND n.deleted_at IS NULL AND n.id NOT IN (SELECT id FROM z)",
-    "orphan_entities": f"WITH {ENTITIES_SQL}, {EDGES_SQL} SELECT id, kind FROM ent WHERE deleted_at IS NULL AND NOT EXISTS (SELECT 1 FROM edge WHERE src = id) AND NOT EXISTS (SELECT 1 FROM edge WHERE dst = id)",
+    "symbol_neighbours": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, z AS (SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0) SELECT DISTINCT n.id FROM z JOIN edge ON src = z.id OR dst = z.id JOIN ent n ON n.id = CASE WHEN src = z.id THEN dst ELSE src END WHERE n.kind = 'symbol' AND n.deleted_at IS NULL AND n.id NOT IN (SELECT id FROM z)",
+    "orphan_entities": f"WITH {ENTITIES_SQL}, {EDGES_SQL} SELECT id, kind FROM ent WHERE deleted_at IS NULL AND id NOT IN (SELECT DISTINCT src FROM edge) AND id NOT IN (SELECT DISTINCT dst FROM edge)",
     "overview_nodes": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, {_TOP} SELECT id, degree FROM top",
     "overview_edges": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, {_TOP} SELECT coalesce(s.owner, s.id) AS a, coalesce(d.owner, d.id) AS b, edge.kind AS kind, count(*) AS weight FROM edge JOIN ent s ON s.id = src JOIN ent d ON d.id = dst WHERE coalesce(s.owner, s.id) <> coalesce(d.owner, d.id) AND coalesce(s.owner, s.id) IN (SELECT id FROM top) AND coalesce(d.owner, d.id) IN (SELECT id FROM top) GROUP BY 1, 2, 3",
-    "system_links": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, w AS (SELECT id, owner FROM ent WHERE owner IN ('c:100', 'c:200', 'c:300', 'c:400', 'c:500')) SELECT p.owner AS a, q.owner AS b, count(*) AS links, min(x.dst) AS first FROM edge x JOIN w p ON p.id = x.src JOIN edge y ON y.dst = x.dst JOIN w q ON q.id = y.src WHERE x.kind = 'publishes' AND y.kind = 'subscribes' AND p.owner <> q.owner GROUP BY 1, 2",
     "tree_ancestors": f"WITH RECURSIVE {TREE_SQL}, up AS (SELECT id, parent_id AS ancestor, 1 AS depth FROM tree WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, t.parent_id, depth + 1 FROM up JOIN tree t ON t.id = up.ancestor WHERE t.parent_id IS NOT NULL) SELECT id, ancestor, depth FROM up",
     "tree_children": f"WITH {TREE_SQL} SELECT id, parent_id, EXISTS (SELECT 1 FROM tree k WHERE k.parent_id = tree.id) AS has_children FROM tree",
     "manifest": f"""WITH {_ST}, {_FR} SELECT coalesce(st.id, fr.id) AS id, CASE WHEN fr.id IS NULL THEN 'removed' WHEN st.id IS NULL THEN 'added' WHEN fr.source = 'imported_doc' AND st.source = 'generated_doc' THEN 'skipped' WHEN NOT live AND st.hash = fr.hash THEN 'revived' WHEN NOT live THEN 'added' WHEN st.hash <> fr.hash OR st.source <> fr.source THEN 'changed' ELSE 'unchanged' END AS change

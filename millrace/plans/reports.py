@@ -106,11 +106,6 @@ def job_page(spark, folder):
     return P.page(jobs(spark, folder).select("id", "type", "created_at"), ["created_at", "id"], 200, [F.lit("1997-06-01 00:00:00").cast("timestamp_ntz"), 5000], descending=True)
 
 
-def job_search(spark, folder):
-    named = table(spark, folder, "part")
-    return P.where(named, P.contains_text("p_name", "A"), P.like_text("p_type", "s_e"), P.equals("p_size", None), P.any_of("p_brand", [])).select("p_partkey", "p_name", "p_type")
-
-
 def problem_report(spark, folder):
     docs = table(spark, folder, "documents").select(F.array_compact(F.array(F.when(F.col("n_chars") > 4000, "long"), F.when(F.col("lang") != "en", "foreign"), F.when(F.col("doc_id") % 7 == 0, "stale"))).alias("problems"), (F.col("n_chars") % 100).alias("cost"), (F.col("doc_id") % 3).alias("drafts"))
     return R.problem_counts(docs)
@@ -150,7 +145,7 @@ def limit_checks(spark, folder):
 
 LIMITS_SQL = """lim(limit_id, scope, scope_key, max_tokens, max_cost, st, sc) AS (VALUES ('l1', 'global', '', 900, 4.0, 820, 1.0), ('l2', 'feature', 'view', 120, 1.0, 10, 0.2), ('l3', 'feature', 'click', 0, 0.02, 0, 0.0), ('l4', 'provider', '7', 60, 0.0, 5, 0.0))"""
 
-QUERIES = {f.__name__: f for f in (usage_totals, job_stats, abort_rate, repo_freshness, repo_recent, answer_totals, answers_daily, activity_feed, decode_estimate, shelf_counts, queue_depth, newest_jobs, visible_documents, job_page, job_search, problem_report, spend_windows, month_spend, savings_by_kind, priced_calls, limit_checks)}
+QUERIES = {f.__name__: f for f in (usage_totals, job_stats, abort_rate, repo_freshness, repo_recent, answer_totals, answers_daily, activity_feed, decode_estimate, shelf_counts, queue_depth, newest_jobs, visible_documents, job_page, problem_report, spend_windows, month_spend, savings_by_kind, priced_calls, limit_checks)}
 ORACLES = {
     "usage_totals": f"WITH {LEDGER_SQL} SELECT count(*) AS calls, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, CAST(sum(cost_usd) AS DOUBLE) AS cost_usd, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, count(*) FILTER (WHERE cached) AS cached_calls, count(*) FILTER (WHERE outcome = 'blocked') AS blocked_calls FROM ledger",
     "job_stats": f"WITH {JOBS_SQL} SELECT type, status, count(*) AS jobs, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY epoch(updated_at - created_at)), 6) AS p50_seconds, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY epoch(updated_at - created_at)), 6) AS p95_seconds FROM jobs GROUP BY 1, 2",
@@ -167,7 +162,6 @@ ORACLES = {
     "visible_documents": """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source END AS repo_id, CASE WHEN doc_id % 8 = 0 THEN 'jira' ELSE 'code' END AS source, CASE WHEN doc_id % 5 = 0 THEN [source, 'src1'] END AS requires FROM documents)
 SELECT doc_id, repo_id, source FROM d WHERE (repo_id IN ('src0', 'src1', 'src2') OR (repo_id IS NULL AND source IN ('confluence', 'jira', 'notion', 'upload'))) AND (requires IS NULL OR list_has_all(['src0', 'src1', 'src2'], requires))""",
     "job_page": f"WITH {JOBS_SQL} SELECT id, type, created_at FROM jobs WHERE created_at < TIMESTAMP '1997-06-01' OR (created_at = TIMESTAMP '1997-06-01' AND id < 5000) ORDER BY created_at DESC, id DESC LIMIT 200",
-    "job_search": "SELECT p_partkey, p_name, p_type FROM part WHERE strpos(lower(p_name), 'a') > 0 AND p_type ILIKE '%s_e%'",
     "problem_report": """WITH d AS (SELECT list_filter([CASE WHEN n_chars > 4000 THEN 'long' END, CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN doc_id % 7 = 0 THEN 'stale' END], lambda x: x IS NOT NULL) AS p, n_chars % 100 AS cost, doc_id % 3 AS drafts FROM documents),
   e AS (SELECT unnest(CASE WHEN len(p) = 0 THEN [NULL] ELSE p END) AS problem, cost, drafts FROM d) SELECT problem, count(*) AS documents, CAST(sum(cost) AS BIGINT) AS cost, count(*) FILTER (WHERE drafts > 1) AS repaired FROM e GROUP BY 1""",
     "spend_windows": f"""WITH {LEDGER_SQL}, h AS (SELECT feature, date_trunc('hour', ts) AS hour, sum(input_tokens + output_tokens) AS tokens, sum(cost_usd) AS cost FROM ledger GROUP BY 1, 2)

@@ -54,7 +54,7 @@ def found_terms(spark, folder):
 def frames_to_chunks(spark, folder):
     part = table(spark, folder, "part")
     chunks = part.select(F.col("p_partkey").alias("chunk_id"), F.concat(F.lit("src/"), F.col("p_brand"), F.lit("/"), (F.col("p_partkey") % 50).cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("symbol"))
-    frames = part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("frame_id"), F.concat(F.lit("/app/src/"), F.col("p_brand"), F.lit("/"), (F.col("p_partkey") % 50).cast("string"), F.lit(".py")).alias("file"), F.lit("f1").alias("function"))
+    frames = part.select(F.col("p_partkey").alias("frame_id"), F.concat(F.lit("/app/src/"), F.col("p_brand"), F.lit("/"), (F.col("p_partkey") % 50).cast("string"), F.lit(".py")).alias("file"), F.lit("f1").alias("function"))
     return R.frame_chunks(frames, chunks)
 
 
@@ -113,7 +113,7 @@ ORACLES = {
     "shelved_documents": "SELECT doc_id, array_to_string(list_filter([CASE WHEN lang IN ('fr', 'es') THEN 'romance' END, CASE WHEN (source IN ('src0', 'src1') AND lang = 'en') OR source = 'src2' THEN 'first' END], lambda x: x IS NOT NULL), ',') AS shelves FROM documents",
     "open_suggestions": "SELECT o_orderpriority AS service, o_orderstatus AS environment, CAST(count(*) AS INT) AS issues, min(o_orderkey) AS first, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders WHERE o_orderkey % 6 <> 0 GROUP BY 1, 2",
     "found_terms": "SELECT doc_id, 'java.io.IOException|PaymentTimeout' AS exceptions, CASE WHEN true THEN 'ORD-' || (doc_id % 1000 + 10) || '|HTTP 503' END AS codes, 'cannot reach host' AS messages, '/aws/lambda/pay-' || lang AS resources, array_to_string(list_filter([CASE WHEN lang = 'en' THEN 'en-svc' END, NULL, 'svc'], lambda x: x IS NOT NULL), '|') AS services FROM documents",
-    "frames_to_chunks": """WITH c AS (SELECT p_partkey AS id, 'src/' || p_brand || '/' || (p_partkey % 50) || '.py' AS path, 'f' || (p_partkey % 3) AS symbol FROM part), f AS (SELECT p_partkey AS frame_id, '/app/src/' || p_brand || '/' || (p_partkey % 50) || '.py' AS file FROM part WHERE p_partkey % 5 = 0)
+    "frames_to_chunks": """WITH c AS (SELECT p_partkey AS id, 'src/' || p_brand || '/' || (p_partkey % 50) || '.py' AS path, 'f' || (p_partkey % 3) AS symbol FROM part), f AS (SELECT p_partkey AS frame_id, '/app/src/' || p_brand || '/' || (p_partkey % 50) || '.py' AS file FROM part)
 SELECT frame_id, id AS chunk_id FROM f JOIN c ON file = '/app/' || path QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY symbol <> 'f1', length(path) DESC, id) = 1""",
     "entity_mentions": r"""WITH n AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 7)) AS entity FROM benchmark), t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_./-]*[\p{L}\p{N}_]|[\p{L}\p{N}_]')) AS entity FROM documents) SELECT entity, count(*) AS documents FROM t JOIN n USING (entity) GROUP BY 1""",
     "document_routes": """SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'reuse' WHEN n_chars % 120 <= 60 AND n_chars % 90 >= 60 THEN 'comment' WHEN n_chars % 120 <= 80 THEN 'fast' ELSE 'full' END AS economy, CASE WHEN n_chars % 30 <= 3 AND n_chars % 40 >= 20 THEN 'comment' WHEN n_chars % 30 <= 25 THEN 'fast' ELSE 'full' END AS balanced FROM documents""",

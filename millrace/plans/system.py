@@ -22,11 +22,6 @@ def wired(c: DataFrame, size: Column):
 
 
 def wiring(spark: SparkSession, folder: str):
-    """The links among the first 400 customers; wiring_whole has all."""
-    return wired(table(spark, folder, "customer").where("c_custkey <= 400"), F.lit(400))
-
-
-def wiring_whole(spark: SparkSession, folder: str):
     """The links among all customers, who point at ids up to their number."""
     c = table(spark, folder, "customer")
     return wired(c.crossJoin(F.broadcast(c.agg(F.count("*").alias("customers")))), F.col("customers"))
@@ -38,12 +33,12 @@ def packages(spark, folder):
     return S.package_links(deps, repos.withColumn("full_name", F.concat(F.lit("acme/nation_"), F.col("id").cast("string"))))
 
 
-def system_links_whole(spark, folder):
+def system_links(spark, folder):
     """Links between all owners from all four sources: shared topics, edges, packages and wiring."""
     e, ent = edges(spark, folder), entities(spark, folder)
     events = G.topic_links(e, ent.where("owner IS NOT NULL"))
     library = packages(spark, folder).select(key("n", "repo").alias("source"), key("n", "id").alias("target"), F.lit("library").alias("kind"), F.col("name").alias("via"))
-    config = wiring_whole(spark, folder).select(key("c", "source").alias("source"), key("c", "target").alias("target"), "kind", "via")
+    config = wiring(spark, folder).select(key("c", "source").alias("source"), key("c", "target").alias("target"), "kind", "via")
     return G.system_links(events, G.edge_links(e, ent), library, config)
 
 
@@ -101,9 +96,9 @@ def issues_with_terms(spark, folder):
 
 
 def composite_lookup(spark, folder):
-    """Rows at a list of (order, line) pairs."""
+    """Rows at a list of (order, line) pairs: the second line of each finished order."""
     li = table(spark, folder, "lineitem")
-    wanted = li.where("l_orderkey % 97 = 0").select("l_orderkey", F.lit(2).alias("l_linenumber")).distinct()
+    wanted = table(spark, folder, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(2).alias("l_linenumber")).distinct()
     return li.join(wanted, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -121,12 +116,9 @@ def path_chunks(spark, folder):
     return d.groupBy("lang", "source").agg(F.count("*").cast("int").alias("chunks")).where(F.col("source").ilike("%1%"))
 
 
-QUERIES = {f.__name__: f for f in (wiring, wiring_whole, packages, system_links_whole, endpoint_groups, extracted_facts, module_calls, modules, navigation, decode_freshness, rule_dry_run, issues_with_terms, composite_lookup, distinct_per_repo, cited_scopes, path_chunks)}
+QUERIES = {f.__name__: f for f in (wiring, packages, system_links, endpoint_groups, extracted_facts, module_calls, modules, navigation, decode_freshness, rule_dry_run, issues_with_terms, composite_lookup, distinct_per_repo, cited_scopes, path_chunks)}
 ORACLES = {
-    "wiring": """WITH c AS (SELECT c_custkey AS k, c_custkey * 7 % 400 AS t FROM customer WHERE c_custkey <= 400), l AS (
-  SELECT k, t + 1 AS o, 'api' AS kind, 'h' || (t + 1) || '.acme.io' AS via FROM c UNION ALL SELECT k, t + 2, 'api', 'svc' || (t + 2) || '.prod.svc' FROM c UNION ALL SELECT k, t + 4, 'image', 'ghcr.io/acme/svc' || (t + 4) FROM c UNION ALL SELECT k, t + 5, 'pipeline', 'acme/svc' || (t + 5) FROM c)
-SELECT k AS source, o AS target, kind, via FROM l WHERE k <> o AND o IN (SELECT k FROM c)""",
-    "wiring_whole": """WITH c AS (SELECT c_custkey AS k, c_custkey * 7 % (SELECT count(*) FROM customer) AS t FROM customer), l AS (
+    "wiring": """WITH c AS (SELECT c_custkey AS k, c_custkey * 7 % (SELECT count(*) FROM customer) AS t FROM customer), l AS (
   SELECT k, t + 1 AS o, 'api' AS kind, 'h' || (t + 1) || '.acme.io' AS via FROM c UNION ALL SELECT k, t + 2, 'api', 'svc' || (t + 2) || '.prod.svc' FROM c UNION ALL SELECT k, t + 4, 'image', 'ghcr.io/acme/svc' || (t + 4) FROM c UNION ALL SELECT k, t + 5, 'pipeline', 'acme/svc' || (t + 5) FROM c)
 SELECT k AS source, o AS target, kind, via FROM l WHERE k <> o AND o IN (SELECT k FROM c)""",
     "packages": """SELECT DISTINCT c_nationkey AS repo, n_nationkey AS id, (['@acme/', 'github.com/acme/', 'x/acme/', 'acmex/'])[c_custkey % 4 + 1] || 'nation_' || (c_custkey % 25) || CASE WHEN c_custkey % 3 = 0 THEN '/v2' ELSE '' END AS name FROM customer JOIN nation ON n_nationkey = c_custkey % 25
@@ -137,13 +129,13 @@ SELECT repo, CASE WHEN r THEN '/' WHEN strpos(p, '/') > 0 THEN '/' || split_part
     "decode_freshness": "SELECT doc_id AS id, doc_id % 5 <> 0 AND (doc_id % 4 = 0 OR (doc_id % 6 <> 0 AND doc_id % 11 <> 0)) AS fresh FROM documents",
     "rule_dry_run": f"WITH {EVENTS_SQL}, n AS (SELECT * FROM ev WHERE NOT suppressed AND received_at > TIMESTAMP '2024-01-13' QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY received_at DESC, event_id) = 1) SELECT fingerprint, event_id FROM n WHERE source IN ('s1', 's2')",
     "issues_with_terms": "SELECT p_partkey, p_brand || ' ' || p_type AS title FROM part WHERE strpos(lower(p_brand || ' ' || p_type), 'steel') > 0 OR strpos(p_brand, '#12') > 0",
-    "composite_lookup": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 97 = 0 AND l_linenumber = 2",
+    "composite_lookup": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_linenumber = 2",
     "distinct_per_repo": "SELECT o_custkey, count(DISTINCT l_partkey) AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1",
     "cited_scopes": "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(p_brand))), ',') AS scopes FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "path_chunks": "SELECT lang, source, CAST(count(*) AS INT) AS chunks FROM documents WHERE source ILIKE '%1%' GROUP BY 1, 2",
 }
 # edges but owns, publishes and subscribes, which are not links by themselves, do not occur in these tables
-ORACLES["system_links_whole"] = f"""WITH {ENTITIES_SQL}, {EDGES_SQL}, w AS (SELECT id, owner FROM ent WHERE owner IS NOT NULL), u AS (
+ORACLES["system_links"] = f"""WITH {ENTITIES_SQL}, {EDGES_SQL}, w AS (SELECT id, owner FROM ent WHERE owner IS NOT NULL), u AS (
   SELECT p.owner AS source, q.owner AS target, 'event' AS kind, x.dst AS via, x.src AS first FROM edge x JOIN w p ON p.id = x.src JOIN edge y ON y.dst = x.dst JOIN w q ON q.id = y.src WHERE x.kind = 'publishes' AND y.kind = 'subscribes' AND p.owner <> q.owner
-  UNION ALL SELECT 'n:' || repo, 'n:' || id, 'library', name, NULL FROM ({ORACLES["packages"]}) UNION ALL SELECT 'c:' || source, 'c:' || target, kind, via, NULL FROM ({ORACLES["wiring_whole"]}))
+  UNION ALL SELECT 'n:' || repo, 'n:' || id, 'library', name, NULL FROM ({ORACLES["packages"]}) UNION ALL SELECT 'c:' || source, 'c:' || target, kind, via, NULL FROM ({ORACLES["wiring"]}))
 SELECT source, target, kind, via, count(*) AS links, min(first) AS first FROM u GROUP BY 1, 2, 3, 4"""

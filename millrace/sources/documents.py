@@ -214,6 +214,25 @@ def markdown_chunks(docs: DataFrame, text: str = "text", keep: list[str] | None
     return docs.select(*keep, docs[text].alias("__text")).mapInPandas(run, ddl)
 
 
+#: Bytes of a plain-text chunk at most, and bytes in which a NUL makes a file binary.
+PLAIN_BYTES, LOOK = 16 * 1024, 8000
+
+
+def is_binary(content: Column) -> Column:
+    """Whether a file's bytes look binary: a NUL near the start."""
+    return F.locate("\x00", F.decode(F.substring(content, 1, LOOK), "ISO-8859-1")) > 0
+
+
+def plain_chunks(files: DataFrame) -> DataFrame:
+    """One chunk per text file without a grammar: path, symbol (the path), language, content (its first PLAIN_BYTES bytes), start_line, end_line.
+
+    files: path, content (binary). Binary, empty, blank and null files have none. The bound is the rule itself: it keeps a huge file from being one chunk.
+    """
+    text = F.decode(F.substring("content", 1, PLAIN_BYTES), "UTF-8")
+    kept = files.where(F.col("content").isNotNull() & ~is_binary(F.col("content")) & F.decode("content", "ISO-8859-1").rlike(r"[^\s]"))
+    return kept.select("path", F.col("path").alias("symbol"), F.lit("text").alias("language"), text.alias("content"), F.lit(1).alias("start_line"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("end_line"))
+
+
 def with_ids(chunks: DataFrame, scope: str, path: str) -> DataFrame:
     """chunks with chunk_id (of scope, path and symbol) and content_hash."""
     return chunks.withColumn("chunk_id", F.left(F.sha2(F.concat_ws("::", scope, path, "symbol"), 256), F.lit(16))).withColumn("content_hash", F.sha2("content", 256))

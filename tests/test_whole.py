@@ -11,7 +11,7 @@ from .test_queries import rows
 FOLDER = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["wiring_whole"])
+@pytest.mark.parametrize("name", ["wiring"])
 def test_whole(spark, name):
     con = duckdb.connect()
     for t in ("customer", "nation", "orders", "lineitem", "part"):
@@ -24,14 +24,14 @@ def test_whole(spark, name):
 
 def test_wiring_reaches_beyond_the_first_customers(spark):
     """All but the few who point beyond the last id have links."""
-    links = registry.QUERIES["wiring_whole"](spark, FOLDER).select("source", "target").collect()
+    links = registry.QUERIES["wiring"](spark, FOLDER).select("source", "target").collect()
     customers = spark.read.parquet(f"{FOLDER}/customer.parquet").count()
     assert len({r.source for r in links}) >= 0.99 * customers and len({r.target for r in links}) >= 0.99 * customers
 
 
 def test_system_links_have_all_owners_and_sources(spark):
     """The query's rows are held against its SQL in test_queries.py."""
-    links = registry.QUERIES["system_links_whole"](spark, "/root/testdata/sf0.001").collect()
+    links = registry.QUERIES["system_links"](spark, "/root/testdata/sf0.001").collect()
     assert {r.kind for r in links} == {"event", "library", "api", "image", "pipeline"}
     assert len({r.source for r in links if r.kind == "event"}) > 5
 
