@@ -15,7 +15,7 @@ from millrace.sources.documents import plain_chunks
 def job_search(spark, folder):
     """Optional filters: two that are set, a literal and a wildcard one among them, and two that are not."""
     named = table(spark, folder, "part")
-    return P.where(named, P.contains_text("p_name", "PART"), P.like_text("p_type", "e_"), P.equals("p_size", None), P.any_of("p_brand", []), P.equals("p_container", None) if "p_container" in named.columns else None).select("p_partkey", "p_name", "p_type")
+    return P.where(named, P.contains_text("p_name", "RING"), P.like_text("p_type", "e_"), P.equals("p_size", None), P.any_of("p_brand", [])).select("p_partkey", "p_name", "p_type")
 
 
 def job_lookup(spark, folder):
@@ -106,7 +106,7 @@ def mapped_services(spark, folder):
 
 QUERIES = {f.__name__: f for f in (job_search, job_lookup, tree_roots, sourced_issues, shown_issues, patched_customers, severe_events, suffix_paths, decode_issues, first_parts, plain_texts, bumped_files, endpoint_mentions, mapped_services)}
 ORACLES = {
-    "job_search": "SELECT p_partkey, p_name, p_type FROM part WHERE strpos(lower(p_name), 'part') > 0 AND p_type ILIKE '%e_%'",
+    "job_search": "SELECT p_partkey, p_name, p_type FROM part WHERE strpos(lower(p_name), 'ring') > 0 AND p_type ILIKE '%e_%'",
     "job_lookup": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'",
     "tree_roots": "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN doc_id // 3 END AS parent_id FROM documents) SELECT doc_id, 'root' AS level FROM d WHERE parent_id IS NOT DISTINCT FROM NULL UNION ALL SELECT doc_id, 'below 1' FROM d WHERE parent_id IS NOT DISTINCT FROM 1",
     "sourced_issues": "WITH s AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS sources FROM lineitem GROUP BY 1) SELECT l_orderkey, len(sources) AS sources FROM s WHERE 'R' = ANY(sources)",

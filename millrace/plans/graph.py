@@ -50,7 +50,8 @@ def symbol_neighbours(spark, folder):
 
 
 def orphan_entities(spark, folder):
-    return G.orphans(entities(spark, folder), edges(spark, folder)).select("id", "kind")
+    """Entities that no use names: all repositories, as owning is left out, and symbols that use nothing."""
+    return G.orphans(entities(spark, folder), edges(spark, folder).where("kind <> 'owns'")).select("id", "kind")
 
 
 def overview_nodes(spark, folder):
@@ -58,7 +59,10 @@ def overview_nodes(spark, folder):
 
 
 def overview_edges(spark, folder):
-    return G.overview(entities(spark, folder), edges(spark, folder), ["repo", "topic"], 200)[1]
+    """Edges between the repositories with most of them: orders stand for their customers, parts for a customer as well."""
+    ent = entities(spark, folder)
+    owned = ent.withColumn("owner", F.when(F.col("kind") == "topic", F.concat(F.lit("c:"), (F.substring("id", 3, 20).cast("long") % 90 + 1).cast("string"))).otherwise(F.col("owner")))
+    return G.overview(owned, edges(spark, folder), ["repo"], 200)[1]
 
 
 def tree(spark, folder):
@@ -145,9 +149,11 @@ ORACLES = {
     "neighbourhoods": f"""WITH RECURSIVE {EDGES_SQL}, both_ways AS (SELECT src AS node, dst AS other FROM edge UNION SELECT dst, src FROM edge), z AS (SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0),
   walk AS (SELECT id AS start, id AS node, 0 AS distance FROM z UNION SELECT start, other, distance + 1 FROM walk JOIN both_ways USING (node) WHERE distance < 2) SELECT start, node, min(distance) AS distance FROM walk GROUP BY 1, 2""",
     "symbol_neighbours": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, z AS (SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 50 = 0) SELECT DISTINCT n.id FROM z JOIN edge ON src = z.id OR dst = z.id JOIN ent n ON n.id = CASE WHEN src = z.id THEN dst ELSE src END WHERE n.kind = 'symbol' AND n.deleted_at IS NULL AND n.id NOT IN (SELECT id FROM z)",
-    "orphan_entities": f"WITH {ENTITIES_SQL}, {EDGES_SQL} SELECT id, kind FROM ent WHERE deleted_at IS NULL AND id NOT IN (SELECT DISTINCT src FROM edge) AND id NOT IN (SELECT DISTINCT dst FROM edge)",
+    "orphan_entities": f"WITH {ENTITIES_SQL}, {EDGES_SQL} SELECT id, kind FROM ent WHERE deleted_at IS NULL AND id NOT IN (SELECT DISTINCT src FROM edge WHERE kind <> 'owns') AND id NOT IN (SELECT DISTINCT dst FROM edge WHERE kind <> 'owns')",
     "overview_nodes": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, {_TOP} SELECT id, degree FROM top",
-    "overview_edges": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, {_TOP} SELECT coalesce(s.owner, s.id) AS a, coalesce(d.owner, d.id) AS b, edge.kind AS kind, count(*) AS weight FROM edge JOIN ent s ON s.id = src JOIN ent d ON d.id = dst WHERE coalesce(s.owner, s.id) <> coalesce(d.owner, d.id) AND coalesce(s.owner, s.id) IN (SELECT id FROM top) AND coalesce(d.owner, d.id) IN (SELECT id FROM top) GROUP BY 1, 2, 3",
+    "overview_edges": f"""WITH {ENTITIES_SQL}, {EDGES_SQL}, own AS (SELECT id, kind, CASE WHEN kind = 'topic' THEN 'c:' || (CAST(substring(id, 3) AS BIGINT) % 90 + 1) ELSE owner END AS owner FROM ent),
+  top AS (SELECT id, coalesce(d, 0) AS degree FROM own LEFT JOIN (SELECT node, count(*) AS d FROM (SELECT src AS node FROM edge UNION ALL SELECT dst FROM edge) GROUP BY 1) ON node = id WHERE kind = 'repo' ORDER BY degree DESC, id LIMIT 200)
+SELECT coalesce(s.owner, s.id) AS a, coalesce(d.owner, d.id) AS b, edge.kind AS kind, count(*) AS weight FROM edge JOIN own s ON s.id = src JOIN own d ON d.id = dst WHERE coalesce(s.owner, s.id) <> coalesce(d.owner, d.id) AND coalesce(s.owner, s.id) IN (SELECT id FROM top) AND coalesce(d.owner, d.id) IN (SELECT id FROM top) GROUP BY 1, 2, 3""",
     "tree_ancestors": f"WITH RECURSIVE {TREE_SQL}, up AS (SELECT id, parent_id AS ancestor, 1 AS depth FROM tree WHERE parent_id IS NOT NULL UNION ALL SELECT up.id, t.parent_id, depth + 1 FROM up JOIN tree t ON t.id = up.ancestor WHERE t.parent_id IS NOT NULL) SELECT id, ancestor, depth FROM up",
     "tree_children": f"WITH {TREE_SQL} SELECT id, parent_id, EXISTS (SELECT 1 FROM tree k WHERE k.parent_id = tree.id) AS has_children FROM tree",
     "manifest": f"""WITH {_ST}, {_FR} SELECT coalesce(st.id, fr.id) AS id, CASE WHEN fr.id IS NULL THEN 'removed' WHEN st.id IS NULL THEN 'added' WHEN fr.source = 'imported_doc' AND st.source = 'generated_doc' THEN 'skipped' WHEN NOT live AND st.hash = fr.hash THEN 'revived' WHEN NOT live THEN 'added' WHEN st.hash <> fr.hash OR st.source <> fr.source THEN 'changed' ELSE 'unchanged' END AS change

@@ -26,13 +26,13 @@ def knowledge_cursors(spark, folder):
     """Every stream's cursor after its changed pages; cursors never go back, and a new stream gets one."""
     p = pages(spark, folder)
     cursors = p.select("stream").distinct().where("stream <> 'src2'").select("stream", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz").alias("cursor"))
-    return K.next_cursor(p.where("id % 3 = 0"), cursors)
+    return K.next_cursor(p.where("floor(id / 20) % 3 = 0"), cursors)
 
 
 def pages_gone(spark, folder):
     """Stored pages that a full list no longer has; streams that were not listed lose none."""
     p = pages(spark, folder)
-    return K.gone(p, p.where("stream <> 'src3' AND id % 4 <> 0").select("stream", "id"))
+    return K.gone(p, p.where("stream <> 'src3' AND floor(id / 20) % 4 <> 0").select("stream", "id"))
 
 
 def labelled_pages(spark, folder):
@@ -82,8 +82,8 @@ _P = "p AS (SELECT source AS stream, doc_id AS id, TIMESTAMP '2024-01-01' + to_h
 _COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 ORACLES = {
     "changed_pages": f"WITH {_P} SELECT id, updated_at FROM p WHERE stream = 'src1' AND updated_at > TIMESTAMP '2024-01-06' ORDER BY updated_at, id",
-    "knowledge_cursors": f"WITH {_P} SELECT stream, greatest(CASE WHEN stream <> 'src2' THEN TIMESTAMP '2024-01-20' END, max(updated_at) FILTER (WHERE id % 3 = 0)) AS cursor FROM p GROUP BY stream HAVING stream <> 'src2' OR count(*) FILTER (WHERE id % 3 = 0) > 0",
-    "pages_gone": f"WITH {_P} SELECT stream, id FROM p WHERE stream <> 'src3' AND id % 4 = 0 AND stream IN (SELECT stream FROM p WHERE id % 4 <> 0)",
+    "knowledge_cursors": f"WITH {_P} SELECT stream, greatest(CASE WHEN stream <> 'src2' THEN TIMESTAMP '2024-01-20' END, max(updated_at) FILTER (WHERE (id // 20) % 3 = 0)) AS cursor FROM p GROUP BY stream HAVING stream <> 'src2' OR count(*) FILTER (WHERE (id // 20) % 3 = 0) > 0",
+    "pages_gone": f"WITH {_P} SELECT stream, id FROM p WHERE stream <> 'src3' AND (id // 20) % 4 = 0 AND stream IN (SELECT stream FROM p WHERE (id // 20) % 4 <> 0)",
     "labelled_pages": "SELECT doc_id AS id, source AS stream FROM documents WHERE doc_id % 5 = 0",
     "bounded_neighbourhoods": f"""WITH {ENTITIES_SQL}, {EDGES_SQL}, ok AS (SELECT id FROM ent WHERE owner IS NULL OR owner NOT LIKE '%7'), e AS (SELECT src, dst FROM edge WHERE src IN (SELECT id FROM ok) AND dst IN (SELECT id FROM ok)), s AS (SELECT src AS node, dst AS other FROM e UNION SELECT dst, src FROM e),
   z AS (SELECT 'c:' || c_custkey AS start FROM customer WHERE c_custkey % 50 = 0), one AS (SELECT start, other AS node, row_number() OVER (PARTITION BY start ORDER BY other) AS n FROM z JOIN s ON node = start), a AS (SELECT start, start AS node, 0 AS distance FROM z UNION ALL SELECT start, node, 1 FROM one WHERE n <= 19),

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filters, graph, issues, knowledge, reports, retrieval, rules, signals, system, text, usage
+from . import deliveries, filters, graph, issues, knowledge, reports, retrieval, rules, signals, system, text, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (usage, text, reports, issues, graph, retrieval, rules, signals, system, filters, knowledge):
+for _module in (usage, text, reports, issues, graph, retrieval, rules, signals, system, filters, knowledge, deliveries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
