@@ -69,10 +69,10 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = end
 
 
-def frequent(docs: DataFrame, values: Callable[[pa.RecordBatch], list[np.ndarray]], kinds: int, share: float, least: int, limit: int = SLICE_BYTES) -> list[np.ndarray]:
+def frequent(docs: DataFrame, values: Callable[[pa.RecordBatch], list[np.ndarray]], kinds: int, share: float, least: int, limit: int = SLICE_BYTES, run: int = RUN) -> list[np.ndarray]:
     """For each kind, in rising order, the values that make up share of all values of docs (with __text), least of them at least.
 
-    values gives 64-bit values of each kind for a slice of docs. They are counted in runs of RUN, a value where a run holds it
+    values gives 64-bit values of each kind for a slice of docs. They are counted in runs of about run, a value where a run holds it
     twice and for half of share at least: at most 2 / share values are found, whatever the size of docs, so that they may be sent to
     every executor. What is found serves to lay rows out, never to decide a result.
     """
@@ -93,7 +93,7 @@ def frequent(docs: DataFrame, values: Callable[[pa.RecordBatch], list[np.ndarray
                 for own, found in zip(held, values(p), strict=True):
                     own.append(found)
                     size += len(found)
-                if size > RUN:
+                if size > run:
                     yield from told()
                     size = 0
         if size:

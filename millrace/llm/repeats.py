@@ -86,7 +86,7 @@ def hot(docs: DataFrame, plan: Plan) -> list[np.ndarray]:
         s = plan.cut(plan.units(part.column(1)))
         return [s.anchor, s.content]
 
-    return frequent(docs.select("key", "__text"), values, 2, HOT, LEAST, SLICE)
+    return frequent(docs.select("key", "__text"), values, 2, HOT, LEAST, SLICE, 1 << 20)
 
 
 def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
