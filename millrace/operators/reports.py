@@ -75,3 +75,9 @@ def problem_counts(docs: DataFrame) -> DataFrame:
     """Documents, cost and repaired drafts by kind of problem. docs: problems array<string>, cost, drafts."""
     each = docs.withColumn("problem", F.explode_outer(F.array_distinct("problems")))
     return each.groupBy("problem").agg(F.count("*").alias("documents"), F.sum("cost").alias("cost"), F.count_if(F.col("drafts") > 1).alias("repaired"))
+
+
+def rolling_p95(peaks: DataFrame, keys: list[str], hour: str, value: str, hours: int = 167) -> DataFrame:
+    """peaks (a row for each key and hour number) with p95: nearest rank among the values of the completed hours before, null without any."""
+    before = F.array_sort(F.collect_list(value).over(Window.partitionBy(*keys).orderBy(hour).rangeBetween(-hours, -1)))
+    return peaks.withColumn("__before", before).withColumn("p95", F.get("__before", F.ceil(0.95 * F.size("__before")).cast("int") - 1)).drop("__before")

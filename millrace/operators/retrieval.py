@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import estimate_tokens, same_identifiers
+from millrace.operators.folds import in_order
 
 CANDIDATES, FUSED, RRF_K, PER_FILE, BUDGET, ITEM_TOKENS = 40, 20, 60, 3, 16000, 30
 #: Weights of title, symbol and body matches in full text: fixed values.
@@ -64,7 +66,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, least: float | None =
 
 
 def unit(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), dtype=np.float64)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
@@ -121,22 +123,28 @@ def path_rank(path: Column, source: Column) -> Column:
 
 
 def packed(ranked: DataFrame, budget: int = BUDGET, per_file: int = PER_FILE) -> DataFrame:
-    """query_id and id of the chunks that fit, in rank order. ranked: query_id, rank, id, file, content.
+    """query_id, place and id of the chunks that fit, in rank order. ranked: query_id, rank, id, file, content.
 
     A chunk that does not fit is skipped, a later one may fit; skipped chunks don't count towards their file's most. That
-    depends on what was taken before, so each query is one fold over its candidates (FUSED and their neighbours, a short list).
+    depends on what was taken before, so each query is one fold over its candidates, of which only costs travel.
     """
-    # what can never fit is left out before lists are made
-    item = F.struct("rank", "id", "file", (estimate_tokens(F.col("content")) + ITEM_TOKENS).alias("cost"))
-    ranked = ranked.where((estimate_tokens(F.col("content")) + ITEM_TOKENS) <= budget)
-    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,file:string>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["used"] + x["cost"] <= budget) & (F.size(F.filter(s["out"], lambda o: o["file"] == x["file"])) < per_file)
-        return F.struct(F.when(fits, s["used"] + x["cost"]).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["out"], F.struct(x["id"].alias("id"), x["file"].alias("file")))).otherwise(s["out"]).alias("out"))
+    def begin():
+        used, files, place = 0, Counter(), 0
 
-    return lists.select("query_id", F.posexplode(F.aggregate("items", start, step, lambda s: s["out"])).alias("place", "c")).select("query_id", (F.col("place") + 1).alias("place"), "c.id")
+        def step(c: dict) -> list[dict]:
+            nonlocal used, place
+            if used + c["cost"] > budget or files[c["file"]] >= per_file:
+                return []
+            used, place = used + c["cost"], place + 1
+            files[c["file"]] += 1
+            return [{"query_id": c["query_id"], "place": place, "id": c["id"]}]
+
+        return step
+
+    costs = ranked.select("query_id", "rank", "id", "file", (estimate_tokens(F.col("content")) + ITEM_TOKENS).alias("cost")).where(F.col("cost") <= budget)
+    kind = ranked.schema["query_id"].dataType.simpleString()
+    return in_order(costs, "query_id", ["rank", "id", "file"], begin, f"query_id {kind}, place int, id long")
 
 
 def evidence(scored: DataFrame, at: float = 0.5, fallback: int = 3) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.folds import in_order
+
 HOURS = {"day": 24, "month": 720}
 BUFFER_PCT = 5.0
 
@@ -76,16 +78,21 @@ def checked(calls: DataFrame, limits: DataFrame, spent: DataFrame, reserved: Dat
 
 
 def admitted(calls: DataFrame, cap: int) -> DataFrame:
-    """Calls of each key in order, with what earlier admitted calls have reserved; a call that would pass the cap is refused and reserves nothing.
+    """key, call_id, used and admitted: calls of each key in order, with what earlier admitted calls have reserved; a call that would pass the cap is refused and reserves nothing.
 
-    The reservations of one key depend on each other, so a key is one fold: over its calls in order, as an array.
+    calls: key, seq, call_id, tokens. The reservations of one key depend on each other, so a key is one fold over its calls.
     """
-    row = F.struct("seq", "call_id", "tokens")
-    ordered = calls.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("calls"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<call_id:bigint,used:bigint,admitted:boolean>>").alias("out"))
 
-    def step(s: Column, c: Column) -> Column:
-        fits = s["used"] + c["tokens"] <= cap
-        return F.struct(F.when(fits, s["used"] + c["tokens"]).otherwise(s["used"]).alias("used"), F.array_append(s["out"], F.struct(c["call_id"].alias("call_id"), s["used"].alias("used"), fits.alias("admitted"))).alias("out"))
+    def begin():
+        used = 0
+
+        def step(c: dict) -> list[dict]:
+            nonlocal used
+            before, fits = used, used + c["tokens"] <= cap
+            used += c["tokens"] if fits else 0
+            return [{"key": c["key"], "call_id": c["call_id"], "used": before, "admitted": fits}]
+
+        return step
 
-    return ordered.select("key", F.explode(F.aggregate("calls", start, step, lambda s: s["out"])).alias("c")).select("key", "c.*")
+    kind = calls.schema["key"].dataType.simpleString()
+    return in_order(calls.select("key", "seq", "call_id", "tokens"), "key", ["seq", "call_id"], begin, f"key {kind}, call_id long, used long, admitted boolean")

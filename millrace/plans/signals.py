@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import spend
+from millrace.operators.reports import rolling_p95
 from millrace.session import table
 from millrace.sources import documents, logs, webhooks
 from millrace.streaming import stateful
@@ -64,9 +65,9 @@ def dead_letter_growth(spark, folder):
 
 
 def hourly_baselines(spark, folder):
-    """Nearest-rank 95th percentile of hourly peaks."""
+    """Nearest-rank 95th percentile of the peaks of the 167 completed hours before each hour."""
     e = table(spark, folder, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.max("value").alias("peak"))
-    return e.groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY peak)").alias("p95"))
+    return rolling_p95(e.withColumn("at", (F.unix_timestamp(F.col("hour").cast("timestamp")) / 3600).cast("long")), ["event_type"], "at", "peak").select("event_type", "hour", "p95")
 
 
 def admitted_calls(spark, folder):
@@ -81,7 +82,7 @@ ORACLES = {
     "parsed_log_lines": """WITH e AS (SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN 'ERROR' WHEN user_id % 3 = 0 THEN 'WARN' ELSE 'INFO' END AS level FROM events)
 SELECT event_id, level, CASE WHEN event_id % 2 = 0 THEN event_type ELSE level || ' in ' || event_type END AS text, CASE level WHEN 'ERROR' THEN 'error' ELSE 'warning' END AS severity FROM e WHERE level <> 'INFO'""",
     "dead_letter_growth": "WITH d AS (SELECT l_partkey AS resource, l_shipdate AS seen, CAST(max(l_quantity * 100) AS BIGINT) AS depth FROM lineitem GROUP BY 1, 2), g AS (SELECT resource, seen, depth - lag(depth) OVER (PARTITION BY resource ORDER BY seen) AS added FROM d) SELECT * FROM g WHERE added > 0",
-    "hourly_baselines": "WITH p AS (SELECT event_type, max(value) AS peak FROM events GROUP BY event_type, date_trunc('hour', ts)) SELECT event_type, percentile_disc(0.95) WITHIN GROUP (ORDER BY peak) AS p95 FROM p GROUP BY 1",
+    "hourly_baselines": "WITH p AS (SELECT event_type, date_trunc('hour', ts) AS hour, max(value) AS peak FROM events GROUP BY 1, 2) SELECT a.event_type, a.hour, min(b.p) AS p95 FROM p a LEFT JOIN LATERAL (SELECT quantile_disc(q.peak, 0.95) AS p FROM p q WHERE q.event_type = a.event_type AND q.hour < a.hour AND q.hour >= a.hour - INTERVAL 167 HOUR) b ON true GROUP BY 1, 2",
     "admitted_calls": """WITH RECURSIVE c AS MATERIALIZED (SELECT o_custkey AS key, o_orderkey AS call_id, CAST(floor(o_totalprice) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
   w AS (SELECT key, call_id, n, CAST(0 AS BIGINT) AS used, tokens <= 400000 AS admitted, CASE WHEN tokens <= 400000 THEN tokens ELSE 0 END AS after FROM c WHERE n = 1
     UNION ALL SELECT c.key, c.call_id, c.n, w.after, w.after + c.tokens <= 400000, CASE WHEN w.after + c.tokens <= 400000 THEN w.after + c.tokens ELSE w.after END FROM w JOIN c ON c.key = w.key AND c.n = w.n + 1) SELECT key, call_id, used, admitted FROM w""",

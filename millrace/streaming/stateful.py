@@ -130,7 +130,7 @@ def bus_events_batch(readings: DataFrame, thresholds: Thresholds | None = None)
     """The same over a table: each resource's readings (a few an hour, for a week or two) in one fold."""
     t = thresholds or Thresholds()
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         state, out = BusState(), []
         for row in rows.sort_values("now", kind="stable").itertuples():
             out += [dict(zip(("connector_id", "resource"), key, strict=True)) | e for e in evaluate(state, row, t)]
