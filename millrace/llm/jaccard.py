@@ -24,6 +24,8 @@ from .components import components
 GRAM = 5
 #: Sets in a block of a group at most, about; queries that one task holds against a block.
 BLOCK, SALT = 2048, 1024
+#: Sizes of the sets in a block differ by this factor at most.
+SIZES = 1.1
 #: Tokens in a block at most, about: what one task holds of it.
 BLOCK_TOKENS = 1 << 20
 #: Blocks that may hold a token for it to name candidates by itself; a commoner token counts as shared by all that have it.
@@ -338,10 +340,14 @@ def linked(docs: DataFrame, text: str = "text") -> DataFrame:
     star = shared.where("set_id <> leader").groupBy("leader", "set_id", "n").agg(F.count("*").alias("met")).where(10 * F.col("met") >= F.col("n") - four_fifths(F.col("n")) + 1)
     star = stored(star.groupBy("set_id").agg(F.max_by("leader", F.struct("met", "leader")).alias("family"), F.max("n").alias("n")), "star")
     leaders = star.select(F.col("family").alias("set_id")).distinct()
-    families = star.join(leaders, "set_id", "left_anti").unionByName(leaders.select("set_id", F.col("set_id").alias("family"), F.lit(0).alias("n")))
-    size = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("parts"))
-    home = families.join(size, "family").select("set_id", F.xxhash64("family", F.pmod(F.xxhash64("set_id"), F.col("parts"))).alias("home"))
-    homed = shared.join(home, "set_id", "left").select("token", "set_id", "n", F.coalesce("home", F.xxhash64("set_id")).alias("block"))
+    families = star.select("set_id", "family").join(leaders, "set_id", "left_anti").unionByName(leaders.select("set_id", F.col("set_id").alias("family")))
+    sized = families.join(star.select("set_id", "n"), "set_id", "left")
+    size = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS), F.lit(1)).alias("parts"))
+    home = families.join(size, "family")
+    # sets of a block are of about one size, so that what must be met of it is known well
+    step = F.floor(F.log("n") / F.log(F.lit(SIZES)))
+    block = F.when(F.col("family").isNotNull(), F.xxhash64("family", step, F.pmod(F.xxhash64("set_id"), F.col("parts")))).otherwise(F.xxhash64("set_id"))
+    homed = shared.join(home, "set_id", "left").select("token", "set_id", "n", block.alias("block"))
     homed = stored(homed, "homed")
     asks = candidates(homed, sets)
     members = asks.select("block").distinct().join(homed.select("block", "set_id").distinct(), "block")
