@@ -2,7 +2,12 @@
 
 Quality rules, one document of each group of similar ones, redaction of personal data, the mix of sources to target weights,
 and piece encoding. Each stage takes the documents that the one before has left and returns documents with the same columns;
-the last returns encoded documents.
+the last returns encoded documents. All stages take documents with a doc_id, a text and a source, whatever other columns there
+are and however they are named; an empty table gives an empty table. Null texts count as empty, which the quality rules reject,
+null ids as documents of their own, a null source as a source. Rows that repeat are documents of their own, too, until the
+second stage keeps one of each group of similar ones.
+
+This file belongs to the corpus operators of millrace.llm, though it stands at the top of the repository.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ FEW = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: the rows as they are. Null and empty texts go, as do texts of fewer than 20 words."""
     judged = quality_rules(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text")), keep=["doc"])
     return judged.where("kept").select("doc.*")
 
@@ -59,12 +64,12 @@ def few(ids: DataFrame) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; null texts stay null, all rows stay."""
     return counted(redact(docs), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as much of them, as the mix takes them."""
+    """Documents as often, and as much of them, as the mix takes them: a row for each pass over a source. Texts without words have no row."""
     return counted(mixed_documents(docs), docs)
 
 
@@ -73,7 +78,7 @@ def counted(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation of each document, and the scores of the next best."""
+    """Piece ids of the best segmentation of each document, and the scores of the next best; a null text has none."""
     return checked_pieces(docs)
 
 
