@@ -46,3 +46,19 @@ def test_one_of_each_without_ids(spark):
     ]
     got = [(r.doc_id, (r.text or "")[:4]) for r in corpus_pipeline.one_of_each(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), "").collect()]
     assert sorted(got, key=str) == sorted([(None, "a0 a"), (5, "b0 b"), (6, "c0 c"), (5, "some"), (7, "one "), (None, ""), (8, "")], key=str)
+
+
+def test_stages_on_empty_tables_nulls_and_clashing_columns(spark):
+    schema = SCHEMA + ", key long, block long, size string, shard int, label string, kind string, token string, row string, `__text` string"
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
+    long = " ".join(words("a", 70)) + "."
+    rows = [(1, long, None, None, None), (None, long, "en", "s", 3), (2, None, "en", "s", 0), (3, "", "en", None, 0), (4, " ".join(words("b", 9000)), "en", "t", 1), (4, " ".join(words("b", 9000)), "en", "t", 1)]
+    docs = spark.createDataFrame([(*r, 1, 2, "x", 3, "y", "z", "t", "r", "u") for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), schema)
+    assert sorted(r.doc_id for r in docs.collect()) == [1, 4]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 2
