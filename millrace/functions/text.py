@@ -203,7 +203,7 @@ def glob_pattern(glob: str) -> str:
         c = glob[i]
         if c == "[":
             m = re.match(r"\[(\^?)((?:\\.|[^\]\\])+)\]", glob[i:])
-            ranges = re.fullmatch(r"(?:(?:\\.|[^\\-])(?:-(?:\\.|[^\\-]))?)+", m[2]) if m else None
+            ranges = re.match(r"(?:(?:\\.|[^\\-])(?:-(?:\\.|[^\\-]))?)+\Z", m[2]) if m else None
             if not ranges:
                 return "(?!)"
             out += "[" + m[1] + "".join("-" if x == "-" else literal(x[-1]) for x in re.findall(r"\\.|.", m[2])) + "]"

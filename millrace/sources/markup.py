@@ -122,7 +122,7 @@ class Storage(HTMLParser):
     def handle_starttag(self, tag, attrs):
         a, top = {k: v or "" for k, v in attrs}, self.stack[-1][1]
         n = Node(ELEMENTS.get(tag, "span"))
-        if re.fullmatch("h[1-6]", tag):
+        if re.match("h[1-6]$", tag):
             n = Node("heading", level=int(tag[1]))
         elif tag == "ol":
             n.note = "ordered"
