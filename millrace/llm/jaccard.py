@@ -30,8 +30,8 @@ SIZES = 1.1
 BLOCK_TOKENS = 1 << 20
 #: Blocks that may hold a token for it to name candidates by itself; a commoner token counts as shared by all that have it.
 COMMON = 64
-#: A token is frequent if it makes up this share of all tokens (see common.frequent): hashes of at most 2 ** 24 tokens (128 MB, 0.4 MB
-#: measured on the check's larger input) are sent to every executor. Any choice gives the same links.
+#: A token is frequent if it makes up this share of all tokens (see common.frequent): hashes of at most 2 ** 24 tokens (128 MB; 1.4 MB
+#: measured on the check's larger input, 0.6 MB on the smaller one) are sent to every executor. Any choice gives the same links.
 FREQUENT, LEAST = 2.0**-23, 8
 #: Rows (48 bytes each) that are sent to every executor to pick texts; beyond it the texts are shuffled to them.
 FEW = 300_000

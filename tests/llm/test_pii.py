@@ -72,7 +72,7 @@ PLAIN = [
 
 
 def test_added_spans(spark):
-    """Held-out texts by another hand: at least three quarters of what base patterns miss is added, and hardly a lookalike."""
+    """Texts written out for this test, not drawn from the examples: at least three quarters of what base patterns miss is added, and hardly a lookalike."""
     rows = [(i, t, "", 0, 0) for i, t in enumerate([w[0] for w in WRITTEN] + PLAIN)]
     df = spark.createDataFrame(rows, SCHEMA)
     found = {r.doc_id: r for r in personal_data(df).collect()}
