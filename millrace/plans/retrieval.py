@@ -146,6 +146,12 @@ SELECT doc_id, CASE WHEN n > 0 THEN round(s, 2) END AS score, CASE WHEN n = 0 TH
 QUERIES["repeated_questions"] = repeated_questions
 
 
+# the filler words are written out: the SQL shares no table with what it checks
+ORACLES["repeated_questions"] = r"""WITH w AS (SELECT conv_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_./-]*[\p{L}\p{N}_]|[\p{L}\p{N}_]'), lambda x: x NOT IN ('a', 'an', 'the', 'please', 'pls', 'kindly', 'hey', 'hi', 'can', 'could', 'would', 'will', 'you', 'me', 'us', 'i', 'we', 'tell', 'explain', 'describe', 'want', 'to', 'know', 'about', 'is', 'are', 'was', 'were', 'do', 'does', 'did')) AS l FROM conversations),
+  s AS (SELECT conv_id, list_transform(l, lambda x: CASE WHEN regexp_matches(x, '[./]') THEN x WHEN strlen(x) > 4 AND x LIKE '%ies' THEN left(x, length(x) - 3) || 'y' WHEN strlen(x) > 3 AND x LIKE '%s' AND x NOT LIKE '%ss' THEN left(x, length(x) - 1) ELSE x END) AS l FROM w)
+SELECT sha256(array_to_string(l, ' ')) AS key, count(*) AS asked, min(conv_id) AS first FROM s GROUP BY 1"""
+
+
 def _stem(w: str) -> str:
     plural = f"CASE WHEN {w} LIKE '%ies' AND length({w}) > 4 THEN regexp_replace({w}, 'ies$', 'y') WHEN regexp_matches({w}, '[^s]s$') AND length({w}) > 3 THEN regexp_replace({w}, 's$', '') ELSE {w} END"
     return f"CASE WHEN length({plural}) > 5 AND regexp_matches({plural}, '(ing|ed)$') THEN regexp_replace({plural}, '(ing|ed)$', '') ELSE {plural} END"

@@ -126,6 +126,9 @@ WHERE c_nationkey <> n_nationkey AND c_custkey % 4 <> 3 AND (c_custkey % 4 <> 0
     "endpoint_groups": r"""WITH e AS (SELECT o_orderstatus AS repo, (['GET /api/v1/', 'POST /v2/', 'GET /api/', '/', 'PUT /api/v1/{id}/'])[o_orderkey % 5 + 1] || lower(substring(o_orderpriority, 3, 20)) || '/' || (o_orderkey % 7) AS name, o_orderkey % 5 = 4 AS r, lower(substring(o_orderpriority, 3, 20)) AS p FROM orders)
 SELECT repo, CASE WHEN r THEN '/' WHEN strpos(p, '/') > 0 THEN '/' || split_part(p, '/', 1) WHEN name LIKE '/%' AND strpos(name, ' ') > 0 THEN '/' || split_part(split_part(name, ' ', 2), '/', 1) ELSE '/' || p END AS "group", count(*) AS count, array_to_string(list_sort(list_distinct(list(name)))[1:50], '|') AS items FROM e GROUP BY 1, 2""",
     "module_calls": "WITH f AS (SELECT l_partkey AS p, l_suppkey AS s, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT p_brand AS a, 'nation' || s_nationkey AS b, CAST(sum(n) AS BIGINT) AS calls, count(*) AS files FROM f JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = s GROUP BY 1, 2",
+    "modules": """WITH f AS (SELECT lang AS l1, lang || '/' || source AS l2, n_chars AS n FROM documents), a AS (SELECT sum(n) AS s0 FROM f), b AS (SELECT l1, sum(n) AS s1 FROM f GROUP BY 1), c AS (SELECT l2, sum(n) AS s2 FROM f GROUP BY 1),
+  p AS (SELECT *, CASE WHEN s0 <= 60000 THEN '' WHEN s1 <= 60000 THEN l1 ELSE l2 END AS pick, CASE WHEN s0 <= 60000 THEN s0 WHEN s1 <= 60000 THEN s1 ELSE s2 END AS size FROM f JOIN b USING (l1) JOIN c USING (l2), a)
+SELECT CASE WHEN size < 3000 AND pick = l2 THEN l1 WHEN size < 3000 AND pick = l1 THEN '' ELSE pick END AS module, count(*) AS files FROM p GROUP BY 1""",
     "decode_freshness": "SELECT doc_id AS id, doc_id % 5 <> 0 AND (doc_id % 4 = 0 OR (doc_id % 6 <> 0 AND doc_id % 11 <> 0)) AS fresh FROM documents",
     "rule_dry_run": f"WITH {EVENTS_SQL}, n AS (SELECT * FROM ev WHERE NOT suppressed AND received_at > TIMESTAMP '2024-01-13' QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY received_at DESC, event_id) = 1) SELECT fingerprint, event_id FROM n WHERE source IN ('s1', 's2')",
     "issues_with_terms": "SELECT p_partkey, p_brand || ' ' || p_type AS title FROM part WHERE strpos(lower(p_brand || ' ' || p_type), 'steel') > 0 OR strpos(p_brand, '#12') > 0",
