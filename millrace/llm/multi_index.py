@@ -191,11 +191,23 @@ def one_length(entries: DataFrame, queries: DataFrame, dims: int, k: int, share:
     small = asked.count() * dims * 8 <= SENT
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k+1 nearest of what a task holds for each query of a block, one block after the other."""
+        last, best = None, {}
         for b in batches:
-            for at in range(b.num_rows):
-                yield ranked(b.column(0)[at], b.column(1)[at].values.to_numpy(zero_copy_only=False), b.column(2)[at], dims, k)
-
-    found = stock.join(visits, ["i", "j"]).join(F.broadcast(blocks) if small else blocks, "block").select("asks", "who", "stock").mapInArrow(rank, "query long, vec_id long, score double")
+            for at, block in enumerate(b.column(0).to_pylist()):
+                if block != last:
+                    yield told(best)
+                    last, best = block, {}
+                for query, near in ranked(b.column(1)[at], b.column(2)[at].values.to_numpy(zero_copy_only=False), b.column(3)[at], dims, k):
+                    best[query] = sorted(best[query] + near)[: k + 1] if query in best else near
+        yield told(best)
+
+    def told(best: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
+        rows = [(q, x, -c) for q, near in best.items() for c, x in near]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "vec_id", "score"])
+
+    met = stock.join(visits, ["i", "j"]).sortWithinPartitions("block").join(F.broadcast(blocks) if small else blocks, "block")
+    found = met.select("block", "asks", "who", "stock").mapInArrow(rank, "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "vec_id", "score")
     # every id with a query's vector gets that query's answers but itself
@@ -205,8 +217,8 @@ def one_length(entries: DataFrame, queries: DataFrame, dims: int, k: int, share:
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def ranked(asks: pa.Scalar, who: np.ndarray, stock: pa.Scalar, dims: int, k: int) -> pa.RecordBatch:
-    """The k+1 nearest ids of one pack of entries for the queries of a block at the places in who."""
+def ranked(asks: pa.Scalar, who: np.ndarray, stock: pa.Scalar, dims: int, k: int) -> list[tuple[int, list[tuple[float, int]]]]:
+    """The k+1 nearest ids, as (-score, id), of one pack of entries for the queries of a block at the places in who."""
     a, s = asks.values.take(pa.array(who)), stock.values
     query = a.field(0).to_numpy(zero_copy_only=False)
     q, v = matrix(a.field(1), dims), matrix(s.field(0), dims)
@@ -215,16 +227,15 @@ def ranked(asks: pa.Scalar, who: np.ndarray, stock: pa.Scalar, dims: int, k: int
     scores = np.clip(q @ v.T / norm, -1, 1)
     ids = [x.as_py() for x in lists]
     first = np.array([x[0] for x in ids])
-    rows: list[tuple[int, int, float]] = []
+    out = []
     few = min(k + 1, len(ids))
     for r, own in zip(query, scores, strict=True):
         least = np.partition(own, len(own) - few)[len(own) - few]
         near = np.flatnonzero(own >= least)
         if len(near) > 4 * few:  # many at one score: the smallest first ids suffice
             near = near[np.lexsort((first[near], -own[near]))][: 4 * few]
-        best = sorted((-own[e], x) for e in near for x in ids[e])[: k + 1]
-        rows += [(r, x, -c) for c, x in best]
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.float64())], names=["query", "vec_id", "score"])
+        out.append((int(r), sorted((-float(own[e]), x) for e in near for x in ids[e])[: k + 1]))
+    return out
 
 
 def neighbours(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
