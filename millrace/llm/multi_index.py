@@ -206,8 +206,8 @@ def one_length(entries: DataFrame, queries: DataFrame, dims: int, k: int, share:
         rows = [(q, x, -c) for q, near in best.items() for c, x in near]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "vec_id", "score"])
 
-    met = stock.join(visits, ["i", "j"]).sortWithinPartitions("block").join(F.broadcast(blocks) if small else blocks, "block")
-    found = met.select("block", "asks", "who", "stock").mapInArrow(rank, "query long, vec_id long, score double")
+    met = stock.join(visits, ["i", "j"]).join(F.broadcast(blocks) if small else blocks, "block")
+    found = met.select("block", "asks", "who", "stock").sortWithinPartitions("block").mapInArrow(rank, "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "vec_id", "score")
     # every id with a query's vector gets that query's answers but itself
