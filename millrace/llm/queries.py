@@ -91,7 +91,7 @@ WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(co
   n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
   links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.token = y.token AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
   reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id""",
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(b) FROM reach WHERE reach.a = w.doc_id) AS component_id, (SELECT count(*) FROM links WHERE links.a = w.doc_id) AS n_links FROM w LEFT JOIN n ON n.doc_id = w.doc_id""",
     "op4_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
   starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos0 FROM w WHERE len(words) >= 13),
