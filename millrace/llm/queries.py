@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from .automata import substring_dedup
+from .byte_bpe import byte_bpe
 from .jaccard import similarity_classes
 from .mixing import mixing
 from .multi_index import neighbours
@@ -71,6 +72,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_groups": op1_token_groups,
     "op2_quality_rules": op2_quality_rules,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
+    "op11_byte_bpe": op11_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {

@@ -15,10 +15,11 @@ COLUMNS = {
     "op8_mixing": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op9_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
     "op10_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op11_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "pipeline": {},
 }
 #: Queries with one row for each document.
-BY_DOCUMENT = ("op1", "op2", "op3", "op4", "op6", "op8", "op9", "op10")
+BY_DOCUMENT = ("op1", "op2", "op3", "op4", "op6", "op8", "op9", "op10", "op11", "op12")
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
