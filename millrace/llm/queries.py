@@ -14,6 +14,7 @@ from .byte_bpe import byte_bpe
 from .jaccard import similarity_classes
 from .mixing import mixing
 from .multi_index import neighbours
+from .periodic_runs import planted_runs
 from .pieces import checked_pieces
 from .pii import personal_data
 from .prefix_free import suffix_dedup
@@ -76,6 +77,10 @@ def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe(table(spark, folder, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return planted_runs(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_groups": op1_token_groups,
     "op2_quality_rules": op2_quality_rules,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pii": op10_pii,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -108,4 +114,21 @@ WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
   lost AS (SELECT doc_id, list(pos) AS pos FROM gone GROUP BY doc_id),
   kept AS (SELECT w.doc_id, len(words) AS n_words, coalesce(len(pos), 0) AS n_removed, CASE WHEN pos IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(pos, i)) END AS stay FROM w LEFT JOIN lost ON w.doc_id = lost.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM kept""",
+    "op12_periodic_runs": r"""
+WITH bits AS (SELECT doc_id, flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]) AS steps FROM documents WHERE doc_id IS NOT NULL),
+  crc AS (SELECT DISTINCT doc_id, xor(list_reduce([CAST(s AS BIGINT) FOR s IN steps], lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) ELSE xor(c >> 1, (c & 1) * 3988292384) END, CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bits),
+  w AS (SELECT d.doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, h, h // 10 AS g FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id),
+  p AS (SELECT *, CAST(len(words) AS BIGINT) AS n, g % len(words) AS a, 1 + (len(words) - g % len(words)) // (3 + g % 8) AS p FROM w),
+  x AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE words END AS words FROM p),
+  six AS MATERIALIZED (SELECT id, i, array_to_string(words[i + 1 : i + 6], ' ') AS s FROM (SELECT id, words, unnest(range(0, n - 5)) AS i FROM x WHERE n >= 12)),
+  pairs AS (SELECT l.id, l.i, r.i - l.i AS q FROM six l JOIN six r ON l.id = r.id AND l.s = r.s AND l.i < r.i),
+  stretches AS (SELECT id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM pairs) GROUP BY id, q, island),
+  runs AS MATERIALIZED (SELECT id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY id, start, length),
+  listed AS (SELECT id, count(*) AS n_runs, first(struct_pack(start := start, length := length, period := period) ORDER BY length DESC, start, period) AS best, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY id),
+  ends AS (SELECT id, start + period AS first_gone, max(start + length) AS stop FROM runs GROUP BY id, start + period),
+  gone AS (SELECT id, list(DISTINCT k) AS ks FROM (SELECT id, unnest(range(first_gone, stop)) AS k FROM ends) GROUP BY id),
+  kept AS (SELECT id, string_agg(word, ' ' ORDER BY k) AS text FROM (SELECT x.id, unnest(words) AS word, unnest(range(n)) AS k FROM x JOIN gone ON gone.id = x.id) AS all_words WHERE NOT EXISTS (SELECT 1 FROM (SELECT id AS gid, unnest(ks) AS gk FROM gone) AS g WHERE gid = all_words.id AND gk = k) GROUP BY id)
+SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS "start", CAST(best.length AS BIGINT) AS "length", CAST(best.period AS BIGINT) AS "period", CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(CASE WHEN gone.id IS NULL THEN array_to_string(words, ' ') ELSE coalesce(kept.text, '') END) AS collapsed_sha256
+FROM x LEFT JOIN listed ON listed.id = x.id LEFT JOIN gone ON gone.id = x.id LEFT JOIN kept ON kept.id = x.id""",
 }
