@@ -116,12 +116,12 @@ def among(values: np.ndarray, rising: np.ndarray) -> np.ndarray:
 class Words:
     """The words of each text of a column.
 
-    starts, ends: bytes of each word in data; doc: its row; bounds: n+1 word offsets of the rows.
+    starts, ends: bytes of each word in data; doc: its row; bounds: n+1 word offsets of the rows. separator: which bytes part words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR):
         self.data, self.offsets = data, offsets
-        inside = ~SEPARATOR[data]
+        inside = ~separator[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()

@@ -15,6 +15,7 @@ from .jaccard import similarity_classes
 from .mixing import mixing
 from .multi_index import neighbours
 from .periodic_runs import planted_runs
+from .phrases import phrases
 from .pieces import checked_pieces
 from .pii import personal_data
 from .prefix_free import suffix_dedup
@@ -81,6 +82,10 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return planted_runs(table(spark, folder, "documents"))
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_groups": op1_token_groups,
     "op2_quality_rules": op2_quality_rules,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -131,4 +137,19 @@ WITH bits AS (SELECT doc_id, flatten([[ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]
 SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS "start", CAST(best.length AS BIGINT) AS "length", CAST(best.period AS BIGINT) AS "period", CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli,
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(CASE WHEN gone.id IS NULL THEN array_to_string(words, ' ') ELSE coalesce(kept.text, '') END) AS collapsed_sha256
 FROM x LEFT JOIN listed ON listed.id = x.id LEFT JOIN gone ON gone.id = x.id LEFT JOIN kept ON kept.id = x.id""",
+    "op13_phrases": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+  w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+  grams AS (SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(words) >= m)),
+  f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+  totals AS (SELECT lang, sum(len(words)) AS n FROM w GROUP BY lang),
+  parts AS (SELECT lang, phrase, a, m, string_split(phrase, ' ') AS words FROM f WHERE m >= 2),
+  cuts AS (SELECT lang, phrase, a, k, array_to_string(words[1 : k], ' ') AS left_part, array_to_string(words[k + 1 :], ' ') AS right_part FROM (SELECT *, unnest(range(1, m)) AS k FROM parts)),
+  scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = left_part JOIN f y ON y.lang = c.lang AND y.phrase = right_part),
+  loosest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  inner_parts AS (SELECT lang, a, array_to_string(words[s : s + size - 1], ' ') AS phrase FROM (SELECT lang, a, words, size, unnest(range(1, m - size + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS size FROM parts))),
+  most AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY lang, phrase),
+  kept AS (SELECT l.* FROM loosest l LEFT JOIN most t ON t.lang = l.lang AND t.phrase = l.phrase WHERE most IS NULL OR 100 * most < 80 * a),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM kept)
+SELECT r.lang, CAST(place AS BIGINT) AS "rank", phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score FROM ranked r JOIN totals ON totals.lang = r.lang WHERE place <= 2000""",
 }
