@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored
+from .common import shared_dir, slices, stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Characters of a chunk, and how far it reads into the next one.
-CHUNK, OVERLAP = 1 << 14, 1 << 11
+CHUNK, OVERLAP = 1 << 15, 1 << 11
 #: Characters that the pattern looks at beyond the end of a match, at most.
 AHEAD = 3
 #: Bytes of text, or ids, handled at once inside a task.
@@ -162,11 +162,14 @@ def cut(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([first, pa.array([key] * len(parts)), pa.array(parts, pa.int32()), pa.array([k == n - 1 for k in parts]), pa.array([t[k * chunk : (k + 1) * chunk + overlap] for k in parts], pa.string())], names=["__doc", "key", "part", "whole", "__text"])
 
     made = T.StructType([T.StructField("__doc", docs.schema["__doc"].dataType, True), T.StructField("key", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("__text", T.StringType())])
-    return stored(docs.mapInArrow(run, made).repartition("key", "part"), "chunks")
+    path = shared_dir(docs.sparkSession, "chunks")
+    # small row groups: tasks that read share the chunks of one long text
+    docs.mapInArrow(run, made).write.option("parquet.block.size", 8 << 20).parquet(path)
+    return docs.sparkSession.read.schema(made).parquet(path)
 
 
 def stitched(docs: DataFrame, loaded: tuple[tuple[str, str], dict[bytes, int]], chunk: int, overlap: int) -> DataFrame:
-    """__doc and tokens of long texts."""
+    """__doc and tokens of long texts. Their chunks travel once, to meet their borders, and their ids once."""
     chunks = cut(docs, chunk, overlap)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,29 +189,35 @@ def stitched(docs: DataFrame, loaded: tuple[tuple[str, str], dict[bytes, int]],
     found = chunks.select("key", "part", "whole", "__text").mapInArrow(read, "key string, part int, mine array<int>, before array<int>")
     shared = F.array_min(F.array_intersect(F.first("mine", True), F.first("before", True)))
     borders = stored(found.groupBy("key", "part").agg(shared.alias("at")), "borders")
-    apart = borders.where("at IS NULL").select("key").distinct()
-    ends = borders.select("key", F.inline(F.array(F.struct(F.col("part"), F.col("at").alias("start"), F.lit(None).cast("int").alias("stop")), F.struct((F.col("part") - 1).alias("part"), F.lit(None).cast("int").alias("start"), (F.col("at") + chunk).alias("stop")))))
-    ends = ends.groupBy("key", "part").agg(F.max("start").alias("start"), F.max("stop").alias("stop"))
-    doc, tokens = T.StructField("__doc", docs.schema["__doc"].dataType, True), T.StructField("tokens", T.ArrayType(T.IntegerType()))
+    apart = borders.groupBy("key").agg(F.bool_or(F.col("at").isNull()).alias("apart"))
+    nothing = F.lit(None).cast("int")
+    ends = borders.join(apart, "key").select("key", "apart", F.inline(F.array(F.struct(F.col("part"), F.col("at").alias("start"), nothing.alias("stop")), F.struct((F.col("part") - 1).alias("part"), nothing.alias("start"), (F.col("at") + chunk).alias("stop")))))
+    ends = ends.groupBy("key", "part").agg(F.first("apart").alias("apart"), F.max("start").alias("start"), F.max("stop").alias("stop"))
+    kinds = [T.StructField("__doc", docs.schema["__doc"].dataType, True), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("__text", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of each chunk between its borders; of texts that do not stitch, the chunks' own characters."""
         c = coder(loaded)
         for batch in batches:
-            made = [c.encode(t[a or 0 : b]) for t, a, b in zip(*(column(batch, n).to_pylist() for n in ("__text", "start", "stop")), strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "__doc"), column(batch, "key"), column(batch, "part"), lists(made)], names=["__doc", "key", "part", "tokens"])
+            rows = list(zip(*(column(batch, n).to_pylist() for n in ("__text", "apart", "start", "stop")), strict=True))
+            made = lists([[] if apart else c.encode(t[a or 0 : b]) for t, apart, a, b in rows])
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in ("__doc", "key", "part")), made, pa.array([t[:chunk] if apart else None for t, apart, *_ in rows], pa.string())], names=["__doc", "key", "part", "tokens", "__text"])
 
-    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(loaded)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([column(batch, "__doc"), lists([c.encode_runs(t) for t in column(batch, "__text").to_pylist()])], names=["__doc", "tokens"])
-
-    by_part = T.StructType([doc, *fields(chunks, "key", "part"), tokens])
-    joined = chunks.join(apart, "key", "left_anti").join(ends, ["key", "part"], "left").select("__doc", "key", "part", "__text", "start", "stop").mapInArrow(run, by_part)
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("part", "tokens"))), lambda x: x["tokens"])
-    pieces = joined.groupBy("key").agg(F.first("__doc", True).alias("__doc"), F.flatten(in_order).alias("tokens")).select("__doc", "tokens")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("part", F.substring("__text", 1, chunk).alias("own")))), lambda x: x["own"])
-    whole = chunks.join(apart, "key", "left_semi").groupBy("key").agg(F.first("__doc", True).alias("__doc"), F.array_join(texts, "").alias("__text"))
-    return pieces.unionByName(whole.select("__doc", "__text").mapInArrow(run_whole, T.StructType([doc, tokens])))
+            own, texts = column(batch, "tokens"), column(batch, "__text")
+            for i in range(batch.num_rows):
+                tokens = lists([c.encode_runs(texts[i].as_py())]) if texts[i].is_valid else own.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([column(batch, "__doc").slice(i, 1), tokens], names=["__doc", "tokens"])
+
+    # one way at all sizes: a small side that is broadcast at first would hide what the join costs later
+    parts = chunks.hint("merge").join(ends, ["key", "part"], "left").select("__doc", "key", "part", "__text", "apart", "start", "stop")
+    parts = parts.mapInArrow(run, T.StructType([kinds[0], *fields(chunks, "key", "part"), *kinds[1:]]))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "tokens", "__text")))
+    texts = parts.groupBy("key").agg(F.first("__doc", True).alias("__doc"), in_order.alias("parts"))
+    texts = texts.select("__doc", F.flatten("parts.tokens").alias("tokens"), F.when(F.get("parts.__text", 0).isNotNull(), F.array_join("parts.__text", "")).alias("__text"))
+    return texts.mapInArrow(finish, T.StructType(kinds[:2]))
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS, tokens: str = "tokens", keep: list[str] | None = None) -> DataFrame:
