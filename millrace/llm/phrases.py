@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, hashes, mix, slices, stored, utf8
 
-#: Bytes of text in a shard. A larger one has fewer phrases that other shards count again, and takes more memory (about 30 bytes a byte).
-SHARD = 8 << 20
+#: Bytes of text in a shard. A larger one has fewer phrases that other shards count again, and takes more memory (about 40 bytes a byte).
+SHARD = 4 << 20
 #: Bits of the table of what is frequent (16 MB). With more frequent words and pairs than an eighth of it, it spares less.
 BITS = 1 << 27
 LONGEST = 4
@@ -56,7 +56,7 @@ class Shard:
         n = len(words)
         both, self.ids = np.unique(lang * max(len(self.distinct), 1) + codes, return_inverse=True)
         self.lang_of, self.word_of = (x.astype(np.int32) for x in np.divmod(both, max(len(self.distinct), 1)))
-        cuts = np.concatenate([[0], np.cumsum(CUT[data])])
+        cuts = np.cumsum(CUT[data], dtype=np.int32) if len(data) else np.zeros(1, np.int32)
         begins = np.ones(n + 1, dtype=bool)
         begins[1:n] = (cuts[words.starts[1:]] != cuts[words.starts[:-1]]) | (words.doc[1:] != words.doc[:-1])
         ends = np.flatnonzero(begins)
