@@ -1,4 +1,4 @@
-"""Hybrid retrieval: vector search, full text, fusion, packing, evidence, caches, confidence."""
+"""Hybrid retrieval: vector search, fusion, packing, evidence, caches, confidence."""
 
 from __future__ import annotations
 
@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import estimate_tokens, same_identifiers
 from millrace.operators.folds import in_order
 
-CANDIDATES, FUSED, RRF_K, PER_FILE, BUDGET, ITEM_TOKENS = 40, 20, 60, 3, 16000, 30
-#: Weights of title, symbol and body matches in full text: fixed values.
-WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
-MOST_WORDS = 24
+FUSED, RRF_K, PER_FILE, BUDGET, ITEM_TOKENS = 20, 60, 3, 16000, 30
 #: Queries that one task holds against the chunks at once.
 QUERY_BLOCK = 1024
 
@@ -77,41 +74,6 @@ def fused(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "id")))
 
 
-def stem(word: Column) -> Column:
-    """A small suffix stemmer; it stands in for a full English one."""
-    w = F.when(word.rlike("ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y")).when(word.rlike("[^s]s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
-    return F.when((F.length(w) > 5) & w.rlike("(ing|ed)$"), F.regexp_replace(w, "(ing|ed)$", "")).otherwise(w)
-
-
-def postings(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """id, term and weight: occurrences of each stemmed word by the weight of its field. fields: column to weight class."""
-    each = None
-    for column, weight in fields.items():
-        words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-        part = chunks.select("id", F.explode(words).alias("word"), F.lit(WEIGHTS[weight]).alias("weight"))
-        each = part if each is None else each.unionByName(part)
-    return each.groupBy("id", stem(F.col("word")).alias("term")).agg(F.sum("weight").alias("weight"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term and terms (how many), of queries (id, question)."""
-    words = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("question"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), stem)), 1, MOST_WORDS)
-    return queries.select(F.col("id").alias("query_id"), words.alias("w")).select("query_id", F.size("w").alias("terms"), F.explode("w").alias("term"))
-
-
-def full_text(index: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """query_id, id, rank, score and every: chunks with all terms first; if those are fewer than k / 2, chunks with any.
-
-    The score is a sum of weights by damped counts; it stands in for cover density.
-    """
-    score = F.sum(F.col("weight") / (1 + F.log1p("weight")))
-    hits = index.join(query_terms(queries), "term").groupBy("query_id", "id", "terms").agg(F.count("*").alias("met"), score.alias("score"))
-    hits = hits.withColumn("every", F.col("met") == F.col("terms"))
-    full = hits.withColumn("n", F.count_if("every").over(Window.partitionBy("query_id"))).where(F.col("every") | (F.col("n") < k / 2))
-    order = Window.partitionBy("query_id").orderBy(F.col("every").desc(), F.round("score", 9).desc(), "id")
-    return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score", "every")
-
-
 OVERVIEW = ("@docs/overview/overview", "@docs/architecture/architecture")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import question_fingerprint
 from millrace.operators import retrieval as R
-from millrace.session import table
+from millrace.operators.fulltext import full_text, positions
+from millrace.session import table, written
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,19 +33,39 @@ def pair_cosines(spark, folder):
     return a.join(b, "id").select("id", F.round(R.cosine(F.col("vector"), F.col("next")), 9).alias("cosine"))
 
 
-def questions(spark, folder):
-    q = table(spark, folder, "conversations").where("role = 'user' and turn = 0")
-    return q.select(F.col("conv_id").alias("id"), F.col("text").alias("question"))
+def index(spark, folder, english=False):
+    """Positions of the words of all documents: source and language as they are, texts as they are or by their stems."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("body"))
+    return written(positions(docs, {"title": (False, "A"), "body": (english, "C")}), "positions")
 
 
-def index(spark, folder):
-    docs = table(spark, folder, "documents")
-    return R.postings(docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "source", "lang").alias("title"), F.col("text").alias("body")), {"title": "A", "body": "C"})
+def questions(spark, folder):
+    """All that users asked, in plain words: no marks and no or, which would be read as search syntax."""
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.lower(w) != "or")
+    asked = table(spark, folder, "conversations").where("role = 'user'")
+    return asked.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.array_join(words, " ").alias("question"))
 
 
 def full_text_matches(spark, folder):
-    """What full text finds for each first question, whole: all of its terms first, any of them if those are too few."""
-    return R.full_text(index(spark, folder), questions(spark, folder)).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "every")
+    """What full text finds for each question: documents with all of its words by the density of their covers, any of them if those are too few."""
+    return full_text(index(spark, folder), questions(spark, folder), english=False).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "every")
+
+
+def phrase_questions(spark, folder):
+    """For every fiftieth document: two of its words next to each other and another one, but not a third."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w != "or")
+    docs = table(spark, folder, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("id"), words.alias("w")).where("size(w) >= 10")
+    return docs.select("id", F.format_string('"%s %s" %s -%s', *(F.get("w", i) for i in (2, 3, 5, 9))).alias("question"))
+
+
+def phrase_matches(spark, folder):
+    found = full_text(index(spark, folder), phrase_questions(spark, folder), english=False)
+    return found.where("every").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def stemmed_matches(spark, folder):
+    """Questions in English, by the stems of their words and as they are. No SQL: it has no stemmer; see the tests."""
+    return full_text(index(spark, folder, english=True), questions(spark, folder)).select("query_id", "rank", "id", F.round("score", 6).alias("score"), "every")
 
 
 def hybrid_fusion(spark, folder):
@@ -116,7 +137,7 @@ def repeated_questions(spark, folder):
     return table(spark, folder, "conversations").groupBy(F.sha2(question_fingerprint(F.col("text")), 256).alias("key")).agg(F.count("*").alias("asked"), F.min("conv_id").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (vector_search, vector_threshold, pair_cosines, full_text_matches, hybrid_fusion, packed_sources, path_ranks, kept_evidence, fresh_answers, similar_answers, renumbered_citations, answer_confidence)}
+QUERIES = {f.__name__: f for f in (vector_search, vector_threshold, pair_cosines, full_text_matches, phrase_matches, stemmed_matches, hybrid_fusion, packed_sources, path_ranks, kept_evidence, fresh_answers, similar_answers, renumbered_citations, answer_confidence)}
 _COS = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 _V = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 ORACLES = {
@@ -152,15 +173,36 @@ ORACLES["repeated_questions"] = r"""WITH w AS (SELECT conv_id, list_filter(regex
 SELECT sha256(array_to_string(l, ' ')) AS key, count(*) AS asked, min(conv_id) AS first FROM s GROUP BY 1"""
 
 
-def _stem(w: str) -> str:
-    plural = f"CASE WHEN {w} LIKE '%ies' AND length({w}) > 4 THEN regexp_replace({w}, 'ies$', 'y') WHEN regexp_matches({w}, '[^s]s$') AND length({w}) > 3 THEN regexp_replace({w}, 's$', '') ELSE {w} END"
-    return f"CASE WHEN length({plural}) > 5 AND regexp_matches({plural}, '(ing|ed)$') THEN regexp_replace({plural}, '(ing|ed)$', '') ELSE {plural} END"
-
-
-ORACLES["full_text_matches"] = rf"""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(concat_ws(' ', source, lang)), '[\p{{L}}\p{{N}}_]+')) AS w, CAST(1.0 AS DOUBLE) AS weight FROM documents UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')), CAST(0.2 AS DOUBLE) FROM documents),
-  p AS (SELECT id, {_stem("w")} AS term, sum(weight) AS weight FROM w GROUP BY 1, 2),
-  l AS (SELECT conv_id AS query_id, list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: {_stem("w")}) AS l FROM conversations WHERE role = 'user' AND turn = 0),
-  q AS (SELECT query_id, (list_filter(l, lambda x, i: list_position(l, x) = i))[1:24] AS t FROM l), t AS (SELECT query_id, len(t) AS terms, unnest(t) AS term FROM q),
-  h AS (SELECT query_id, id, terms, count(*) AS met, sum(weight / (1 + ln(1 + weight))) AS score FROM p JOIN t USING (term) GROUP BY 1, 2, 3),
-  e AS (SELECT *, met = terms AS every, count(*) FILTER (WHERE met = terms) OVER (PARTITION BY query_id) AS n FROM h)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY every DESC, round(score, 9) DESC, id) AS INT) AS rank, id, round(score, 6) AS score, every FROM e WHERE every OR n < 20 QUALIFY rank <= 40"""
+_OCC = r"""docs AS MATERIALIZED (SELECT doc_id AS id, regexp_extract_all(lower(concat_ws(' ', source, lang)), '[\p{L}\p{N}_]+') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS b FROM documents),
+  occ AS MATERIALIZED (SELECT id, unnest(list_concat(t, b)) AS w, unnest(range(1, len(t) + len(b) + 1)) AS pos, unnest(list_concat([CAST(1.0 AS DOUBLE) FOR x IN t], [CAST(0.2 AS DOUBLE) FOR x IN b])) AS weight FROM docs)"""
+ORACLES["full_text_matches"] = rf"""WITH {_OCC},
+  p AS MATERIALIZED (SELECT id, w, sum(weight) AS weight FROM occ GROUP BY id, w),
+  plain AS (SELECT concat_ws(':', conv_id, turn) AS query_id, list_filter(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda x: lower(x) <> 'or') AS l FROM conversations WHERE role = 'user'),
+  need AS MATERIALIZED (SELECT DISTINCT query_id, unnest([lower(x) FOR x IN l]) AS w FROM plain),
+  size AS (SELECT query_id, count(*) AS n FROM need GROUP BY query_id),
+  full_ AS MATERIALIZED (SELECT query_id, id FROM (SELECT query_id, id, count(*) AS k FROM need JOIN p USING (w) GROUP BY query_id, id) JOIN size USING (query_id) WHERE k = n),
+  hits AS MATERIALIZED (SELECT query_id, id, w, pos, weight FROM full_ JOIN need USING (query_id) JOIN occ USING (id, w)),
+  lasts AS (SELECT a.query_id, a.id, a.pos AS stop, b.w, max(b.pos) AS last FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.id = b.id AND b.pos <= a.pos GROUP BY ALL),
+  windows AS (SELECT query_id, id, stop, min(last) AS start FROM lasts JOIN size USING (query_id) GROUP BY query_id, id, stop, n HAVING count(*) = n),
+  covers AS (SELECT query_id, id, start, min(stop) AS stop FROM windows GROUP BY query_id, id, start),
+  dense AS (SELECT c.query_id, c.id, c.start, c.stop, count(*) / sum(1 / h.weight) / (1 + (c.stop - c.start) - (count(*) - 1)) AS s FROM covers c JOIN hits h ON h.query_id = c.query_id AND h.id = c.id AND h.pos BETWEEN c.start AND c.stop GROUP BY c.query_id, c.id, c.start, c.stop),
+  scored AS (SELECT query_id, id, sum(s) AS score FROM dense GROUP BY query_id, id),
+  every_ AS MATERIALIZED (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 40),
+  found AS (SELECT query_id, count(*) AS n FROM every_ GROUP BY query_id),
+  broad AS (SELECT query_id, l, (list_filter(l, lambda x: length(x) >= 2))[1:24] AS t FROM plain),
+  few AS (SELECT DISTINCT query_id, unnest([lower(x) FOR x IN t]) AS w FROM broad LEFT JOIN found USING (query_id) WHERE array_to_string(t, ' or ') <> array_to_string(l, ' ') AND coalesce(n, 0) < 20),
+  any_ AS (SELECT query_id, id, sum(weight) AS score FROM (SELECT query_id, id, weight FROM few JOIN p USING (w)) ANTI JOIN every_ USING (query_id, id) GROUP BY query_id, id),
+  both_ AS (SELECT *, true AS every FROM every_ UNION ALL SELECT *, false FROM any_)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY every DESC, round(score, 9) DESC, id) AS INT) AS rank, id, round(score, 6) AS score, every FROM both_ QUALIFY rank <= 40"""
+ORACLES["phrase_matches"] = rf"""WITH {_OCC},
+  l AS (SELECT id, list_filter(b, lambda x: x <> 'or') AS w FROM docs WHERE id % 50 = 0), q AS MATERIALIZED (SELECT id AS query_id, w[3] AS w1, w[4] AS w2, w[6] AS w3, w[10] AS bad FROM l WHERE len(w) >= 10),
+  item AS MATERIALIZED (SELECT query_id, a.id, 1 AS item, a.pos AS start, b.pos AS stop FROM q JOIN occ a ON a.w = w1 JOIN occ b ON b.id = a.id AND b.pos = a.pos + 1 AND b.w = w2 UNION ALL SELECT query_id, id, 2, pos, pos FROM q JOIN occ ON w = w3),
+  excluded AS (SELECT DISTINCT query_id, id FROM q JOIN occ ON w = bad),
+  good AS (SELECT query_id, id FROM (SELECT query_id, id FROM item GROUP BY query_id, id HAVING count(DISTINCT item) = 2) ANTI JOIN excluded USING (query_id, id)),
+  held AS MATERIALIZED (SELECT item.* FROM item JOIN good USING (query_id, id)),
+  lasts AS (SELECT a.query_id, a.id, a.stop, b.item, max(b.start) AS last FROM held a JOIN held b ON a.query_id = b.query_id AND a.id = b.id AND b.stop <= a.stop GROUP BY ALL),
+  windows AS (SELECT query_id, id, stop, min(last) AS start FROM lasts GROUP BY query_id, id, stop HAVING count(*) = 2),
+  covers AS (SELECT query_id, id, start, min(stop) AS stop FROM windows GROUP BY query_id, id, start),
+  dense AS (SELECT c.query_id, c.id, c.start, c.stop, count(*) / sum(1 / o.weight) / (1 + (c.stop - c.start) - (count(*) - 1)) AS s FROM covers c JOIN q USING (query_id) JOIN occ o ON o.id = c.id AND o.pos BETWEEN c.start AND c.stop AND o.w IN (w1, w2, w3) GROUP BY c.query_id, c.id, c.start, c.stop),
+  total AS (SELECT query_id, id, sum(s) AS score FROM dense GROUP BY query_id, id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS INT) AS rank, id, round(score, 6) AS score FROM total QUALIFY rank <= 40"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on. Sizes (shuffle partitions, memory) are left to whoever starts the session.
@@ -24,3 +27,24 @@ def local_session(cores: int | str = 8, name: str = "millrace", partitions: int
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a data folder; Spark reads it, so the folder may be in any store that Spark knows."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: Folders of applications in local mode that set none.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir, which all machines share; where that is unset, a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: for what is read more than once, or must outlive lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
