@@ -13,7 +13,11 @@ SEVERITY = ["info", "warning", "error", "critical"]
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    e, k = table(spark, folder, "events"), F.get_json_object("props", "$.k").cast("long")
+    return shaped(table(spark, folder, "events"))
+
+
+def shaped(e: DataFrame) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("long")
     return e.select("event_id", F.concat_ws(":", "event_type", (F.col("user_id") % 40).cast("string")).alias("fingerprint"), F.col("ts").alias("occurred_at"), (F.col("ts") + F.make_dt_interval(secs=(k % 90).cast("decimal(18,6)"))).alias("received_at"), F.element_at(F.array(*map(F.lit, SEVERITY)), (k % 4 + 1).cast("int")).alias("severity"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("source"), (k % 13 == 0).alias("suppressed"))
 
 
