@@ -2,9 +2,9 @@
 
 Each task builds suffix arrays over shards of its texts: words become ids, prefix doubling ranks the stretches of 1, 2 and 4 words, and
 the intervals of the suffix order in which suffixes share their first m words give the counts of all phrases of m words. Counts of
-shards are merged by phrase over all shards. A first pass merges hashes of words and of pairs, and what is frequent leaves a table of
-bits of fixed size; the second merges phrases that can be frequent after it. The table spares rows and decides nothing:
-chance hits add phrases whose true counts then drop them.
+shards are merged by phrase over all shards. A first pass merges hashes of words and of pairs, a second those of three words
+whose pairs are frequent, and what is frequent leaves a table of bits of fixed size; the last merges phrases that can be frequent after
+it. The table spares rows and decides nothing: chance hits add phrases whose true counts then drop them.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,11 @@ from .common import Words, hashes, mix, slices, stored, utf8
 SHARD = 4 << 20
 #: Bits of the table of what is frequent (16 MB). With more frequent words and pairs than an eighth of it, it spares less.
 BITS = 1 << 27
+#: Bits of the hashes that are merged: fewer bytes to exchange than all 64.
+HASH = np.uint64((1 << 40) - 1)
 LONGEST = 4
+#: Groups of phrases that are ranked on their own first, so that few meet where a language's are ranked.
+GROUPS = 32
 
 
 def bytes_in(chars: bytes) -> np.ndarray:
@@ -42,10 +47,10 @@ class Shard:
     """The words of a shard in suffix order.
 
     ids: of each word, one for each word and language; left: words from each on to the end of its piece, at most LONGEST; order: word places in
-    the order of the up to LONGEST words that begin there; shared: how many of these are those of the place before in the order.
+    the order of the up to depth words (2 or LONGEST) that begin there; shared: how many of these are those of the place before in the order.
     """
 
-    def __init__(self, langs: pa.Array, texts: pa.Array):
+    def __init__(self, langs: pa.Array, texts: pa.Array, depth: int = LONGEST):
         data, offsets = utf8(texts)
         data = LOWER[data]
         words = Words(data, offsets, BETWEEN)
@@ -61,12 +66,11 @@ class Shard:
         begins[1:n] = (cuts[words.starts[1:]] != cuts[words.starts[:-1]]) | (words.doc[1:] != words.doc[:-1])
         ends = np.flatnonzero(begins)
         self.left = np.minimum(np.repeat(ends[1:], np.diff(ends)) - np.arange(n), LONGEST)
-        pairs = self.doubled(self.ids, 1)
-        fours = self.doubled(pairs, 2)
-        self.order = np.argsort(fours, kind="stable")
+        ranks = self.doubled(self.ids, 1)
+        self.order = np.argsort(ranks if depth == 2 else self.doubled(ranks, 2), kind="stable")
         self.shared = np.zeros(n, dtype=np.int8)
         a, b = self.order[:-1], self.order[1:]
-        for m in range(1, LONGEST + 1):
+        for m in range(1, depth + 1):
             same = (self.shared[1:] == m - 1) & (self.left[a] >= m) & (self.left[b] >= m)
             same[same] = self.ids[a[same] + m - 1] == self.ids[b[same] + m - 1]
             self.shared[1:][same] = m
@@ -88,24 +92,25 @@ class Shard:
         total = np.concatenate([[0], np.cumsum(held)])
         return self.order[first], total[np.append(first[1:], len(held))] - total[first]
 
-    def hashed(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the word and of the pair at each place, with their language; that of a pair without a second word means nothing."""
+    def hashed(self) -> list[np.ndarray]:
+        """Hashes of the one, two and three words at each place, with their language; where a piece has fewer words, they mean nothing."""
         langs = hashes(self.langs.cast(pa.binary()), 1)
         own = mix(hashes(self.distinct)[self.word_of] + langs[self.lang_of] if len(self.word_of) else np.zeros(0, np.uint64))[self.ids]
-        return own, mix(own * np.uint64(0x9E3779B97F4A7C15) + np.append(own[1:], own[:1]))
+        pairs = mix(own * np.uint64(0x9E3779B97F4A7C15) + np.append(own[1:], own[:1]))
+        return [own & HASH, pairs & HASH, mix(pairs * np.uint64(0xC2B2AE3D27D4EB4F) + np.append(own[2:], own[:2])) & HASH]
 
     def phrases(self, places: np.ndarray, m: int) -> pa.Array:
         parts = [self.distinct.take(pa.array(self.word_of[self.ids[places + j]])) for j in range(m)]
         return pc.binary_join_element_wise(*parts, b" ").cast(pa.string()) if m > 1 else parts[0].cast(pa.string())
 
 
-def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
+def shards(batches: Iterator[pa.RecordBatch], limit: int, depth: int) -> Iterator[Shard]:
     held: list[pa.RecordBatch] = []
     size = 0
 
     def made() -> Shard:
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        return Shard(whole.column(0), whole.column(1))
+        return Shard(whole.column(0), whole.column(1), depth)
 
     for batch in batches:
         for part in slices(batch, "text", max(1, limit // 8)):
@@ -119,43 +124,55 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Shard]:
         yield made()
 
 
-def frequent_bits(docs: DataFrame, least: int, shard: int, bits: int) -> np.ndarray:
-    """A table of bits: set at the hash of every word and every pair of words that docs hold at least least times."""
+def often(table: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit set."""
+    at = (own & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def next_place(flags: np.ndarray) -> np.ndarray:
+    return np.append(flags[1:], np.zeros(min(1, len(flags)), dtype=bool))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in shards(batches, shard):
-            for m, own in enumerate(s.hashed(), 1):
-                places, n = s.intervals(m)
-                yield pa.RecordBatch.from_arrays([pa.array(own[places].view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-    often = docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def frequent_bits(docs: DataFrame, least: int, shard: int, bits: int, known: Broadcast | None = None) -> np.ndarray:
+    """A table of bits, in bytes: set at the hashes of all words and pairs of words that docs hold at least least times, or, after the table known, of all three words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in shards(batches, shard, LONGEST if known else 2):
+            own = s.hashed()
+            if known:
+                words, pairs = often(known.value, own[0]), often(known.value, own[1])
+                # three words can be frequent only if both of their pairs are
+                found = [(own[2], s.intervals(3, words & pairs & next_place(pairs)))]
+            else:
+                found = [(own[m - 1], s.intervals(m)) for m in (1, 2)]
+            for values, (places, n) in found:
+                yield pa.RecordBatch.from_arrays([pa.array(values[places].view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+    frequent = docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     place = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    rows = often.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("set")).toArrow()
-    out = np.zeros(bits // 64, dtype=np.int64)
+    rows = frequent.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("set")).toArrow()
+    out = np.zeros(bits // 64, dtype="<i8")
     out[rows.column("at").to_numpy()] = rows.column("set").to_numpy()
-    return np.unpackbits(out.astype("<i8").view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8)
 
 
 def counted(docs: DataFrame, least: int, shard: int, bits: int) -> DataFrame:
     """lang, m, phrase, n: exact counts of all phrases of 1 to LONGEST words that occur at least least times; with m = 0, all words of each language."""
-    table = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_bits(docs, least, shard, bits), bitorder="little"))
-
-    def often(own: np.ndarray) -> np.ndarray:
-        at = (own & np.uint64(bits - 1)).astype(np.int64)
-        return (table.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    context = docs.sparkSession.sparkContext
+    short = context.broadcast(frequent_bits(docs, least, shard, bits))
+    table = context.broadcast(short.value | frequent_bits(docs, least, shard, bits, short))
+    short.unpersist()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in shards(batches, shard):
-            words, pairs = s.hashed()
-            words, pairs = often(words), often(pairs)
+        for s in shards(batches, shard, LONGEST):
+            words, pairs, threes = (often(table.value, own) for own in s.hashed())
+            pairs &= words
+            threes &= pairs & next_place(pairs)
             langs = s.lang_of[s.ids]
             total = np.bincount(langs, minlength=len(s.langs))
             yield pa.RecordBatch.from_arrays([s.langs, pa.array(np.zeros(len(total)), pa.int32()), pa.array([""] * len(total)), pa.array(total.astype(np.int64))], names=["lang", "m", "phrase", "n"])
-            within = words
-            for m in range(1, LONGEST + 1):
-                if m > 1:
-                    # a phrase can be frequent only if each of its pairs is
-                    within = words & pairs if m == 2 else within & np.append(pairs[m - 2 :], np.zeros(min(m - 2, len(pairs)), dtype=bool))
+            for m, within in enumerate((words, pairs, threes, threes & next_place(threes)), 1):
                 places, n = s.intervals(m, within)
                 for a in range(0, len(places), 1 << 16):
                     own = places[a : a + (1 << 16)]
@@ -190,6 +207,8 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     inside = inside.select("lang", "a", "words", "size", F.explode(F.sequence(F.lit(1), F.col("m") - F.col("size") + 1)).alias("start"))
     inside = inside.select("lang", part(F.col("start"), F.col("size")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     kept = loosest.join(inside, ["lang", "phrase"], "left").where(F.coalesce(F.expr(f"cast(most as decimal(20, 0)) * 100 < cast(a as decimal(20, 0)) * {int(share)}"), F.lit(True)))
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    few = kept.withColumn("group", F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "group").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = few.drop("rank", "group").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = F.broadcast(counts.where("m = 0").select("lang", F.col("n").alias("words")))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
