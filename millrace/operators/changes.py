@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.lexer import significant_key
+from millrace.functions.text import path_pattern
+from millrace.functions.versions import dependencies, major_bumps
+
 
 def supersedes(incoming: Column, existing: Column) -> Column:
     """An imported document never overwrites a generated one."""
@@ -82,19 +86,24 @@ def triage(files: DataFrame, ignore: list[str]) -> DataFrame:
     """path, verdict and reason for each changed file. files: path, status, binary, old_hash, new_hash, similarity, and old_text
     and new_text where dependency manifests are to be compared: of these only a major version or a dependency that comes or goes proceeds.
 
-    Equal content stands in for equal significant tokens.
+    With these texts, files of a known language that differ only in comments, blanks and the wording of texts count as equal; without, only equal
+    content does.
     """
-    from millrace.sources.documents import dependencies, major_bumps
-    from millrace.functions.text import path_pattern
-
     ignored = F.lit(False)
     for glob in ignore:
         ignored = ignored | F.col("path").rlike(path_pattern(glob))
+    texts = {"old_text", "new_text"} <= set(files.columns)
+    same = F.col("old_hash") == F.col("new_hash")
+    if texts:
+        known = files.withColumns({"__old": significant_key(F.col("path"), F.when(~same, F.col("old_text"))), "__new": significant_key(F.col("path"), F.when(~same, F.col("new_text")))})
+        files, alike = known, F.coalesce(F.col("__old") == F.col("__new"), F.lit(False))
+    else:
+        alike = F.lit(False)
     reason = (
         F.when(F.col("path").rlike(DOC_PATHS), "documentation").when(ignored, "ignored").when(F.lower("path").rlike(r"\.(md|markdown|mdx|rst)$") & (F.col("status") != "deleted"), "markdown").when(F.col("binary"), "binary")
-        .when(F.col("status") == "deleted", "deleted").when((F.col("old_hash") == F.col("new_hash")) & (F.col("status") == "renamed"), F.when(F.col("similarity") >= 90, "renamed").otherwise("moved")).when(F.col("old_hash") == F.col("new_hash"), "same content")
+        .when(F.col("status") == "deleted", "deleted").when((same | alike) & (F.col("status") == "renamed"), F.when(F.col("similarity") >= 90, "renamed").otherwise("moved")).when(same, "same content").when(alike, "same tokens")
     )
-    if {"old_text", "new_text"} <= set(files.columns):
+    if texts:
         old, new = (dependencies(F.col("path"), F.col(c)) for c in ("old_text", "new_text"))
         read = old.isNotNull() & new.isNotNull() & (F.size(old) + F.size(new) > 0)
         reason = F.coalesce(reason, F.when(read, F.when(F.size(major_bumps(old, new)) > 0, "major dependency").otherwise("minor dependency")))

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import map_severity
+from millrace.functions.versions import dependencies, major_bumps
 from millrace.operators import evaluation as E
 from millrace.operators import issues as I
 from millrace.session import table
 from millrace.sources import logs, webhooks
-from millrace.sources.documents import dependencies, major_bumps
+
 
 def joined(*parts: str | Column) -> Column:
     """Strings as they are, columns as text."""
