@@ -31,6 +31,8 @@ QUERIES, SENT = 512, 32 << 20
 #: Entries of a cell that are held against queries at once.
 PACK = 2048
 SALT = 64
+#: Blocks that one row of a pack is to be held against, and queries whose nearest a task keeps before it tells them.
+BLOCKS, KEPT = 64, 100_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -185,29 +187,50 @@ def one_length(entries: DataFrame, queries: DataFrame, dims: int, k: int, share:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(cell_i[some]), pa.array(cell_j[some]), pa.array(who, pa.list_(pa.int32()))], names=["block", "i", "j", "who"])
 
     visits = stored(blocks.mapInArrow(visit, "block long, i int, j int, who array<int>"), "visits")
-    # entries of a cell in packs of about PACK; each meets the blocks that visit the cell, whose vectors travel once
+    # entries of a cell in packs of about PACK, each with the blocks that visit the cell, some hundred at a time
     stock = cells.join(F.broadcast(sizes), ["i", "j"]).withColumn("pack", F.pmod(F.xxhash64("entry"), F.ceil(F.col("n") / PACK)))
     stock = stock.groupBy("i", "j", "pack").agg(F.collect_list(F.struct("vector", "ids")).alias("stock"))
     small = asked.count() * dims * 8 <= SENT
+    together = BLOCKS if small else 1
+    groups = max(1, math.ceil(blocks.count() / together))
+    visits = visits.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)) if small else F.col("block")).groupBy("i", "j", "group").agg(F.collect_list(F.struct("block", "who")).alias("visits"))
+    context = entries.sparkSession.sparkContext
+    # at most SENT bytes of vectors go to every task; more of them travel with the packs that they meet
+    sent = context.broadcast({r.block: ([x.query for x in r.asks], [bytes(x.vector) for x in r.asks]) for r in blocks.collect()}) if small else None
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k+1 nearest of what a task holds for each query of a block, one block after the other."""
-        last, best = None, {}
+        """The k+1 nearest of all that a task holds for each query, told once, or whenever the task keeps those of many queries."""
+        best: dict[int, list[tuple[float, int]]] = {}
         for b in batches:
-            for at, block in enumerate(b.column(0).to_pylist()):
-                if block != last:
-                    yield told(best)
-                    last, best = block, {}
-                for query, near in ranked(b.column(1)[at], b.column(2)[at].values.to_numpy(zero_copy_only=False), b.column(3)[at], dims, k):
-                    best[query] = sorted(best[query] + near)[: k + 1] if query in best else near
-        yield told(best)
-
-    def told(best: dict[int, list[tuple[float, int]]]) -> pa.RecordBatch:
-        rows = [(q, x, -c) for q, near in best.items() for c, x in near]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "vec_id", "score"])
-
-    met = stock.join(visits, ["i", "j"]).join(F.broadcast(blocks) if small else blocks, "block")
-    found = met.select("block", "asks", "who", "stock").sortWithinPartitions("block").mapInArrow(rank, "query long, vec_id long, score double")
+            for at in range(b.num_rows):
+                stock = b.column(1)[at].values
+                v, lists = matrix(stock.field(0), dims), [x.as_py() for x in stock.field(1)]
+                size = np.sqrt((v * v).sum(1))
+                for visit in b.column(0)[at]:
+                    who = visit["who"].values.to_numpy(zero_copy_only=False)
+                    if sent:
+                        names, vectors = sent.value[visit["block"].as_py()]
+                        names, q = [names[w] for w in who], np.frombuffer(b"".join(vectors[w] for w in who)).reshape(len(who), dims)
+                    else:
+                        asks = b.column(2)[at].values.take(pa.array(who))
+                        names, q = asks.field(0).to_pylist(), matrix(asks.field(1), dims)
+                    for query, near in zip(names, ranked(q, v, size, lists, k), strict=True):
+                        best[query] = sorted(best[query] + near)[: k + 1] if query in best else near
+                if len(best) > KEPT:
+                    yield from told(best)
+                    best = {}
+        yield from told(best)
+
+    def told(best: dict[int, list[tuple[float, int]]]) -> Iterator[pa.RecordBatch]:
+        names = list(best)
+        for start in range(0, len(names), 4096):
+            rows = [(q, x, -c) for q in names[start : start + 4096] for c, x in best[q]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["query", "vec_id", "score"])
+
+    met = stock.join(visits, ["i", "j"])
+    met = met.select("visits", "stock") if small else met.join(blocks, met["group"] == blocks["block"]).select("visits", "stock", "asks")
+    # as many tasks as run at once: each tells a query's nearest once, so their number follows the machines and not the vectors
+    found = met.coalesce(context.defaultParallelism).mapInArrow(rank, "query long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query", "vec_id", "score")
     # every id with a query's vector gets that query's answers but itself
@@ -217,24 +240,19 @@ def one_length(entries: DataFrame, queries: DataFrame, dims: int, k: int, share:
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def ranked(asks: pa.Scalar, who: np.ndarray, stock: pa.Scalar, dims: int, k: int) -> list[tuple[int, list[tuple[float, int]]]]:
-    """The k+1 nearest ids, as (-score, id), of one pack of entries for the queries of a block at the places in who."""
-    a, s = asks.values.take(pa.array(who)), stock.values
-    query = a.field(0).to_numpy(zero_copy_only=False)
-    q, v = matrix(a.field(1), dims), matrix(s.field(0), dims)
-    lists = s.field(1)
-    norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :]
+def ranked(q: np.ndarray, v: np.ndarray, size: np.ndarray, ids: list[list[int]], k: int) -> list[list[tuple[float, int]]]:
+    """For each row of q the k+1 nearest ids, as (-score, id), of one pack of entries v of the given sizes."""
+    norm = np.sqrt((q * q).sum(1))[:, None] * size[None, :]
     scores = np.clip(q @ v.T / norm, -1, 1)
-    ids = [x.as_py() for x in lists]
     first = np.array([x[0] for x in ids])
     out = []
     few = min(k + 1, len(ids))
-    for r, own in zip(query, scores, strict=True):
+    for own in scores:
         least = np.partition(own, len(own) - few)[len(own) - few]
         near = np.flatnonzero(own >= least)
         if len(near) > 4 * few:  # many at one score: the smallest first ids suffice
             near = near[np.lexsort((first[near], -own[near]))][: 4 * few]
-        out.append((int(r), sorted((-float(own[e]), x) for e in near for x in ids[e])[: k + 1]))
+        out.append(sorted((-float(own[e]), x) for e in near for x in ids[e])[: k + 1])
     return out
 
 

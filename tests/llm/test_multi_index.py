@@ -3,7 +3,8 @@ import math
 import numpy as np
 import pytest
 
-from millrace.llm.multi_index import neighbours, search, walk
+from millrace.llm import multi_index
+from millrace.llm.multi_index import kmeans, neighbours, search, share_needed, unit, walk
 
 SCHEMA = "vec_id long, embedding array<float>, extra string, query string"
 
@@ -62,3 +63,28 @@ def test_walk_is_in_order_of_summed_distance():
     cells = walk(a, b, {(i, j): 1 for i in range(9) for j in range(7)}, 10**9)
     sums = [a[i] + b[j] for i, j in cells]
     assert len(cells) == 63 and sums == sorted(sums)
+
+
+def clustered(seed, n, groups, dims=16):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dims))
+    return (centres[rng.integers(groups, size=n)] + 0.05 * rng.normal(size=(n, dims))).astype(np.float32)
+
+
+def test_clustered_vectors_end_walks_early(spark):
+    """Where vectors lie in clusters, a walk meets few of them and still finds the nearest."""
+    x = clustered(4, 6000, 60)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    check(search(df, df.where("vec_id % 50 = 0")), brute(rows), 0.9)
+    u = unit(x.astype(np.float64))
+    assert share_needed(u, (kmeans(u[:, :8], 7), kmeans(u[:, 8:], 7)), 8, 5) < 0.25
+
+
+@pytest.mark.parametrize("sent, kept, block, pack", [(0, 100_000, 16, 64), (1 << 25, 3, 8, 50), (0, 1, 4, 2048)])
+def test_vectors_that_travel_and_tasks_that_tell_early(spark, monkeypatch, sent, kept, block, pack):
+    for name, value in (("SENT", sent), ("KEPT", kept), ("QUERIES", block), ("PACK", pack)):
+        monkeypatch.setattr(multi_index, name, value)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(clustered(5, 900, 7, 6))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    check(search(df, df.where("vec_id % 10 = 0"), share=1.0), brute(rows, every=10))
