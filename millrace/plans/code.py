@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import changes as C
+from millrace.operators import ownership as O
 from millrace.operators import snapshots as S
 from millrace.session import table
+from millrace.sources.deployments import deployed_as, deployments
 
 
 def snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +46,40 @@ def token_triage(spark, folder):
     return C.triage(files, []).groupBy("verdict", "reason").agg(F.count("*").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (similar_files, change_feed, token_triage)}
+PATHS = ["README.md", "src/main.go", "src/api/test_x.py", "docs/guide.md", "docs/internal/p.md", "web/app.js", "lib/a/b.c", "src/x.js"]
+
+
+def owned_files(spark, folder):
+    """The owners of a file for each document, by the owner file of its source as repository."""
+    docs = table(spark, folder, "documents")
+    team = F.concat(F.lit("@acme/"), "source")
+    text = F.concat(F.lit("# owners\n* "), team, F.lit("\n*.js @web\n/docs/ @docs "), team, F.lit("\n[tests]\n/src/**/test_*.py @test\n/docs/internal/\nlib @lib # all of it\n"))
+    known = O.rules(docs.select(F.col("source").alias("repo"), F.lit("CODEOWNERS").alias("path"), text.alias("content")).distinct())
+    path = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("doc_id") % 8 + 1).cast("int"))
+    name = F.concat(F.regexp_replace(path, r"[^/]*$", ""), F.when(F.col("doc_id") % 8 == 2, F.concat(F.lit("test_"), "doc_id", F.lit(".py"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.regexp_extract(path, r"(\.[^.]*)$", 1))))
+    found = O.file_owners(docs.select(F.col("source").alias("repo"), name.alias("path")), known)
+    return found.select("repo", "path", F.array_join("owners", " ").alias("owners"), "pattern", F.col("line").cast("long").alias("line"))
+
+
+def deployed_containers(spark, folder):
+    """A deployment file of two objects for each document, read into rows."""
+    docs = table(spark, folder, "documents")
+    text = F.concat(F.lit("kind: Deployment\nmetadata:\n  name: svc-"), "doc_id", F.lit("\nspec:\n  template:\n    spec:\n      containers:\n      - name: main\n        image: 'acme/"), "source", F.lit(":"), F.col("n_chars").cast("string"), F.lit("' # pinned\n        env: [{name: LANG_"), "lang", F.lit("}, {name: MODE}]\n        ports:\n        - containerPort: "), (F.col("doc_id") % 9000 + 1000).cast("string"), F.lit("\n---\nkind: Service\nmetadata:\n  name: svc\n"))
+    files = docs.select(F.col("source").alias("repo"), F.concat(F.lit("deploy/k8s/"), "doc_id", F.lit(".yaml")).alias("path"), text.alias("content"))
+    return deployments(files).select("repo", "path", F.col("document").cast("long").alias("document"), "kind", "name", "container", "image", F.array_join("env", ",").alias("env"), F.array_join(F.transform("ports", lambda p: p.cast("string")), ",").alias("ports"))
+
+
+def deployed_services(spark, folder):
+    """Names of services from charts, functions, compose files and image labels, one for each document."""
+    docs, kind = table(spark, folder, "documents"), F.col("doc_id") % 4
+    name = F.concat(F.lit("svc-"), (F.col("doc_id") % 50).cast("string"))
+    path = F.when(kind == 0, "chart/Chart.yaml").when(kind == 1, "serverless.yml").when(kind == 2, "docker-compose.yml").otherwise("Dockerfile")
+    text = F.when(kind == 0, F.concat(F.lit("apiVersion: v2\nname: "), name)).when(kind == 1, F.concat(F.lit("service: '"), name, F.lit("'\n"))).when(kind == 2, F.concat(F.lit("services:\n  "), name, F.lit(":\n    image: x\nvolumes:\n  no:\n"))).otherwise(F.concat(F.lit("FROM x\nLABEL service="), name))
+    files = docs.select(F.col("source").alias("repo"), F.concat("lang", F.lit("/"), path).alias("path"), text.alias("content"))
+    return deployed_as(files).groupBy("repo", "service").agg(F.count("*").alias("files"))
+
+
+QUERIES = {f.__name__: f for f in (similar_files, change_feed, token_triage, owned_files, deployed_containers, deployed_services)}
 ORACLES = {
     "similar_files": r"""WITH old AS (SELECT source || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS content FROM documents WHERE doc_id % 7 < 3),
   new AS (SELECT 'moved/' || source || '/' || doc_id || '.txt' AS path, coalesce(text, '') || CASE WHEN doc_id % 7 = 1 THEN chr(10) || 'the last line of ' || doc_id ELSE '' END AS content FROM documents WHERE doc_id % 7 IN (1, 2)),
@@ -55,4 +90,8 @@ ORACLES = {
 SELECT old_path, s.path, CAST(100 * s // greatest(ta.total, tb.total) AS INT) AS similarity FROM shared s JOIN ta ON ta.path = old_path JOIN tb ON tb.path = s.path WHERE 100 * s // greatest(ta.total, tb.total) >= 50""",
     "token_triage": """WITH f AS (SELECT CASE WHEN doc_id % 4 = 1 THEN 'changed' WHEN doc_id % 3 = 0 AND doc_id % 100 >= 90 THEN 'renamed' WHEN doc_id % 3 = 0 THEN 'moved' ELSE 'same tokens' END AS reason FROM documents)
 SELECT CASE WHEN reason IN ('changed', 'moved') THEN 'proceed' ELSE 'abort' END AS verdict, reason, count(*) AS files FROM f GROUP BY 1, 2""",
+    "owned_files": """WITH f AS (SELECT source AS repo, doc_id % 8 AS k, (['', 'src/', 'src/api/test_', 'docs/', 'docs/internal/', 'web/', 'lib/a/', 'src/'])[doc_id % 8 + 1] || doc_id || (['.md', '.go', '.py', '.md', '.md', '.js', '.c', '.js'])[doc_id % 8 + 1] AS path FROM documents)
+SELECT repo, path, (['@acme/' || repo, '@acme/' || repo, '@test', '@docs @acme/' || repo, '', '@web', '@lib', '@web'])[k + 1] AS owners, (['*', '*', '/src/**/test_*.py', '/docs/', '/docs/internal/', '*.js', 'lib', '*.js'])[k + 1] AS pattern, CAST(([2, 2, 6, 4, 7, 3, 8, 3])[k + 1] AS BIGINT) AS line FROM f""",
+    "deployed_containers": """SELECT source AS repo, 'deploy/k8s/' || doc_id || '.yaml' AS path, CAST(0 AS BIGINT) AS document, 'Deployment' AS kind, 'svc-' || doc_id AS name, 'main' AS container, 'acme/' || source || ':' || n_chars AS image, 'LANG_' || lang || ',MODE' AS env, CAST(doc_id % 9000 + 1000 AS VARCHAR) AS ports FROM documents""",
+    "deployed_services": """SELECT repo, service, count(*) AS files FROM (SELECT DISTINCT source AS repo, 'svc-' || doc_id % 50 AS service, lang, doc_id % 4 AS k FROM documents) GROUP BY 1, 2""",
 }
