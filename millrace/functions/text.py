@@ -4,54 +4,63 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: An ASCII word boundary; the engine's own also looks at other letters.
+#: An ASCII word boundary; the engine's own also looks at other letters. Behind a character of a word it is END.
 B = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+END = r"(?![0-9A-Za-z_])"
 
-# Patterns and their replacements, in the order in which they apply.
+
+def start(first: str) -> str:
+    """The boundary before one of the characters of a word in first, which are looked at before what stands behind."""
+    return rf"(?=[{first}])(?<![0-9A-Za-z_])"
+
+
+# Patterns and their replacements, in the order in which they apply, and what a text must hold for them to fit anywhere.
 NORMAL_FORMS = [
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}[t ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?(?:z|[+-][0-9]{2}:?[0-9]{2})?", "<ts>"),
-    (r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", "<ts>"),
-    (B + r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?" + B, "<ts>"),
-    (B + r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}" + B, "<uuid>"),
-    (r"[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}", "<email>"),
-    (B + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?" + B, "<ip>"),
-    (r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", "<ip>"),
-    (r"\"[^\"]*\"|'[^']*'|`[^`]*`", "<str>"),
-    (r"(?:[a-z][a-z0-9+.-]*:)?(?:/[^\t\n\f\r /]*)*/[^\t\n\f\r /]*[0-9][^\t\n\f\r ]*", "<path>"),
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}[t ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:[.,][0-9]+)?)?(?:z|[+-][0-9]{2}:?[0-9]{2})?", "<ts>", "0-"),
+    (r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", "<ts>", "0"),
+    (start("0-9") + r"[0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?" + END, "<ts>", "0:"),
+    (start("0-9a-f") + r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}" + END, "<uuid>", "-"),
+    (r"(?<![a-z0-9._%+-])[a-z0-9._%+-]++@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}", "<email>", "@"),
+    (start("0-9") + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?" + END, "<ip>", "0."),
+    (r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", "<ip>", ":"),
+    (r"\"[^\"]*\"|'[^']*'|`[^`]*`", "<str>", ""),
+    (r"(?:[a-z][a-z0-9+.-]*:)?(?:/[^\t\n\f\r /]*)*/[^\t\n\f\r /]*[0-9][^\t\n\f\r ]*", "<path>", "0/"),
     # a token of hex digits with a letter and a digit in it, of eight characters or more after 0x
-    (B + r"(?=(?:0x)?[0-9a-f]{8})(?:0x)?(?:[0-9a-f]*[0-9][0-9a-f]*[a-f][0-9a-f]*|[0-9a-f]*[a-f][0-9a-f]*[0-9][0-9a-f]*)" + B, "<hex>"),
-    (B + r"[0-9]+(?:\.[0-9]+)?", "<n>"),
+    (start("0-9a-f") + r"(?=(?:0x)?[0-9a-f]{8})(?:0x)?(?:[0-9a-f]*[0-9][0-9a-f]*[a-f][0-9a-f]*|[0-9a-f]*[a-f][0-9a-f]*[0-9][0-9a-f]*)" + END, "<hex>", "0"),
+    (start("0-9") + r"[0-9]+(?:\.[0-9]+)?", "<n>", "0"),
 ]
 NORMAL_BYTES = 512
 
-# Secrets, in the order in which they are replaced.
+# Secrets, in the order in which they are replaced, and texts of which one is in whatever they fit: as they are, or in any case.
 SECRETS = [
-    (r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "<PRIVATE_KEY>"),
-    (B + r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+", "<JWT>"),
-    (B + r"(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[0-9A-Z]{16}" + B, "<AWS_KEY>"),
-    (r"(?i)(aws_secret_access_key|secret_access_key|aws_secret)([\"']?[\t\n\f\r ]*[:=][\t\n\f\r ]*[\"']?)[A-Za-z0-9/+=]{40}", "$1$2<AWS_SECRET>"),
-    (B + r"AIza[0-9A-Za-z_-]{35}" + B, "<GCP_API_KEY>"),
-    (B + r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})" + B, "<GITHUB_TOKEN>"),
-    (B + r"xox[abposr]-[A-Za-z0-9-]{10,}", "<SLACK_TOKEN>"),
-    (B + r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}" + B, "<STRIPE_KEY>"),
-    (B + r"sk-[A-Za-z0-9][A-Za-z0-9_-]{19,}", "<API_KEY>"),
-    (r"(?i)" + B + r"(bearer|token)[\t\n\f\r ]+[A-Za-z0-9._~+/=-]{16,}", "$1 <TOKEN>"),
-    (r"(?i)" + B + r"(basic)[\t\n\f\r ]+[A-Za-z0-9+/]{12,}={0,2}", "$1 <CREDENTIALS>"),
-    (B + r"([a-zA-Z][a-zA-Z0-9+.-]*://[^:/\t\n\f\r @]+):([^@\t\n\f\r /]+)@", "$1:<PASSWORD>@"),
-    (r"(?i)" + B + r"(password|passwd|pwd)([\"']?[\t\n\f\r ]*[=:][\t\n\f\r ]*)(\"[^\"]*\"|'[^']*'|[^;\t\n\f\r ,&\"'}]+)", "$1$2<PASSWORD>"),
-    (r"(?i)" + B + r"(api[_-]?key|apikey|secret|client[_-]?secret|access[_-]?token|refresh[_-]?token|auth[_-]?token|token|private[_-]?key)([\"']?[\t\n\f\r ]*[:=][\t\n\f\r ]*[\"']?)([A-Za-z0-9._~+/-]{8,})", "$1$2<SECRET>"),
+    (r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "<PRIVATE_KEY>", ("-----BEGIN ",), False),
+    (start("e") + r"eyJ[A-Za-z0-9_-]{5,}\.eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+", "<JWT>", ("eyJ",), False),
+    (start("A") + r"(?:AKIA|ASIA|AGPA|AIDA|AROA|ANPA)[0-9A-Z]{16}" + END, "<AWS_KEY>", ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "ANPA"), False),
+    (r"(?i)(aws_secret_access_key|secret_access_key|aws_secret)([\"']?[\t\n\f\r ]*[:=][\t\n\f\r ]*[\"']?)[A-Za-z0-9/+=]{40}", "$1$2<AWS_SECRET>", ("aws_secret", "secret_access_key"), True),
+    (start("A") + r"AIza[0-9A-Za-z_-]{35}" + B, "<GCP_API_KEY>", ("AIza",), False),
+    (start("g") + r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})" + END, "<GITHUB_TOKEN>", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), False),
+    (start("x") + r"xox[abposr]-[A-Za-z0-9-]{10,}", "<SLACK_TOKEN>", ("xox",), False),
+    (start("rs") + r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}" + END, "<STRIPE_KEY>", ("k_live_", "k_test_"), False),
+    (start("s") + r"sk-[A-Za-z0-9][A-Za-z0-9_-]{19,}", "<API_KEY>", ("sk-",), False),
+    (r"(?i)" + start("bt") + r"(bearer|token)[\t\n\f\r ]+[A-Za-z0-9._~+/=-]{16,}", "$1 <TOKEN>", ("bearer", "token"), True),
+    (r"(?i)" + start("b") + r"(basic)[\t\n\f\r ]+[A-Za-z0-9+/]{12,}={0,2}", "$1 <CREDENTIALS>", ("basic",), True),
+    (start("a-zA-Z") + r"([a-zA-Z][a-zA-Z0-9+.-]*+://[^:/\t\n\f\r @]+):([^@\t\n\f\r /]+)@", "$1:<PASSWORD>@", ("://",), False),
+    (r"(?i)" + start("p") + r"(password|passwd|pwd)([\"']?[\t\n\f\r ]*[=:][\t\n\f\r ]*)(\"[^\"]*\"|'[^']*'|[^;\t\n\f\r ,&\"'}]+)", "$1$2<PASSWORD>", ("password", "passwd", "pwd"), True),
+    (r"(?i)" + start("acprst") + r"(api[_-]?key|apikey|secret|client[_-]?secret|access[_-]?token|refresh[_-]?token|auth[_-]?token|token|private[_-]?key)([\"']?[\t\n\f\r ]*[:=][\t\n\f\r ]*[\"']?)([A-Za-z0-9._~+/-]{8,})", "$1$2<SECRET>", ("apikey", "api_key", "api-key", "secret", "token", "privatekey", "private_key", "private-key"), True),
 ]
 
 # Personal data.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-CARD = B + r"[0-9](?:[ -]?[0-9]){12,18}" + B
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+CARD = start("0-9") + r"[0-9](?:[ -]?[0-9]){12,18}" + END
 IPV6 = r"(?i)(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?:%[0-9a-z]+)?"
-IPV4 = B + r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])" + B
-PHONE = r"(?:\+[0-9]{1,3}[\t\n\f\r .-]?)?\(?" + B + r"[0-9]{3}\)?[\t\n\f\r .-][0-9]{3}[\t\n\f\r .-][0-9]{4}" + B + r"|\+[0-9]{7,15}" + B
+IPV4 = start("0-9") + r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])" + END
+PHONE = r"(?:\+[0-9]{1,3}[\t\n\f\r .-]?)?\(?" + start("0-9") + r"[0-9]{3}\)?[\t\n\f\r .-][0-9]{3}[\t\n\f\r .-][0-9]{4}" + END + r"|\+[0-9]{7,15}" + END
 
 
 def replace_matches(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
@@ -75,19 +84,41 @@ def _halved(s: Column, text: Column, limit: int) -> Column:
     return F.struct(F.when(fits, middle).otherwise(s["low"]).alias("low"), F.when(fits, s["high"]).otherwise(F.greatest(s["low"], middle - 1)).alias("high"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def replaced_where(guard: Column, text: Column, pattern: str, by: str) -> Column:
+    return let(text, lambda t: F.when(guard, F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def normalize_message(text: Column) -> Column:
     """Lower case, variable parts as placeholders, single spaces, at most 512 bytes. Null stays null."""
-    out = F.lower(text)
-    for pattern, placeholder in NORMAL_FORMS:
-        out = F.regexp_replace(out, pattern, placeholder)
-    return cut_bytes(F.trim(F.regexp_replace(out, r"[\t\n\f\r ]+", " ")), NORMAL_BYTES)
+
+    def replaced(x: Column) -> Column:
+        out, digit = x["low"], x["digit"]
+        for pattern, placeholder, marks in NORMAL_FORMS:
+            fits = [digit if m == "0" else x["low"].contains(m) for m in marks]
+            guard = fits[0] & fits[1] if len(fits) > 1 else fits[0] if fits else None
+            out = F.regexp_replace(out, pattern, placeholder) if guard is None else replaced_where(guard, out, pattern, placeholder)
+        return let(F.trim(F.regexp_replace(out, r"[\t\n\f\r ]+", " ")), lambda t: cut_bytes(t, NORMAL_BYTES))
+
+    low = F.lower(text)
+    return let(F.struct(low.alias("low"), low.rlike("[0-9]").alias("digit")), replaced)
 
 
 def scrub(text: Column) -> Column:
-    """Secrets replaced by typed placeholders."""
-    for pattern, placeholder in SECRETS:
-        text = F.regexp_replace(text, pattern, placeholder)
-    return text
+    """Secrets replaced by typed placeholders. A pass over a text is made only where it holds what the secret's pattern needs."""
+
+    def replaced(x: Column) -> Column:
+        out = x["text"]
+        for pattern, placeholder, literals, lowered in SECRETS:
+            held = [(x["low"] if lowered else x["text"]).contains(literal) for literal in literals]
+            out = replaced_where(reduce(or_, held), out, pattern, placeholder)
+        return out
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), replaced)
 
 
 def luhn(candidate: Column) -> Column:
@@ -121,6 +152,20 @@ def hashed(*parts: Column) -> Column:
     return F.sha2(F.concat(*(x for p in parts for x in (F.coalesce(p, F.lit("")), F.char(F.lit(0))))), 256)
 
 
+def hmac_sha256(key: Column, message: Column) -> Column:
+    """The keyed hash of a message, as lowercase hex. key, message: binary or text; null gives null."""
+    raw, said = key.cast("binary"), message.cast("binary")
+    short = F.when(F.octet_length(raw) > 64, F.unhex(F.sha2(raw, 256))).otherwise(raw)
+    digits = F.rpad(F.hex(short), 128, "0")
+
+    def padded(mark: int) -> Column:
+        byte = lambda i: F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(mark))
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+    signed = F.sha2(F.concat(padded(0x5C), F.unhex(F.sha2(F.concat(padded(0x36), said), 256))), 256)
+    return F.when(key.isNotNull() & message.isNotNull(), signed)
+
+
 def top_frames(stack: Column) -> Column:
     """The first five in-app frames as module:function, or of all frames if none is in-app; file stands in for a missing module."""
     inside = F.exists(stack, lambda f: F.coalesce(f["in_app"], F.lit(False)))

@@ -54,8 +54,8 @@ def first_samples(events: DataFrame, n: int = FIRST_SAMPLES) -> DataFrame:
 
 
 def reservoir(events: DataFrame, seed: int = 0, n: int = RESERVOIR) -> DataFrame:
-    """n events at random of each fingerprint and hour of arrival: those with the smallest hash of seed and id. Mergeable: of two reservoirs the n smallest are the union's."""
-    lot = F.xxhash64(F.lit(seed), "event_id")
+    """n events at random of each fingerprint and hour of arrival: those with the smallest MD5 of seed and id. Mergeable: of two reservoirs the n smallest are the union's."""
+    lot = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("event_id").cast("string")))
     by_lot = Window.partitionBy("fingerprint", F.date_trunc("hour", "received_at")).orderBy(lot, "event_id")
     return events.where(~F.col("suppressed")).withColumn("slot", F.row_number().over(by_lot) - 1).where(F.col("slot") < n)
 

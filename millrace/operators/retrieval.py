@@ -109,6 +109,21 @@ def packed(ranked: DataFrame, budget: int = BUDGET, per_file: int = PER_FILE) ->
     return in_order(costs, "query_id", ["rank", "id", "file"], begin, f"query_id {kind}, place int, id long")
 
 
+def expanded(ranked: DataFrame, chunks: DataFrame, edges: DataFrame, first: int = 5, most: int = 10) -> DataFrame:
+    """query_id, place and chunk_id of what the best chunks of each query call or are called by.
+
+    Of the first chunks of code by rank that stand for a symbol, the symbols one step away are taken, at most most of them by key, and
+    of these the chunks that the query has not yet. ranked: query_id, rank, chunk_id. chunks: chunk_id, key (of its symbol; null where it stands
+    for a whole file or is no code). edges: src, dst (keys).
+    """
+    code = ranked.join(chunks.where("key IS NOT NULL").select("chunk_id", "key"), "chunk_id")
+    asked = code.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "chunk_id"))).where(F.col("n") <= first).select("query_id", "key")
+    steps = edges.select(F.col("src").alias("key"), F.col("dst").alias("other")).unionByName(edges.select(F.col("dst").alias("key"), F.col("src").alias("other")))
+    near = asked.join(steps, "key").select("query_id", F.col("other").alias("key")).distinct().join(asked, ["query_id", "key"], "left_anti")
+    few = near.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("key"))).where(F.col("place") <= most)
+    return few.join(chunks.select("key", "chunk_id"), "key").join(ranked.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").select("query_id", "place", "chunk_id")
+
+
 def evidence(scored: DataFrame, at: float = 0.5, fallback: int = 3) -> DataFrame:
     """query_id, id, rank and weak: chunks judged relevant (relevance >= at, scope >= at / 2), best first; if there are none, the fallback best."""
     good = (F.col("relevance") >= at) & (F.col("scope") >= at / 2)

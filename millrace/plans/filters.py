@@ -56,8 +56,8 @@ def severe_events(spark, folder):
 
 def suffix_paths(spark, folder):
     """Paths that are, or end with, a given one."""
-    d = table(spark, folder, "documents").select("doc_id", F.concat_ws("/", "lang", F.when(F.col("doc_id") % 2 == 0, F.lit("lib")), F.col("source")).alias("path"))
-    return d.where(P.at_path("path", "lib/src1")).select("doc_id", "path")
+    d = table(spark, folder, "documents").select("doc_id", F.concat_ws("/", F.when(F.col("doc_id") % 3 > 0, F.col("lang")), F.when(F.col("doc_id") % 2 == 0, F.lit("lib")), F.concat(F.lit("file"), F.col("doc_id") % 5)).alias("path"))
+    return d.where(P.at_path("path", "lib/file2")).select("doc_id", "path")
 
 
 def decode_issues(spark, folder):
@@ -114,7 +114,7 @@ ORACLES = {
 SELECT status, count(*) AS issues, 'default' AS filter FROM o WHERE status <> 'suppressed' GROUP BY 1 UNION ALL SELECT status, count(*), 'asked' FROM o WHERE status IN ('suppressed', 'open') GROUP BY 1""",
     "patched_customers": "SELECT c_custkey, coalesce('NEW', c_mktsegment) AS c_mktsegment, coalesce(NULL, c_nationkey) AS c_nationkey FROM customer",
     "severe_events": "SELECT CASE event_id % 5 WHEN 2 THEN 'error' ELSE 'critical' END AS severity, count(*) AS events FROM events WHERE event_id % 5 IN (2, 3) GROUP BY 1",
-    "suffix_paths": "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang || '/lib/' || source ELSE lang || '/' || source END AS path FROM documents) SELECT doc_id, path FROM d WHERE path = 'lib/src1' OR path LIKE '%/lib/src1'",
+    "suffix_paths": "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN lang || '/' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN 'lib/' ELSE '' END || 'file' || doc_id % 5 AS path FROM documents) SELECT doc_id, path FROM d WHERE path = 'lib/file2' OR path LIKE '%/lib/file2'",
     "decode_issues": "SELECT doc_id AS chunk_id, o_orderkey AS issue FROM documents JOIN orders ON 'issues/' || (doc_id * 2) = 'issues/' || o_orderkey",
     "first_parts": "SELECT p_partkey, p_brand, (SELECT count(*) FROM part) > 100 AS truncated FROM part ORDER BY p_brand, p_partkey LIMIT 100",
     "plain_texts": r"""WITH f AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]', '?', 'g') AS t FROM documents WHERE doc_id % 11 <> 0 AND regexp_matches(text, '[^\x20\x09-\x0D]')), c AS (SELECT doc_id, left(t, 16384) AS t FROM f)

@@ -96,3 +96,5 @@ ORACLES = {
 SELECT fingerprint, CASE WHEN old IS NULL THEN CASE WHEN occ = 0 AND supp > 0 THEN 'suppressed' ELSE 'new' END WHEN occ > 0 AND old = 'resolved' THEN 'regressed' WHEN occ > 0 AND old = 'suppressed' THEN CASE WHEN decoded THEN 'decoded' ELSE 'new' END WHEN occ = 0 AND supp > 0 AND old NOT IN ('acknowledged', 'resolved') THEN 'suppressed' ELSE old END AS status FROM s""",
     "retained_minutes": f"WITH {EVENTS_SQL} SELECT fingerprint, date_trunc('minute', occurred_at) AS bucket, {_COUNTS} FROM ev WHERE date_trunc('minute', occurred_at) >= TIMESTAMP '2024-01-11' GROUP BY 1, 2",
 }
+
+ORACLES["reservoir_samples"] = f"""WITH {EVENTS_SQL} SELECT fingerprint, event_id, CAST(row_number() OVER (PARTITION BY fingerprint, date_trunc('hour', received_at) ORDER BY md5('0:' || event_id), event_id) - 1 AS INT) AS slot FROM ev WHERE NOT suppressed QUALIFY slot < 20"""

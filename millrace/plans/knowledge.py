@@ -62,7 +62,12 @@ def decode_contexts(spark, folder):
     """What explains every fiftieth vector's issue: chunks of its frames, near code, similar issues and runbooks."""
     v = table(spark, folder, "embeddings")
     source = F.when(F.col("vec_id") % 5 == 1, "issue_decode").when(F.col("vec_id") % 5 == 2, "confluence").otherwise("code")
-    chunks = v.select(F.col("vec_id").alias("chunk_id"), source.alias("source"), F.concat(F.lit("src/m"), (F.col("vec_id") % 400).cast("string"), F.lit(".py")).alias("path"), F.lit("run").alias("symbol"), F.col("embedding").alias("vector"), (F.col("vec_id") - 1).alias("owner"))
+    # decodes and runbooks lie near the issue of their fifty, more or less
+    like = v.select((F.col("vec_id")).alias("like"), F.col("embedding").alias("other")).where("like % 50 = 0")
+    share = F.when(F.col("vec_id") % 5 == 1, F.lit(3.0)).when(F.col("vec_id") % 5 == 2, F.lit(2.0)).otherwise(F.lit(0.0))
+    near = F.zip_with("embedding", "other", lambda x, y: share * y.cast("double") + x.cast("double"))
+    mixed = v.withColumn("like", F.col("vec_id") - F.col("vec_id") % 50).join(like, "like").withColumn("embedding", near)
+    chunks = mixed.select(F.col("vec_id").alias("chunk_id"), source.alias("source"), F.concat(F.lit("src/m"), (F.col("vec_id") % 400).cast("string"), F.lit(".py")).alias("path"), F.lit("run").alias("symbol"), F.col("embedding").alias("vector"), (F.col("vec_id") - 1).alias("owner"))
     issues = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("issue"), F.col("embedding").alias("vector"))
     frames = issues.select("issue", F.lit(1).alias("place"), F.concat(F.lit("/app/src/m"), ((F.col("issue") + 3) % 400).cast("string"), F.lit(".py")).alias("file"), F.lit("run").alias("function"))
     return K.decode_context(issues, frames, chunks)
@@ -91,7 +96,8 @@ ORACLES = {
 SELECT start, node, distance FROM u QUALIFY row_number() OVER (PARTITION BY start ORDER BY distance, node) <= 20""",
     "replaced_edges": f"""WITH {EDGES_SQL}, e AS (SELECT *, regexp_replace(src, '[0-9]$', '') AS p FROM edge) SELECT kind, count(*) AS edges FROM e WHERE p NOT LIKE '%1' GROUP BY 1 UNION ALL SELECT upper(kind), count(*) FROM (SELECT DISTINCT * FROM e WHERE p LIKE '%1' AND kind <> 'subscribes') GROUP BY 1""",
     "retired_entities": f"WITH {ENTITIES_SQL}, {EDGES_SQL}, n AS (SELECT src AS id FROM edge WHERE kind <> 'owns' UNION SELECT dst FROM edge WHERE kind <> 'owns') SELECT id FROM ent WHERE owner IS NOT NULL AND id NOT IN (SELECT id FROM n)",
-    "decode_contexts": f"""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, CASE vec_id % 5 WHEN 1 THEN 'issue_decode' WHEN 2 THEN 'confluence' ELSE 'code' END AS source FROM embeddings),
+    "decode_contexts": f"""WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  v AS (SELECT x.id, [(CASE x.id % 5 WHEN 1 THEN CAST(3 AS DOUBLE) WHEN 2 THEN CAST(2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) * y.v[i] + x.v[i] FOR i IN range(1, len(x.v) + 1)] AS v, CASE x.id % 5 WHEN 1 THEN 'issue_decode' WHEN 2 THEN 'confluence' ELSE 'code' END AS source FROM e x JOIN e y ON y.id = x.id - x.id % 50),
   s AS (SELECT a.id AS issue, b.id AS chunk_id, b.source, {_COS} AS score FROM v a, v b WHERE a.id % 50 = 0),
   n AS (SELECT *, row_number() OVER (PARTITION BY issue, source ORDER BY score DESC, chunk_id) AS r FROM s),
   f AS (SELECT a.id AS issue, min(b.id) AS chunk_id FROM v a JOIN v b ON b.id % 400 = (a.id + 3) % 400 AND b.source = 'code' WHERE a.id % 50 = 0 AND length('src/m' || (b.id % 400) || '.py') > 0 GROUP BY 1),

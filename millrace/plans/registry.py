@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, deliveries, filters, graph, issues, knowledge, reports, retrieval, rules, signals, streams, system, text, usage
+from . import code, content, deliveries, filters, graph, issues, knowledge, reports, retrieval, rules, signals, streams, system, text, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (usage, text, reports, issues, graph, retrieval, rules, signals, streams, system, filters, knowledge, deliveries, code):
+for _module in (usage, text, reports, issues, graph, retrieval, rules, signals, streams, system, filters, knowledge, deliveries, code, content):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import map_severity, normalize_message
+from millrace.functions.text import let, map_severity, normalize_message
 
 STACK = "array<struct<module:string,function:string,file:string,line:int,in_app:boolean>>"
 FIELDS = ("source", "kind", "severity", "service", "environment", "title", "message", "exception_type", "rule_id", "group_id", "external_id", "resource_id", "occurred_at", "stack", "attrs")
@@ -28,8 +28,9 @@ def tags(doc: Column, path: str) -> Column:
     raw = F.get_json_object(doc, "$." + path)
     items = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, ","))
     pairs = F.transform(F.filter(items, lambda t: F.trim(t) != ""), lambda t: F.struct(F.trim(F.substring_index(t, ":", 1)).alias("k"), F.when(t.contains(":"), F.trim(F.substr(t, F.instr(t, ":") + 1))).otherwise("true").alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.coalesce(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])), F.create_map().cast("map<string,string>"))
+    # of equal keys the last one stays: its place is the last among its key's
+    last = lambda ps: F.map_from_entries(F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"])))
+    return F.coalesce(let(pairs, last), F.create_map().cast("map<string,string>"))
 
 
 def merged(first: Column, second: Column) -> Column:
@@ -115,13 +116,17 @@ def pagerduty(body: Column, headers: Column, config: Column) -> Column:
 
 
 def opsgenie(body: Column, headers: Column, config: Column) -> Column:
-    a, action = F.get_json_object(body, "$.alert"), get(body, "action")
-    labels, details = tags(a, "tags"), scalars(a, "details")
-    e = event(
+    action, a = get(body, "action"), F.get_json_object(body, "$.alert")
+    known = let(a, lambda a: F.struct(a.alias("a"), tags(a, "tags").alias("labels"), scalars(a, "details").alias("details"), action.alias("action")))
+    return F.when(action.isin("Create", "EscalateNext", "Escalate", "UnAcknowledge"), F.array(let(known, opsgenie_alert)))
+
+
+def opsgenie_alert(x: Column) -> Column:
+    a, action, labels, details = x["a"], x["action"], x["labels"], x["details"]
+    return event(
         source=F.lit("opsgenie"), kind=F.lit("alert"), external_id=F.concat_ws(":", get(a, "alertId"), action, F.coalesce(get(a, "updatedAt"), F.lit(""))), occurred_at=parsed_time(get(a, "updatedAt", "createdAt")), severity=map_severity(F.lit("opsgenie"), get(a, "priority"), F.lit("warning")), title=get(a, "message"), message=get(a, "description"),
         rule_id=get(a, "alias", "message"), service=F.coalesce(pick(details, "service"), pick(labels, "service"), get(a, "entity")), environment=F.coalesce(pick(details, "environment", "env"), pick(labels, "env", "environment")), attrs=merged(details, labels),
     )
-    return F.when(action.isin("Create", "EscalateNext", "Escalate", "UnAcknowledge"), F.array(e))
 
 
 def items(body: Column, *members: str) -> Column:
@@ -140,7 +145,9 @@ def datadog(body: Column, headers: Column, config: Column) -> Column:
         return ~move(v).contains("recover") & ~((move(v) == "") & kind.isin("success", "info"))
 
     def one(v: Column) -> Column:
-        t = tags(v, "tags")
+        return let(tags(v, "tags"), lambda t: alert(v, t))
+
+    def alert(v: Column, t: Column) -> Column:
         severity = F.when(F.upper(get(v, "priority")) == "P1", "critical").when(move(v).contains("warn"), "warning").otherwise(map_severity(F.lit("datadog"), F.lower(get(v, "alert_type")), F.lit("warning")))
         return event(source=F.lit("datadog"), kind=F.lit("alert"), external_id=get(v, "id", "event_id"), occurred_at=parsed_time(get(v, "date", "last_updated")), severity=severity, title=get(v, "title", "event_title"), message=get(v, "msg", "text", "body", "event_msg"), rule_id=get(v, "alert_id", "monitor_id", "aggreg_key"), service=pick(t, "service"), environment=pick(t, "env", "environment"), attrs=t)
 

@@ -65,3 +65,13 @@ def test_questions(spark):
     assert ask("Can you explain how the payment retries work?") == ask("how payment retry works") == "how payment retry work"
     assert ask("What uses src/api.go?") == "what use src/api.go"
     assert value(spark, T.identifiers, "PayRetry in src/a.go and snake_case Plain v2") == ["payretry", "snake_case", "src/a.go", "v2"]
+
+
+def test_hmac(spark):
+    import hashlib
+    import hmac
+
+    rows = [("k", "text"), ("", ""), ("k" * 64, "a"), ("é" * 40, "日本"), ("k" * 200, "x" * 1000), (None, "a"), ("k", None)]
+    got = spark.createDataFrame(rows, "k string, m string").select("k", "m", T.hmac_sha256(F.col("k"), F.col("m")).alias("s")).collect()
+    for r in got:
+        assert r.s == (None if r.k is None or r.m is None else hmac.new(r.k.encode(), r.m.encode(), hashlib.sha256).hexdigest())
