@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Words, hashes, mix, slices, stored, utf8
 
 #: Bytes of text in a shard. A larger one has fewer phrases that other shards count again, and takes more memory (about 40 bytes a byte).
-SHARD = 4 << 20
+SHARD = 3 << 20
 #: Bits of the table of what is frequent (16 MB). With more frequent words and pairs than an eighth of it, it spares less.
 BITS = 1 << 27
 #: Bits of the hashes that are merged: fewer bytes to exchange than all 64.
