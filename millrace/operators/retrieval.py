@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator, Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import estimate_tokens, same_identifiers
 from millrace.operators.folds import in_order
+from millrace.session import written
 
 FUSED, RRF_K, PER_FILE, BUDGET, ITEM_TOKENS = 20, 60, 3, 16000, 30
-#: Queries that one task holds against the chunks at once.
-QUERY_BLOCK = 1024
+#: Queries that every task holds at once; chunks that bound them from the start; pivots, rings of angles to each (to a radian) and chunks of a pack.
+QUERY_BLOCK, SAMPLE, PIVOTS, RINGS, PACK = 16_384, 4096, 64, 16, 1024
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -25,41 +27,101 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (F.size(a) <= 0) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, least: float | None = None, met: Accumulator | None = None) -> DataFrame:
     """query_id, id, rank and score: the k chunks nearest by cosine to each query, ties to the smaller id.
 
-    chunks, queries: id, vector (filtered before: a filter after top-k would lose hits). Exact. Queries come in blocks; every task holds its chunks
-    against each block by one matrix product and keeps k for each query, so what is exchanged grows with queries, not pairs.
+    chunks, queries: id, vector (filtered before: a filter after top-k would lose hits). Exact. Chunks are packed by the pivot that they are nearest to and
+    their angle to it; a query's angle to the pivot bounds its cosine with all of a pack, and packs that cannot hold one of its k nearest are passed over.
+    What a query has to beat is known from the start from a bounded sample of chunks, and grows with what a task finds. Each task tells the k nearest
+    of its packs for each query, so what is exchanged grows with queries, not pairs. met, if given, counts the pairs that were compared.
     """
     spark = chunks.sparkSession
     schema = "query_id long, id long, score double"
-    n = queries.count()
-    out = spark.createDataFrame([], schema)
-    numbered = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // QUERY_BLOCK)))))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    parts = chunks.select("id", "vector").withColumn("part", F.spark_partition_id())
-    rows = parts.groupBy("part", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 17)).alias("sub")).agg(F.collect_list(F.struct("id", "vector")).alias("chunks"))
+    n, out = queries.count(), spark.createDataFrame([], schema)
+    sample = chunks.select("vector", "id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
+    if n and len(sample):
+        known = unit(sample)
+        centres = pivots(known)
+        packs, blocks = packed_by_pivot(chunks, centres), max(1, -(-n // QUERY_BLOCK))
+        packs = written(packs, "packs") if blocks > 1 else packs
+        for block in range(blocks):  # a stated query set against all chunks, in blocks of a size that every task can hold
+            asked = queries.select("id", "vector").where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+            if not len(asked):
+                continue
+            q = unit(asked.column(1).combine_chunks())
+            floor = best_of(q, known, k)
+            floor = np.maximum(floor, least) if least is not None else floor
+            sent = spark.sparkContext.broadcast((asked.column(0).to_numpy(), q, np.arccos(np.clip(q @ centres.T, -1, 1)), floor))
+            out = out.unionByName(packs.mapInArrow(held_against(sent, k, met), schema))
+    if least is not None:
+        out = out.where(F.col("score") >= least)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def pivots(x: np.ndarray) -> np.ndarray:
+    """Rows of x that lie far from each other: each the farthest from those before."""
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(PIVOTS, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def best_of(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """The cosine of each row of q with its k-th nearest of x; -inf if x has fewer."""
+    if len(x) < k:
+        return np.full(len(q), -np.inf)
+    return np.concatenate([np.partition(q[i : i + 512] @ x.T, len(x) - k, axis=1)[:, len(x) - k] for i in range(0, len(q), 512)])
+
 
+def packed_by_pivot(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """pivot, low and high (least and greatest angle to it), and chunks: packs of about PACK chunks of one pivot and nearly one angle."""
+    kind = chunks.schema["vector"].dataType.simpleString()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cosines = unit(b.column(1)) @ centres.T if b.num_rows else np.zeros((0, len(centres)))
+            pivot = cosines.argmax(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pivot.astype(np.int32)), pa.array(np.arccos(np.clip(cosines[np.arange(len(pivot)), pivot], -1, 1)))], names=["id", "vector", "pivot", "angle"])
+
+    rows = chunks.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(near, f"id long, vector {kind}, pivot int, angle double").withColumn("ring", F.floor(F.col("angle") * RINGS))
+    # at most PIVOTS times the rings of half a circle
+    sizes = F.broadcast(rows.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / PACK).alias("packs")))
+    dealt = rows.join(sizes, ["pivot", "ring"]).withColumn("pack", F.pmod(F.xxhash64("id"), F.col("packs")))
+    return dealt.groupBy("pivot", "ring", "pack").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.collect_list(F.struct("id", "vector")).alias("chunks")).select("pivot", "low", "high", "chunks")
+
+
+def held_against(sent: Broadcast, k: int, met: Accumulator | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, angles, floor = sent.value
+        floor, found = floor.copy(), {}
         for b in batches:
-            for at in range(b.num_rows):
-                q, c = b.column(0)[at].values, b.column(1)[at].values
-                a, x = unit(q.field(1)), unit(c.field(1))
-                ids = c.field(0).to_numpy(zero_copy_only=False)
-                scores = a @ x.T
-                few = min(k, len(ids))
-                for i, own in enumerate(scores):
-                    bound = np.partition(own, len(own) - few)[len(own) - few]
-                    near = np.flatnonzero(own >= bound)
-                    near = near[np.lexsort((ids[near], -own[near]))][:few]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q.field(0)[i].as_py()), pa.int64()), pa.array(ids[near], pa.int64()), pa.array(own[near])], names=["query_id", "id", "score"])
-
-    met = rows.crossJoin(F.broadcast(blocks) if n <= QUERY_BLOCK else blocks).select("queries", "chunks")  # a stated query set, in blocks
-    found = out.unionByName(met.mapInArrow(run, schema))
-    if least is not None:
-        found = found.where(F.col("score") >= least)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            for pivot, low, high, chunks in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+                apart = np.maximum(0, np.maximum(angles[:, pivot] - high, low - angles[:, pivot]))
+                some = np.flatnonzero(np.cos(apart) >= floor - 1e-9)
+                x = unit(chunks.values.field(1)) if len(some) else None
+                ids = chunks.values.field(0).to_numpy(zero_copy_only=False)
+                if met is not None:
+                    met.add(len(some) * len(ids))
+                for part in np.split(some, range(256, len(some), 256)) if len(some) else ():
+                    scores = q[part] @ x.T
+                    for at, own in zip(part, scores, strict=True):
+                        near = np.flatnonzero(own >= floor[at] - 1e-9)
+                        if len(near):
+                            found[at], floor[at] = nearer(found.get(at), own[near], ids[near], k, floor[at])
+        for at, (scores, ids) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), names[at]), pa.int64()), pa.array(ids, pa.int64()), pa.array(scores)], names=["query_id", "id", "score"])
+
+    return run
+
+
+def nearer(held: tuple[np.ndarray, np.ndarray] | None, scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """The k best of what is held and what comes, ties to the smaller id, and what is to beat from now on."""
+    if held is not None:
+        scores, ids = np.concatenate([held[0], scores]), np.concatenate([held[1], ids])
+    best = np.lexsort((ids, -scores))[:k]
+    return (scores[best], ids[best]), max(floor, scores[best[-1]]) if len(best) == k else floor
 
 
 def unit(column: pa.Array) -> np.ndarray:
