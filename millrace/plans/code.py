@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import changes as C
+from millrace.operators import layers as L
 from millrace.operators import ownership as O
 from millrace.operators import snapshots as S
 from millrace.session import table
@@ -79,7 +80,44 @@ def deployed_services(spark, folder):
     return deployed_as(files).groupBy("repo", "service").agg(F.count("*").alias("files"))
 
 
-QUERIES = {f.__name__: f for f in (similar_files, change_feed, token_triage, owned_files, deployed_containers, deployed_services)}
+def pictures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as repositories with a service each, which use the brands of the parts they deliver as topics and their sizes as stores, and call those who order."""
+    nation = table(spark, folder, "nation")
+    repo, service = F.concat(F.lit("r"), "n_nationkey"), F.concat(F.lit("s"), "n_nationkey")
+    none = F.lit(None).cast("string")
+    part = table(spark, folder, "part")
+    shared = part.select(F.concat(F.lit("t"), "p_brand").alias("id"), F.lit("queue_topic").alias("kind"), F.col("p_brand").alias("name")).unionByName(part.select(F.concat(F.lit("d"), "p_size").alias("id"), F.lit("datastore").alias("kind"), F.col("p_size").cast("string").alias("name"))).distinct()
+    entities = nation.select(service.alias("id"), F.lit("service").alias("kind"), F.lower("n_name").alias("name"), F.lit("").alias("key"), repo.alias("repo")).unionByName(shared.select("id", "kind", "name", F.lit("").alias("key"), none.alias("repo")))
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_nationkey").alias("n"), "l_partkey", "l_orderkey", "l_linenumber")
+    uses = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("n", "p_brand", "p_size", (F.col("l_linenumber") % 2 == 0).alias("even"))
+    topics = uses.select("n", F.concat(F.lit("t"), "p_brand").alias("dst"), F.when(F.col("even"), "publishes").otherwise("subscribes").alias("kind"))
+    stores = uses.select("n", F.concat(F.lit("d"), "p_size").alias("dst"), F.lit("uses").alias("kind"))
+    orders = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_nationkey").alias("c"))
+    calls = lines.join(orders, "l_orderkey").where("n < c and (n * 7 + c) % 3 = 0").select("n", F.concat(F.lit("s"), "c").alias("dst"), F.lit("calls").alias("kind"))
+    edges = topics.unionByName(stores).unionByName(calls).distinct().select(F.concat(F.lit("s"), "n").alias("src"), "dst", "kind", F.concat(F.lit("r"), "n").alias("repo"))
+    return L.architecture(entities, edges, nation.select(repo.alias("repo"), F.lower("n_name").alias("name")))
+
+
+def architecture_boxes(spark, folder):
+    return pictures(spark, folder)[0]
+
+
+def architecture_links(spark, folder):
+    return pictures(spark, folder)[1]
+
+
+QUERIES = {f.__name__: f for f in (similar_files, change_feed, token_triage, owned_files, deployed_containers, deployed_services, architecture_boxes, architecture_links)}
+_PICTURES = """li AS MATERIALIZED (SELECT s_nationkey AS n, l_partkey, l_orderkey, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+  e AS MATERIALIZED (SELECT DISTINCT n, 't' || p_brand AS dst, CASE WHEN l_linenumber % 2 = 0 THEN 'publishes' ELSE 'subscribes' END AS kind, 'messaging' AS layer, p_brand AS name FROM li JOIN part ON p_partkey = l_partkey
+    UNION ALL SELECT DISTINCT n, 'd' || p_size, 'uses', 'data', CAST(p_size AS VARCHAR) FROM li JOIN part ON p_partkey = l_partkey
+    UNION ALL SELECT DISTINCT n, 's' || c_nationkey, 'calls', 'call', '' FROM li JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE n < c_nationkey AND (n * 7 + c_nationkey) % 3 = 0),
+  deg AS (SELECT id, count(*) AS size FROM (SELECT 's' || n AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
+  boxes AS (SELECT 'r' || n_nationkey AS repo, 'core' AS layer, 's' || n_nationkey AS node, 'service' AS kind, lower(n_name) AS name, coalesce(size, 0) AS size FROM nation LEFT JOIN deg ON id = 's' || n_nationkey
+    UNION ALL SELECT DISTINCT 'r' || n, layer, dst, CASE layer WHEN 'data' THEN 'datastore' ELSE 'queue_topic' END, name, size FROM e JOIN deg ON id = dst WHERE layer <> 'call'
+    UNION ALL SELECT 'r' || n, 'downstream', 'repo:r' || dst[2:], 'repo', lower(n_name), 0 FROM e JOIN nation ON 's' || n_nationkey = dst WHERE layer = 'call'
+    UNION ALL SELECT 'r' || dst[2:], 'upstream', 'repo:r' || n, 'repo', lower(n_name), 0 FROM e JOIN nation ON n_nationkey = n WHERE layer = 'call'),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY repo, layer ORDER BY size DESC, name, node) AS place, CASE layer WHEN 'core' THEN 9 WHEN 'messaging' THEN 12 WHEN 'data' THEN 10 WHEN 'upstream' THEN 10 ELSE 12 END AS cap FROM boxes),
+  kept AS (SELECT * FROM placed WHERE place <= cap)"""
 ORACLES = {
     "similar_files": r"""WITH old AS (SELECT source || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS content FROM documents WHERE doc_id % 7 < 3),
   new AS (SELECT 'moved/' || source || '/' || doc_id || '.txt' AS path, coalesce(text, '') || CASE WHEN doc_id % 7 = 1 THEN chr(10) || 'the last line of ' || doc_id ELSE '' END AS content FROM documents WHERE doc_id % 7 IN (1, 2)),
@@ -94,4 +132,9 @@ SELECT CASE WHEN reason IN ('changed', 'moved') THEN 'proceed' ELSE 'abort' END
 SELECT repo, path, (['@acme/' || repo, '@acme/' || repo, '@test', '@docs @acme/' || repo, '', '@web', '@lib', '@web'])[k + 1] AS owners, (['*', '*', '/src/**/test_*.py', '/docs/', '/docs/internal/', '*.js', 'lib', '*.js'])[k + 1] AS pattern, CAST(([2, 2, 6, 4, 7, 3, 8, 3])[k + 1] AS BIGINT) AS line FROM f""",
     "deployed_containers": """SELECT source AS repo, 'deploy/k8s/' || doc_id || '.yaml' AS path, CAST(0 AS BIGINT) AS document, 'Deployment' AS kind, 'svc-' || doc_id AS name, 'main' AS container, 'acme/' || source || ':' || n_chars AS image, 'LANG_' || lang || ',MODE' AS env, CAST(doc_id % 9000 + 1000 AS VARCHAR) AS ports FROM documents""",
     "deployed_services": """SELECT repo, service, count(*) AS files FROM (SELECT DISTINCT source AS repo, 'svc-' || doc_id % 50 AS service, lang, doc_id % 4 AS k FROM documents) GROUP BY 1, 2""",
+    "architecture_boxes": f"""WITH {_PICTURES} SELECT repo, layer, CAST(place AS INT) AS place, node, kind, name, CAST(size AS BIGINT) AS size FROM kept
+  UNION ALL SELECT repo, layer, CAST(cap + 1 AS INT), 'others:' || layer, 'others', 'others', count(*) FROM placed WHERE place > cap GROUP BY repo, layer, cap""",
+    "architecture_links": f"""WITH {_PICTURES}, l AS (SELECT 'r' || n AS repo, CASE kind WHEN 'subscribes' THEN dst ELSE 's' || n END AS src, CASE kind WHEN 'subscribes' THEN 's' || n WHEN 'calls' THEN 'repo:r' || dst[2:] ELSE dst END AS dst, kind FROM e
+    UNION ALL SELECT 'r' || dst[2:], 'repo:r' || n, dst, kind FROM e WHERE kind = 'calls')
+SELECT l.repo, src, l.dst, l.kind, count(*) AS weight FROM l WHERE EXISTS (SELECT 1 FROM kept k WHERE k.repo = l.repo AND k.node = src) AND EXISTS (SELECT 1 FROM kept k WHERE k.repo = l.repo AND k.node = l.dst) GROUP BY ALL""",
 }
