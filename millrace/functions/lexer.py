@@ -11,7 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 LANGUAGES = {
     "go": ("go",), "java": ("java",), "python": ("py", "pyi"), "typescript": ("ts", "mts", "cts", "tsx"), "javascript": ("js", "mjs", "cjs", "jsx"), "rust": ("rs",),
@@ -118,6 +118,29 @@ def nested_end(source: str, at: int) -> int:
     return len(source)
 
 
+def without_remarks(source: str, language: str) -> tuple[str, str]:
+    """A file with its comments blanked, lines kept: once with the insides of its texts blanked too, once with those of one line left."""
+    scan, code, quoted, at = SCANNERS[language], [], [], 0
+    while at < len(source):
+        m = scan.match(source, at)
+        kind, own, at = m.lastgroup, m[0], m.end()
+        if kind == "nested":
+            at = nested_end(source, at)
+            own = source[m.start() : at]
+        if kind in ("comment", "nested"):
+            gone = re.sub(r"[^\n]", " ", own)
+            code.append(gone)
+            quoted.append(gone)
+        elif kind in ("text", "fence"):
+            gone = '"' + re.sub(r"[^\n]", " ", own[1:-1]) + ('"' if len(own) > 1 else "")
+            code.append(gone)
+            quoted.append(gone if "\n" in own else own)
+        else:
+            code.append(own)
+            quoted.append(own)
+    return "".join(code), "".join(quoted)
+
+
 def language_of(path: Column) -> Column:
     """The language of a path by its ending; null for others."""
     table = F.create_map(*(F.lit(x) for kv in BY_ENDING.items() for x in kv))
@@ -141,3 +164,14 @@ def _key(language: pd.Series, source: pd.Series) -> pd.Series:
 def significant_key(path: Column, source: Column) -> Column:
     """A hash that two contents share if they differ in nothing that matters; null for other languages and where there is no content."""
     return _key(language_of(path), source)
+
+
+@F.pandas_udf(StructType([StructField("code", StringType()), StructField("quoted", StringType())]))
+def _bare(language: pd.Series, source: pd.Series) -> pd.DataFrame:
+    both = [without_remarks(b or "", a) if a in SCANNERS else (None, None) for a, b in zip(language, source, strict=True)]
+    return pd.DataFrame(both, columns=["code", "quoted"], dtype=object)
+
+
+def bare(path: Column, source: Column) -> Column:
+    """code and quoted: a content without comments and texts, and without comments and texts of several lines; lines stay. Null for other languages."""
+    return _bare(language_of(path), source)

@@ -9,6 +9,7 @@ from millrace.operators import changes as C
 from millrace.operators import layers as L
 from millrace.operators import ownership as O
 from millrace.operators import snapshots as S
+from millrace.operators import symbols as Y
 from millrace.session import table
 from millrace.sources.deployments import deployed_as, deployments
 
@@ -80,6 +81,25 @@ def deployed_services(spark, folder):
     return deployed_as(files).groupBy("repo", "service").agg(F.count("*").alias("files"))
 
 
+def written_modules(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document as a Python file of its source's repository, with its text as a remark: it imports from the files of other documents, and calls them."""
+    d = table(spark, folder, "documents")
+    half, third = (F.floor(F.col("doc_id") / n).cast("string") for n in (2, 3))
+    content = F.concat(
+        F.lit("# "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n# ")), F.lit("\nfrom .m"), half, F.lit(" import f"), half, F.lit(" as g\nimport pkg.m"), third, F.lit(" as y\ndef f"), F.col("doc_id").cast("string"), F.lit("(x):\n    g(x)\n    y.f"), third,
+        F.lit('(y.C.make("g()"))\n    other()\nclass C:\n    def make(self):\n        return self.more()\n    def more(self):\n        f'), F.col("doc_id").cast("string"), F.lit("(1)\n"),
+    )
+    return d.select(F.coalesce("source", F.lit("none")).alias("repo"), F.format_string("pkg/m%s.py", "doc_id").alias("path"), content.alias("content"))
+
+
+def resolved_calls(spark, folder):
+    return Y.call_edges(written_modules(spark, folder))
+
+
+def imported_files(spark, folder):
+    return Y.import_edges(written_modules(spark, folder))
+
+
 def pictures(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Nations as repositories with a service each, which use the brands of the parts they deliver as topics and their sizes as stores, and call those who order."""
     nation = table(spark, folder, "nation")
@@ -106,7 +126,7 @@ def architecture_links(spark, folder):
     return pictures(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (similar_files, change_feed, token_triage, owned_files, deployed_containers, deployed_services, architecture_boxes, architecture_links)}
+QUERIES = {f.__name__: f for f in (similar_files, change_feed, token_triage, owned_files, deployed_containers, deployed_services, resolved_calls, imported_files, architecture_boxes, architecture_links)}
 _PICTURES = """li AS MATERIALIZED (SELECT s_nationkey AS n, l_partkey, l_orderkey, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
   e AS MATERIALIZED (SELECT DISTINCT n, 't' || p_brand AS dst, CASE WHEN l_linenumber % 2 = 0 THEN 'publishes' ELSE 'subscribes' END AS kind, 'messaging' AS layer, p_brand AS name FROM li JOIN part ON p_partkey = l_partkey
     UNION ALL SELECT DISTINCT n, 'd' || p_size, 'uses', 'data', CAST(p_size AS VARCHAR) FROM li JOIN part ON p_partkey = l_partkey
@@ -132,6 +152,14 @@ SELECT CASE WHEN reason IN ('changed', 'moved') THEN 'proceed' ELSE 'abort' END
 SELECT repo, path, (['@acme/' || repo, '@acme/' || repo, '@test', '@docs @acme/' || repo, '', '@web', '@lib', '@web'])[k + 1] AS owners, (['*', '*', '/src/**/test_*.py', '/docs/', '/docs/internal/', '*.js', 'lib', '*.js'])[k + 1] AS pattern, CAST(([2, 2, 6, 4, 7, 3, 8, 3])[k + 1] AS BIGINT) AS line FROM f""",
     "deployed_containers": """SELECT source AS repo, 'deploy/k8s/' || doc_id || '.yaml' AS path, CAST(0 AS BIGINT) AS document, 'Deployment' AS kind, 'svc-' || doc_id AS name, 'main' AS container, 'acme/' || source || ':' || n_chars AS image, 'LANG_' || lang || ',MODE' AS env, CAST(doc_id % 9000 + 1000 AS VARCHAR) AS ports FROM documents""",
     "deployed_services": """SELECT repo, service, count(*) AS files FROM (SELECT DISTINCT source AS repo, 'svc-' || doc_id % 50 AS service, lang, doc_id % 4 AS k FROM documents) GROUP BY 1, 2""",
+    "resolved_calls": """WITH d AS (SELECT coalesce(source, 'none') AS repo, doc_id, coalesce(length(text) - length(replace(text, chr(10), '')), 0) AS n, doc_id // 2 AS k, doc_id // 3 AS j FROM documents),
+  c AS (SELECT repo, doc_id, 'f' || doc_id AS symbol, 'g' AS callee, n + 5 AS line, k AS t, 'f' || k AS meant FROM d UNION ALL SELECT repo, doc_id, 'f' || doc_id, 'y.f' || j, n + 6, j, 'f' || j FROM d
+    UNION ALL SELECT repo, doc_id, 'f' || doc_id, 'y.C.make', n + 6, j, 'C.make' FROM d UNION ALL SELECT repo, doc_id, 'f' || doc_id, 'other', n + 7, NULL, NULL FROM d),
+  r AS (SELECT c.repo, 'pkg/m' || c.doc_id || '.py' AS path, symbol, callee, line, CASE WHEN d.doc_id IS NOT NULL THEN 'import' END AS how, 'pkg/m' || d.doc_id || '.py' AS to_path, CASE WHEN d.doc_id IS NOT NULL THEN meant END AS to_symbol FROM c LEFT JOIN d ON d.repo = c.repo AND d.doc_id = c.t
+    UNION ALL SELECT repo, 'pkg/m' || doc_id || '.py', 'C.make', 'self.more', n + 10, 'file', 'pkg/m' || doc_id || '.py', 'C.more' FROM d UNION ALL SELECT repo, 'pkg/m' || doc_id || '.py', 'C.more', 'f' || doc_id, n + 12, 'file', 'pkg/m' || doc_id || '.py', 'f' || doc_id FROM d)
+SELECT repo, path, symbol, callee, CAST(line AS BIGINT) AS line, how, to_path, to_symbol FROM r WHERE NOT coalesce(path = to_path AND symbol = to_symbol, false)""",
+    "imported_files": """WITH d AS (SELECT coalesce(source, 'none') AS repo, doc_id FROM documents), i AS (SELECT repo, doc_id, doc_id // 2 AS t FROM d UNION SELECT repo, doc_id, doc_id // 3 FROM d)
+SELECT i.repo, 'pkg/m' || i.doc_id || '.py' AS path, 'pkg/m' || t AS to_unit FROM i JOIN d ON d.repo = i.repo AND d.doc_id = t WHERE t <> i.doc_id""",
     "architecture_boxes": f"""WITH {_PICTURES} SELECT repo, layer, CAST(place AS INT) AS place, node, kind, name, CAST(size AS BIGINT) AS size FROM kept
   UNION ALL SELECT repo, layer, CAST(cap + 1 AS INT), 'others:' || layer, 'others', 'others', count(*) FROM placed WHERE place > cap GROUP BY repo, layer, cap""",
     "architecture_links": f"""WITH {_PICTURES}, l AS (SELECT 'r' || n AS repo, CASE kind WHEN 'subscribes' THEN dst ELSE 's' || n END AS src, CASE kind WHEN 'subscribes' THEN 's' || n WHEN 'calls' THEN 'repo:r' || dst[2:] ELSE dst END AS dst, kind FROM e
