@@ -64,7 +64,7 @@ def unit(path: Column) -> Column:
 def scanned(files: DataFrame) -> DataFrame:
     """repo, path, lang, code and quoted: contents without comments, and in code without texts. files: repo, path, content."""
     kind = family(F.col("path"))
-    known = files.select("repo", "path", kind.alias("lang"), F.coalesce("content", F.lit("")).alias("content")).where("lang IS NOT NULL AND path IS NOT NULL").dropDuplicates(["repo", "path"])
+    known = files.select("repo", "path", kind.alias("lang"), F.coalesce("content", F.lit("")).alias("content")).where("lang IS NOT NULL AND path IS NOT NULL").groupBy("repo", "path", "lang").agg(F.min("content").alias("content"))
     return known.withColumn("b", bare(F.col("path"), F.col("content"))).select("repo", "path", "lang", "b.code", "b.quoted")
 
 
@@ -168,8 +168,8 @@ def go_modules(files: DataFrame) -> DataFrame:
 def call_edges(files: DataFrame, rounds: int = 4) -> DataFrame:
     """All calls: repo, path, symbol (the caller; empty: the file), callee, line, how, to_path and to_symbol; one row for each definition that is meant.
 
-    files: repo, path, content, in Go, Python, TypeScript and JavaScript; others, null paths and repeated paths after the first found are left out, a null
-    content is empty. how is file (a definition of that name in the same file, called plainly or through self or this), scope (the same Go package),
+    files: repo, path, content, in Go, Python, TypeScript and JavaScript; others and null paths are left out, of a repeated path the
+    smallest content counts, a null content is empty. how is file (a definition of that name in the same file, called plainly or through self or this), scope (the same Go package),
     import (through what the file imports, also where that imports it in turn, up to rounds times) or null: not resolved, with null targets. Calls
     through values need types and are not resolved.
     """

@@ -111,5 +111,5 @@ def test_imports_within_the_repository(spark):
 
 def test_nothing_empty_repeated_and_other_files(spark):
     assert call_edges(table(spark, {})).collect() == [] and import_edges(table(spark, {})).collect() == []
-    files = spark.createDataFrame([("r", "a.py", None), ("r", "b.txt", "f()"), ("r", None, "f()"), ("r", "c.py", "f()\n"), ("r", "c.py", "f()\n"), (None, "d.py", "g()")], "repo string, path string, content string")
+    files = spark.createDataFrame([("r", "a.py", None), ("r", "b.txt", "f()"), ("r", None, "f()"), ("r", "c.py", "z()\n"), ("r", "c.py", "f()\n"), ("r", "c.py", "f()\n"), (None, "d.py", "g()")], "repo string, path string, content string")
     assert sorted((r.path, r.callee, r.how) for r in call_edges(files.withColumn("line", files.path)).collect()) == [("c.py", "f", None), ("d.py", "g", None)]
