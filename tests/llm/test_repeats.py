@@ -7,7 +7,7 @@ import pytest
 
 from millrace.llm import repeats
 from millrace.llm.automata import Automaton, substring_dedup
-from millrace.llm.prefix_free import corpus_order, suffix_dedup
+from millrace.llm.prefix_free import corpus_order, solve, suffix_dedup
 
 SCHEMA = "doc_id long, text string, removed string, kept int, `key` long, anchor string"
 
@@ -95,6 +95,36 @@ def test_hot_anchors(spark, monkeypatch, least, shard):
     check_bytes(spark, rows)
 
 
+@pytest.mark.parametrize("shard", [4096, 1])
+def test_segments_within_a_text_go_once(spark, monkeypatch, shard):
+    """A text that says a passage over and over sends each of its windows once, to a solver or by itself."""
+    sent = []
+    stored = repeats.stored
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name == "sent":
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(repeats, "stored", kept)
+    monkeypatch.setattr(repeats, "SHARD", shard)
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join([*passage, f"own{i}"] * 6 + passage[: 150 - i])) for i in range(4)] + [(9, " ".join(passage[20:] + ["end"]))]
+    check_words(spark, rows)
+    check_bytes(spark, rows)
+    assert len(sent) == 2
+    for df in sent:
+        assert df.count() == df.distinct().count() > 0
+
+
+def test_windows_of_repeated_ids_come_back_once(spark):
+    rows = [(1, key, content, None, n, 100 + n) for key, content in ((5, 7), (5, 7), (6, 8)) for n in range(3)]
+    sent = spark.createDataFrame(rows, "anchor long, key long, content long, units binary, n int, window long")
+    got = {r.key: [(s.content, sorted(s["at"])) for s in r.solved] for r in repeats.settled(sent, repeats.Plan(repeats.octets, 400, 160, False, solve)).collect()}
+    assert got == {5: [(7, [0, 1, 2])], 6: [(8, [0, 1, 2])]}
+
+
 def test_whole_copies_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(200))
     check_words(spark, [(i, text) for i in range(300)])
