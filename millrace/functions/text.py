@@ -31,8 +31,8 @@ NORMAL_FORMS = [
     (r"(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}", "<ip>", ":"),
     (r"\"[^\"]*\"|'[^']*'|`[^`]*`", "<str>", ""),
     (r"(?:[a-z][a-z0-9+.-]*:)?(?:/[^\t\n\f\r /]*)*/[^\t\n\f\r /]*[0-9][^\t\n\f\r ]*", "<path>", "0/"),
-    # a token of hex digits with a letter and a digit in it, of eight characters or more after 0x
-    (start("0-9a-f") + r"(?=(?:0x)?[0-9a-f]{8})(?:0x)?(?:[0-9a-f]*[0-9][0-9a-f]*[a-f][0-9a-f]*|[0-9a-f]*[a-f][0-9a-f]*[0-9][0-9a-f]*)" + END, "<hex>", "0"),
+    # a token of eight hex digits or more: any after 0x, with a letter and a digit among them otherwise
+    (start("0-9a-f") + r"(?:0x[0-9a-f]{8,}|(?=[0-9a-f]{8})(?:[0-9a-f]*[0-9][0-9a-f]*[a-f][0-9a-f]*|[0-9a-f]*[a-f][0-9a-f]*[0-9][0-9a-f]*))" + END, "<hex>", "0"),
     (start("0-9") + r"[0-9]+(?:\.[0-9]+)?", "<n>", "0"),
 ]
 NORMAL_BYTES = 512

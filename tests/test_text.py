@@ -18,6 +18,8 @@ def value(spark, expression, x):
         ("GET /orders/123/items 10.0.0.1:80 'x y'", "get <path> <ip> <str>"),
         ("at 0xdeadbeef01 e2e utf8 1.5s", "at <hex> e2e utf8 <n>s"),
         ("  many   spaces\n", "many spaces"),
+        # after 0x digits or letters alone are enough, elsewhere both must be there
+        ("at 0xFBABBCCF and 0x100012345, 0xabcdefg1 0x1234567 fbabbccf 100012345 fbab0ccf", "at <hex> and <hex>, <n>xabcdefg1 <n>x1234567 fbabbccf <n> <hex>"),
         ("é" * 400, "é" * 256),
     ],
 )
