@@ -44,10 +44,11 @@ def missing(stored: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upserted(table: DataFrame, delta: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """table with delta's rows in place of those with the same keys; of several the last by order."""
+    """table with delta's rows in place of those with the same keys; of several the last by order, and of those that tie the one with the greatest values."""
     both = table.withColumn("__from", F.lit(0)).unionByName(delta.withColumn("__from", F.lit(1)))
     rest = [c for c in table.columns if c not in keys]
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("__from", order)).alias("row"))
+    ordered = [c for c, kind in table.dtypes if c in rest and "map<" not in kind and "variant" not in kind]  # maps and variants have no order
+    last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("__from", order, *ordered)).alias("row"))
     return last.select(*keys, "row.*").select(*table.columns)
 
 

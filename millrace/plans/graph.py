@@ -107,9 +107,10 @@ def missing_pairs(spark, folder):
 
 
 def folded_chunks(spark, folder):
-    old = stored_chunks(spark, folder).select("id", "path", "hash", F.lit(0).alias("seq"))
-    new = fresh_chunks(spark, folder).select("id", "path", "hash", (F.col("ordinal") % 1000).cast("int").alias("seq"))
-    return C.upserted(old, new, ["id"], "seq")
+    """Stored chunks with the fresh ones in their place, the last by its whole ordinal: two of one id have the same seq."""
+    old = stored_chunks(spark, folder).select("id", "path", "hash", F.lit(0).alias("seq"), F.lit(0).cast("long").alias("ordinal"))
+    new = fresh_chunks(spark, folder).select("id", "path", "hash", (F.col("ordinal") % 1000).cast("int").alias("seq"), "ordinal")
+    return C.upserted(old, new, ["id"], "ordinal").drop("ordinal")
 
 
 def rekeyed_vectors(spark, folder):
