@@ -50,8 +50,9 @@ def queue_events(spark, folder):
     """Rules over readings: parts as queues, line items as their readings."""
     li = table(spark, folder, "lineitem")
     kind = F.when(F.col("l_partkey") % 3 == 0, "dlq").when(F.col("l_partkey") % 3 == 1, "lag").otherwise("failures")
-    readings = li.select(F.lit("k").alias("connector_id"), F.col("l_partkey").cast("string").alias("resource"), kind.alias("condition"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("now"), (F.col("l_quantity") * 100).cast("long").alias("backlog"), F.lit(0).cast("long").alias("age"), F.when(F.col("l_quantity") > 45, F.col("l_quantity").cast("long")).otherwise(0).alias("failures"), F.array(F.col("l_returnflag")).alias("classes"), F.lit(True).alias("newest"), "l_orderkey", "l_linenumber")
-    readings = readings.groupBy("connector_id", "resource", "condition", "now").agg(F.max("backlog").alias("backlog"), F.max("age").alias("age"), F.max("failures").alias("failures"), F.sort_array(F.collect_set(F.col("classes")[0])).alias("classes"), F.max("newest").alias("newest"))
+    readings = li.select(F.col("l_partkey").cast("string").alias("resource"), kind.alias("condition"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("now"), (F.col("l_quantity") * 100).cast("long").alias("backlog"), F.when(F.col("l_quantity") > 45, F.col("l_quantity").cast("long")).otherwise(0).alias("failures"), F.col("l_returnflag").alias("class"))
+    readings = readings.repartition("resource")  # the only shuffle of the readings: their groups and the rules need no other
+    readings = readings.groupBy(F.lit("k").alias("connector_id"), "resource", "condition", "now").agg(F.max("backlog").alias("backlog"), F.lit(0).cast("long").alias("age"), F.max("failures").alias("failures"), F.sort_array(F.collect_set("class")).alias("classes"), F.lit(True).alias("newest"))
     return stateful.bus_events_batch(readings).groupBy("event", "severity", "error_class").agg(F.count("*").alias("events"), F.sum("amount").alias("amount"))
 
 

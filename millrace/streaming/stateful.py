@@ -6,12 +6,15 @@ The transitions are plain functions of a state and an input; the stream keeps a
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 HOUR, HISTORY = 3600, 7 * 24
@@ -83,12 +86,17 @@ def dead_letters(state: BusState, depth: int | None, classes: list[str], newest:
     return [(c, added) for c in sorted(set(classes))] or [("", added)]
 
 
+def known(x: float | None) -> int | None:
+    """A number as a whole one; none for null and NaN."""
+    return None if x is None or x != x else int(x)
+
+
 def evaluate(state: BusState, row: Any, t: Thresholds) -> list[dict]:
     """Events of one reading: condition (lag, dlq, failures), now, backlog, age, failures, classes, newest."""
     if row.condition == "lag":
-        found = [{"event": e, "severity": s, "error_class": "", "amount": n} for e, s, n in lag(state, int(row.now), None if pd.isna(row.backlog) else int(row.backlog), int(row.age or 0), t)]
+        found = [{"event": e, "severity": s, "error_class": "", "amount": n} for e, s, n in lag(state, int(row.now), known(row.backlog), int(row.age or 0), t)]
     elif row.condition == "dlq":
-        found = [{"event": "dlq", "severity": "error", "error_class": c, "amount": n} for c, n in dead_letters(state, None if pd.isna(row.backlog) else int(row.backlog), list(row.classes), bool(row.newest))]
+        found = [{"event": "dlq", "severity": "error", "error_class": c, "amount": n} for c, n in dead_letters(state, known(row.backlog), list(row.classes), bool(row.newest))]
     else:
         found = [{"event": "failures", "severity": "error", "error_class": "", "amount": int(row.failures)}] if row.failures and row.failures > 0 else []
     return [f | {"now": int(row.now)} for f in found]
@@ -127,16 +135,25 @@ def bus_events(readings: DataFrame, thresholds: Thresholds | None = None) -> Dat
 
 
 def bus_events_batch(readings: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:
-    """The same over a table: each resource's readings (a few an hour, for a week or two) in one fold."""
+    """The same over a table: tasks go through the readings of one resource after the other, in time order, and hold the state of one."""
     t = thresholds or Thresholds()
-
-    def fold(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = BusState(), []
-        for row in rows.sort_values("now", kind="stable").itertuples():
-            out += [dict(zip(("connector_id", "resource"), key, strict=True)) | e for e in evaluate(state, row, t)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in BUS_OUTPUT.split(", ")])
-
-    return readings.groupBy("connector_id", "resource").applyInPandas(fold, BUS_OUTPUT)
+    columns = ["condition", "now", "backlog", "age", "failures", "classes", "newest"]
+    of = Window.partitionBy("connector_id", "resource").orderBy("now")  # brings a resource's readings together, unless they are, and sorts them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reading, state = namedtuple("reading", columns), BusState()
+        for batch in batches:
+            places, out = [], []
+            for i, (n, *values) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", *columns)), strict=True)):
+                state = BusState() if n == 1 else state
+                for e in evaluate(state, reading(*values), t):
+                    places.append(i)
+                    out.append(e)
+            keys = [batch.column(c).take(pa.array(places, pa.int64())) for c in ("connector_id", "resource")]
+            found = [pa.array([e[c] for e in out], kind) for c, kind in (("event", pa.string()), ("severity", pa.string()), ("error_class", pa.string()), ("amount", pa.int64()), ("now", pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*keys, *found], names=[c.split()[0] for c in BUS_OUTPUT.split(", ")])
+
+    return readings.withColumn("n", F.row_number().over(of)).select("connector_id", "resource", "n", *columns).mapInArrow(run, BUS_OUTPUT)
 
 
 def next_status(status: str | None, occurrences: int, suppressed: int, decoded: bool) -> str:
