@@ -85,13 +85,19 @@ def terms(text: Column, services: Column | None = None) -> Column:
 def frame_chunks(frames: DataFrame, chunks: DataFrame) -> DataFrame:
     """The best chunk for each frame: its path ends with the chunk's or the reverse, the frame's function as symbol first, then the longest path, then the id.
 
-    Met by file name, so that the suffix test sees few rows. frames: frame_id, file, function. chunks: chunk_id, path, symbol.
+    Files and paths meet by their endings, each once with each function and symbol: of equal paths and symbols the least id counts. frames: frame_id, file, function.
+    chunks: chunk_id, path, symbol.
     """
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    f, c = frames.withColumn("name", name(F.col("file"))), chunks.withColumn("name", name(F.col("path")))
-    met = f.join(c, "name").where((F.col("file") == F.col("path")) | F.col("file").endswith(F.concat(F.lit("/"), F.col("path"))) | F.col("path").endswith(F.concat(F.lit("/"), F.col("file"))))
+    parts = lambda c: F.split(c, "/")
+    endings = lambda c, first: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.when(i >= first, F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/")))
+    wanted = frames.where("file IS NOT NULL").select("file", "function").distinct()
+    held = chunks.where("path IS NOT NULL").groupBy("path", "symbol").agg(F.min("chunk_id").alias("chunk_id"))
+    below = wanted.select("file", "function", F.explode(F.array_compact(endings(F.col("file"), 1))).alias("path")).join(held, "path")
+    above = held.select("path", "symbol", "chunk_id", F.explode(F.array_compact(endings(F.col("path"), 2))).alias("file")).join(wanted, "file")
     order = F.struct((F.coalesce(F.col("symbol") != F.col("function"), F.lit(True))).alias("a"), (-F.length("path")).alias("b"), F.col("chunk_id"))
-    return met.groupBy("frame_id").agg(F.min_by("chunk_id", order).alias("chunk_id"))
+    best = below.unionByName(above).groupBy("file", F.col("function").alias("__function")).agg(F.min(order).alias("best")).withColumnRenamed("file", "__file")
+    met = frames.join(best, (F.col("file") == F.col("__file")) & F.col("function").eqNullSafe(F.col("__function")))
+    return met.groupBy("frame_id").agg(F.min("best").alias("best")).select("frame_id", F.col("best.chunk_id").alias("chunk_id"))
 
 
 def mentions(texts: DataFrame, entities: DataFrame, shortest: int = 4) -> DataFrame:
