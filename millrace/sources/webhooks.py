@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +52,27 @@ def pick(attrs: Column, *keys: str) -> Column:
     return F.coalesce(*(F.nullif(attrs[k], F.lit("")) for k in keys)) if len(keys) > 1 else F.nullif(attrs[keys[0]], F.lit(""))
 
 
-def event(**columns: Column) -> Column:
+def fields(**columns: Column) -> list[Column]:
+    """The fields of an event, empty where columns have none."""
     none = {"stack": F.array().cast(STACK), "attrs": F.create_map().cast("map<string,string>"), "occurred_at": F.lit(None).cast("timestamp")}
-    return F.struct(*(F.coalesce(columns[f], none.get(f, F.lit(""))).alias(f) if f in columns and f != "occurred_at" else columns.get(f, none.get(f, F.lit(""))).alias(f) for f in FIELDS))
+    return [F.coalesce(columns[f], none.get(f, F.lit(""))).alias(f) if f in columns and f != "occurred_at" else columns.get(f, none.get(f, F.lit(""))).alias(f) for f in FIELDS]
+
+
+def event(**columns: Column) -> Column:
+    return F.struct(*fields(**columns))
+
+
+@dataclass
+class Each:
+    """Events of a delivery that holds many things: an array of these, what the delivery says for all, what is read of a thing (v) once, and the fields of its event from both.
+
+    Things become rows before their events are made of columns, so that only what a query uses is worked out.
+    """
+
+    things: Column
+    shared: dict[str, Column]
+    read: Callable[[Column, dict[str, Column]], dict[str, Column]]
+    event: Callable[[Column, dict[str, Column]], list[Column]]
 
 
 def sentry(body: Column, headers: Column, config: Column) -> Column:
@@ -87,14 +108,14 @@ def sentry(body: Column, headers: Column, config: Column) -> Column:
 
 
 def alertmanager(source: str):
-    def parse(body: Column, headers: Column, config: Column) -> Column:
-        common = scalars(body, "commonLabels")
+    def parse(body: Column, headers: Column, config: Column) -> Each:
+        def read(a: Column, x: dict[str, Column]) -> dict[str, Column]:
+            return {"labels": merged(scalars(a, "labels"), x["common"]), "notes": scalars(a, "annotations"), "start": F.coalesce(get(a, "startsAt"), F.lit(""))}
 
-        def one(a: Column) -> Column:
-            labels, notes = merged(scalars(a, "labels"), common), scalars(a, "annotations")
+        def one(a: Column, x: dict[str, Column]) -> list[Column]:
+            labels, notes, start = x["labels"], x["notes"], x["start"]
             rule = pick(labels, "__alert_rule_uid__", "alertname")
-            start = F.coalesce(get(a, "startsAt"), F.lit(""))
-            return event(
+            return fields(
                 source=F.lit(source), kind=F.lit("alert"), external_id=F.concat(F.coalesce(get(a, "fingerprint"), normalize_message(rule)), F.lit("@"), start), occurred_at=parsed_time(start), severity=map_severity(F.lit(source), pick(labels, "severity", "priority"), F.lit("warning")),
                 title=F.coalesce(pick(notes, "summary", "title"), pick(labels, "alertname")), message=pick(notes, "description", "message"), rule_id=rule, service=pick(labels, "service", "app", "application", "job", "namespace"), environment=pick(labels, "env", "environment", "stage"),
                 attrs=F.map_concat(F.map_filter(labels, lambda k, _: ~k.startswith("__")), F.transform_keys(notes, lambda k, _: F.concat(F.lit("annotation."), k))),
@@ -102,7 +123,7 @@ def alertmanager(source: str):
 
         alerts = F.variant_get(F.try_parse_json(body), "$.alerts", "array<variant>")
         firing = F.filter(F.transform(alerts, lambda v: F.to_json(v)), lambda a: F.lower(F.get_json_object(a, "$.status")) == "firing")
-        return F.transform(firing, one)
+        return Each(firing, {"common": scalars(body, "commonLabels")}, read, one)
 
     return parse
 
@@ -206,16 +227,16 @@ def kind_named(word: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.lower(word))
 
 
-def generic(body: Column, headers: Column, config: Column) -> Column:
+def generic(body: Column, headers: Column, config: Column) -> Each:
     source = F.coalesce(F.nullif(F.lower(F.trim(config["source_name"])), F.lit("")), F.lit("generic"))
 
-    def one(v: Column) -> Column:
-        f = lambda n: mapped(v, config, n)
-        kind = F.coalesce(kind_named(f("kind")), kind_named(config["kind"]), F.lit("error"))
+    def one(v: Column, x: dict[str, Column]) -> list[Column]:
+        f = lambda n: mapped(v, x["config"], n)
+        kind = F.coalesce(kind_named(f("kind")), kind_named(x["config"]["kind"]), F.lit("error"))
         rest = {n: f(n) for n in ("title", "message", "service", "environment", "external_id", "group_id", "rule_id", "exception_type", "resource_id")}
-        return event(source=source, kind=kind, severity=map_severity(source, f("severity"), F.lit("")), occurred_at=parsed_time(f("occurred_at")), attrs=scalars(v), **rest)
+        return fields(source=x["source"], kind=kind, severity=map_severity(x["source"], f("severity"), F.lit("")), occurred_at=parsed_time(f("occurred_at")), attrs=scalars(v), **rest)
 
-    return F.transform(items(body, "events", "alerts", "items", "records"), one)
+    return Each(items(body, "events", "alerts", "items", "records"), {"source": source, "config": config}, lambda v, x: {}, one)
 
 
 def splunk(body: Column, headers: Column, config: Column) -> Column:
@@ -236,4 +257,11 @@ def events(deliveries: DataFrame, source: str) -> DataFrame:
     """Events of deliveries (body, headers map, config map, any other columns) of one source: no row where there is nothing to report."""
     found = PARSERS[source](F.col("body"), F.col("headers"), F.col("config"))
     rest = [c for c in deliveries.columns if c not in ("body", "headers", "config")]
+    if isinstance(found, Each):
+        named = lambda x: [c.alias(f"__{n}") for n, c in x.items()]
+        rows = deliveries.select(*rest, *named(found.shared), F.explode(found.things).alias("__v"))
+        x = {n: F.col(f"__{n}") for n in found.shared}
+        read = found.read(F.col("__v"), x)
+        rows = rows.select("*", *named(read))
+        return rows.select(*rest, *found.event(F.col("__v"), x | {n: F.col(f"__{n}") for n in read}))
     return deliveries.select(*rest, F.explode(found).alias("e")).select(*rest, "e.*")
