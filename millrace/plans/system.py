@@ -39,7 +39,8 @@ def system_links(spark, folder):
     events = G.topic_links(e, ent.where("owner IS NOT NULL"))
     library = packages(spark, folder).select(key("n", "repo").alias("source"), key("n", "id").alias("target"), F.lit("library").alias("kind"), F.col("name").alias("via"))
     config = wiring(spark, folder).select(key("c", "source").alias("source"), key("c", "target").alias("target"), "kind", "via")
-    return G.system_links(events, G.edge_links(e, ent), library, config)
+    # links by topic have a kind of their own and come one for each source, target and topic: they need not be summed again
+    return events.unionByName(G.system_links(G.edge_links(e, ent), library, config))
 
 
 def endpoint_groups(spark, folder):
