@@ -230,13 +230,16 @@ def kind_named(word: Column) -> Column:
 def generic(body: Column, headers: Column, config: Column) -> Each:
     source = F.coalesce(F.nullif(F.lower(F.trim(config["source_name"])), F.lit("")), F.lit("generic"))
 
+    def read(v: Column, x: dict[str, Column]) -> dict[str, Column]:
+        return {f"field.{n}": mapped(v, x["config"], n) for n in GENERIC}
+
     def one(v: Column, x: dict[str, Column]) -> list[Column]:
-        f = lambda n: mapped(v, x["config"], n)
+        f = lambda n: x[f"field.{n}"]
         kind = F.coalesce(kind_named(f("kind")), kind_named(x["config"]["kind"]), F.lit("error"))
         rest = {n: f(n) for n in ("title", "message", "service", "environment", "external_id", "group_id", "rule_id", "exception_type", "resource_id")}
         return fields(source=x["source"], kind=kind, severity=map_severity(x["source"], f("severity"), F.lit("")), occurred_at=parsed_time(f("occurred_at")), attrs=scalars(v), **rest)
 
-    return Each(items(body, "events", "alerts", "items", "records"), {"source": source, "config": config}, lambda v, x: {}, one)
+    return Each(items(body, "events", "alerts", "items", "records"), {"source": source, "config": config}, read, one)
 
 
 def splunk(body: Column, headers: Column, config: Column) -> Column:
@@ -263,5 +266,5 @@ def events(deliveries: DataFrame, source: str) -> DataFrame:
         x = {n: F.col(f"__{n}") for n in found.shared}
         read = found.read(F.col("__v"), x)
         rows = rows.select("*", *named(read))
-        return rows.select(*rest, *found.event(F.col("__v"), x | {n: F.col(f"__{n}") for n in read}))
+        return rows.select(*rest, *found.event(F.col("__v"), x | {n: F.col(f"`__{n}`") for n in read}))
     return deliveries.select(*rest, F.explode(found).alias("e")).select(*rest, "e.*")
